@@ -172,3 +172,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, text: st
     lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
     named = placed.join(lowest, "part").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the group's smallest id. Columns stay.
+
+    Rows that repeat an id count as one document, of which one row stays. Rows without an id stay only if no row of their group has one.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    groups = scratch.keep(near_duplicates(docs, width, distance, text, doc_id).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_low")), "groups")
+    first = groups.where(F.col("_id").eqNullSafe(F.col("_low"))).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = docs.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "inner")
+    once = kept.where((F.col("_n") == 1) | F.col("_id").isNull()).select(*docs.columns)
+    if not first.where("_n > 1 AND _id IS NOT NULL").head(1):
+        return once
+    return once.unionByName(kept.where((F.col("_n") > 1) & F.col("_id").isNotNull()).select(*docs.columns).dropDuplicates([doc_id]))
