@@ -15,7 +15,7 @@ from ..session import Scratch
 #: Vectors that fitting takes at most; distinct vectors a list should hold; lists at most; vectors of a list in one block.
 SAMPLE, LIST, LISTS, BLOCK = 20_000, 100, 4096, 20_000
 #: Lists a vector is put into at most and the distance ratio up to which; lists a query reads at least, at most, and the ratio.
-COPIES, CLOSE, PROBES_LEAST, PROBES, REACH = 4, 1.15, 12, 64, 1.3
+COPIES, CLOSE, PROBES_LEAST, PROBES, REACH = 4, 1.15, 12, 96, 1.3
 
 
 @dataclass
