@@ -39,5 +39,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch:
         scratch.drop(path)
         now, path = after, new_path
         if seen == tuple(check) or not check["n"]:
-            return now.select(u.alias("node"), v.alias("component"))
+            roots = now.select(v.alias("node"), v.alias("component")).distinct()
+            return now.select(u.alias("node"), v.alias("component")).unionByName(roots)
         seen = tuple(check)

@@ -15,10 +15,17 @@ PRIME, SEED = (1 << 61) - 1, 17
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """Distinct 64-bit hashes of a text's word shingles."""
-    t = tokens(text)
-    at = F.sequence(F.lit(1), F.greatest(F.size(t) - (words - 1), F.lit(1)))
-    return F.when(F.size(t) < words, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(t, i, words), " ")))))
+    """Distinct 64-bit hashes of a text's word shingles.
+
+    The tokens are bound to a lambda variable: an inlined expression would be evaluated anew for every shingle.
+    """
+
+    def of(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(t) - (words - 1), F.lit(1)))
+        hashed = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(t, i, words), " "))))
+        return F.when(F.size(t) < words, F.array().cast("array<bigint>")).otherwise(hashed)
+
+    return F.transform(F.array(tokens(text)), of)[0]
 
 
 def shingled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, words: int = WORDS) -> DataFrame:
@@ -76,7 +83,7 @@ def lsh_pairs(sets: DataFrame, threshold: float = 0.8, permutations: int = PERMU
     """
     rows = permutations // bands
     s = sets.withColumn("sig", minhash(F.col("hashes"), permutations))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, rows)).alias("key")))
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, rows)).alias("key")) for b in range(bands)])
     buckets = s.select("doc", F.explode(keys).alias("k")).select("doc", "k.band", "k.key")
     low = buckets.groupBy("band", "key").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
     star = buckets.join(low, ["band", "key"]).where("doc <> a").select("a", F.col("doc").alias("b")).distinct()

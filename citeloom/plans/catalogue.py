@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import designation as D
@@ -568,9 +568,6 @@ def shingle_jaccard_pairs(spark, sf):
     return _pairs(spark, sf).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-_CC = "reach AS (SELECT a AS doc, a AS o FROM (SELECT a FROM e UNION SELECT b FROM e) UNION SELECT l.b, r.o FROM reach r JOIN l ON l.a = r.doc), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
-
-
 @query("SELECT doc, min(o) AS cluster FROM reach GROUP BY doc", "WITH RECURSIVE " + _SH + ",\ne AS (SELECT a, b FROM pairs WHERE jaccard >= 0.8),\nl AS (SELECT a, b FROM e UNION SELECT b, a FROM e),\nreach AS (SELECT a AS doc, a AS o FROM l UNION SELECT l.b, r.o FROM reach r JOIN l ON l.a = r.doc)\n")
 def reuse_clusters(spark, sf):
     return reuse.clusters(_pairs(spark, sf).where("jaccard >= 0.8"))
@@ -691,7 +688,7 @@ def events_stream_tumbling(spark, sf):
     src = table(spark, sf, "events")
     s = Scratch(spark, "stream")
     name = f"events_{s.root.rsplit('-', 1)[1]}"
-    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     counts = incremental.tumbling(stream)
     out = f"{s.root}/counts"
 
