@@ -109,7 +109,7 @@ def _links(distance: int, chains: dict[int, int]):
     return run
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
+def fingerbitslinks(fps: DataFrame, distance: int = 2, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
     """(a, b): edges that connect all distinct fingerprints at the given Hamming distance or less, and no others.
 
     Pigeonring principle: put the 64 bits on a ring of five segments. If two fingerprints differ in at most d bits, some
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, text: st
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(simhash(docs, width, text, doc_id), "fps")
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    parts = connected_components(fingerprint_links(nodes, distance, scratch=scratch), scratch=scratch)
+    parts = connected_components(fingerbitslinks(nodes, distance, scratch=scratch), scratch=scratch)
     placed = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
     placed = scratch.keep(placed, "placed")
     lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
@@ -174,14 +174,158 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, text: st
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the group's smallest id. Columns stay.
+#: Wide fingerprints: words of 64 bits, segments on their ring, and differing bits that stand for a Jaccard similarity of
+#: 0.8 (whose mean is 39 of 256) with its scatter.
+WORDS, RING, DISTANCE = 4, 16, 47
+#: Keys of a text, shingles in a key's bag, shingles that keys are drawn from, members of a bucket that are paired.
+VIEWS, BAG, DRAWN, PAIRED = 12, 4, 256, 512
+_ODD = np.random.default_rng(7).integers(0, 1 << 63, WORDS + VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Rows that repeat an id count as one document, of which one row stays. Rows without an id stay only if no row of their group has one.
+
+def _remixed(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * odd
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def wide_sketch(text: bytes, width: int = 5) -> tuple[list[int], list[int]]:
+    """A 256-bit SimHash of the set of a text's shingles, and the keys of its views.
+
+    A view is a bag of BAG shingles, the smallest under an order of its own; its key is the bag's hash. Texts of Jaccard
+    similarity s agree in a view with a probability of about s ** BAG, so at 0.8 they miss all views once in 500 pairs.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    groups = scratch.keep(near_duplicates(docs, width, distance, text, doc_id).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_low")), "groups")
-    first = groups.where(F.col("_id").eqNullSafe(F.col("_low"))).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    words = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    if len(words) < width:
+        hashes = np.array([h(b" ".join(words), 42)], dtype=np.uint64)
+    else:
+        whole = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        hashes = np.unique(np.array([h(whole[i:j], 42) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist())], dtype=np.uint64))
+    ones = np.zeros((WORDS, BITS), np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += _ones(_remixed(hashes[None, k : k + (1 << 16)], _ODD[:WORDS, None]))
+    bits = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    views = _remixed(hashes[None, :DRAWN], _ODD[WORDS:, None])  # hashes are sorted: the smallest are drawn, so equal ones from both texts
+    bag = np.sort(np.partition(views, BAG - 1, axis=1)[:, :BAG] if views.shape[1] > BAG else views, axis=1)
+    key = _ODD[WORDS:].copy()
+    for k in range(bag.shape[1]):
+        key = _remixed(key ^ bag[:, k], _ODD[k])
+    return bits, key.view(np.int64).tolist()
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """How often each bit is set in each row of hashes. Bytes are summed 255 at a time, which can't overflow them."""
+    n = x.shape[1]
+    unpacked = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(x.shape[0], n, 8), axis=2, bitorder="little")
+    whole = n // 255 * 255
+    out = np.add.reduce(unpacked[:, whole:], axis=1, dtype=np.uint8).astype(np.int64)
+    if whole:
+        out += np.add.reduce(unpacked[:, :whole].reshape(x.shape[0], -1, 255, BITS), axis=2, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _ring_pairs(distance: int):
+    """Star edges between a bucket's members whose wide fingerprints lie within the distance.
+
+    Pairs are first tested by pigeonring: from some segment on the ring, chains of 1 to 4 segments must all keep within
+    their share of the distance. Only what passes is summed over all segments.
+    """
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count((x ^ y).view(np.uint16)).astype(np.int16)
+        fits, total = np.ones(d.shape, bool), np.zeros(d.shape, np.int16)
+        for n in range(4):
+            total += np.roll(d, -n, axis=1)
+            fits &= total <= distance * (n + 1) // RING
+        good = fits.any(axis=1)
+        good[good] = d[good].sum(axis=1) <= distance
+        return good
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["key", "part"]):
+            at = bounds(table, ["key", "part"])
+            fps = np.ascontiguousarray(np.stack([table.column(f"f{k}").to_numpy() for k in range(WORDS)], axis=1))
+            node = table.column("node").to_numpy()
+            edges: list[tuple] = []
+            for i, j in zip(at, at[1:]):
+                n = j - i
+                for r in range(n - 1):  # each member with those after it
+                    near = i + r + 1 + np.flatnonzero(close(fps[i + r : i + r + 1], fps[i + r + 1 : j]))
+                    edges.append((np.full(len(near), node[i + r]), node[near]))
+            if edges:
+                a, b = (np.concatenate(x) for x in zip(*edges))
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                both = _forest(both)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """Edges of a spanning forest as stars: each node with the least node of its group."""
+    if not len(edges):
+        return edges
+    names, flat = np.unique(edges, return_inverse=True)
+    a, b = flat.reshape(-1, 2).T
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(names))
+    return np.stack([names[label[own]], names[own]], axis=1)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose shingle sets are similar by 0.8 or more, by wide SimHash.
+
+    64 bits tell texts of this similarity apart from others too coarsely, and no exact key search reaches their distance. So
+    fingerprints have 256 bits, candidates meet in the buckets of their views, and pigeonring with the whole distance
+    decides. Equal fingerprints are one node. A bucket of more than PAIRED nodes is dealt to parts of about that size, each with the
+    bucket's least node, so that a hot group is linked through it; the other views deal it differently.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    names = [f"f{k}" for k in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_sketch(t, width) for t in as_bytes(batch.column(1))]
+            prints = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *prints, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", *names, "keys"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    sketched = scratch.keep(source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>").withColumn("node", F.xxhash64(*names)), "sketched")
+    nodes = scratch.keep(sketched.groupBy("node", *names).agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys")), "nodes")
+    rows = nodes.select("node", *names, F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    rows = rows.join(sizes, "key")
+    parts = F.ceil(F.col("n") / PAIRED).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node", "key"), parts).cast("int"))
+    part = F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(own))
+    rows = rows.select("key", part.alias("part"), "node", *names)
+    edges = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_ring_pairs(distance), "a long, b long")
+    groups = connected_components(edges, scratch=scratch)
+    placed = scratch.keep(nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part")), "placed")
+    lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
+    return sketched.select("doc_id", "node").join(placed.join(lowest, "part").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of similar texts (see similar_groups): the one with the smallest id. Columns stay.
+
+    Null texts count as empty, and wordless texts are one group. Rows that repeat an id count as one document, of which
+    one row stays. Rows without an id stay only if no row of their group has one. An empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    groups = similar_groups(docs, width, text=text, doc_id=doc_id, scratch=scratch).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_low"))
+    first = scratch.keep(groups.where(F.col("_id").eqNullSafe(F.col("_low"))).groupBy("_id").agg(F.count(F.lit(1)).alias("_n")), "first")
     kept = docs.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "inner")
     once = kept.where((F.col("_n") == 1) | F.col("_id").isNull()).select(*docs.columns)
     if not first.where("_n > 1 AND _id IS NOT NULL").head(1):
