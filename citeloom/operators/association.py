@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 
 def cocitation_edges(baskets: DataFrame, min_co: int = 2, min_confidence: float = 0.20, min_src: int = 2, basket: str = "basket", item: str = "item") -> DataFrame:
     """Directed edges (src, dst, n_src, n_dst, n_co, confidence, lift) between items of one basket.
@@ -58,7 +60,7 @@ def related(edges: DataFrame, limit: int = 5) -> DataFrame:
 
 def ego_network(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 40) -> DataFrame:
     """Edges (src, dst, n_co, confidence, hop) within `depth` steps of the seeds (column node), `limit` from each node."""
-    top = related(edges, limit).select("src", "dst", "n_co", "confidence")
+    top = Scratch(edges.sparkSession, "ego").keep(related(edges, limit).select("src", "dst", "n_co", "confidence"), "top")
     seen, frontier, out = seeds.select("node").distinct(), seeds.select("node").distinct(), None
     for hop in range(1, depth + 1):
         step = top.join(frontier, top.src == frontier.node, "left_semi").withColumn("hop", F.lit(hop))
@@ -70,12 +72,14 @@ def ego_network(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int =
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(seed, node, hops): fewest steps from each seed, up to `depth`, edges taken in both directions."""
-    links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    scratch = Scratch(edges.sparkSession, "hops")
+    edges = scratch.keep(edges.select("src", "dst"), "edges")
+    links = scratch.keep(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
     seen = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0))
     frontier = seen
     for hop in range(1, depth + 1):
         step = frontier.join(links, frontier.node == links.src).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = scratch.keep(step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -11,7 +11,7 @@ from ..functions import designation as D
 from ..functions import text as X
 from ..operators import association as A
 from ..operators import audit, evaluate, health, lookup, merge, paging, ranking, reuse
-from ..session import table
+from ..session import Scratch, table
 from ..sources import html_tables, logs
 from ..streaming import incremental
 from . import synthetic as S
@@ -42,6 +42,11 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
     return A.cocitation_edges(li, min_co=2, min_confidence=0.05, min_src=1)
 
 
+def _kept_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges as a written table, for queries that read them several times."""
+    return Scratch(spark, "edges").keep(_edges(spark, sf), "edges")
+
+
 # ---------------------------------------------------------------- association graph
 
 
@@ -91,7 +96,7 @@ def _seeds(e: DataFrame) -> DataFrame:
     _with(S.EDGES, _SEEDS, "top AS (SELECT src, dst, n_co, confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, n_co DESC, dst) AS r FROM edges) WHERE r <= 10)"),
 )
 def ego_network_depth2(spark, sf):
-    e = _edges(spark, sf)
+    e = _kept_edges(spark, sf)
     return A.ego_network(e, _seeds(e), depth=2, limit=10)
 
 
@@ -100,7 +105,7 @@ def ego_network_depth2(spark, sf):
     "WITH RECURSIVE " + ",\n".join([S.EDGES, _SEEDS, "links AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", "walk AS (SELECT node AS seed, node, 0 AS h FROM seeds UNION SELECT w.seed, l.dst, w.h + 1 FROM walk w JOIN links l ON l.src = w.node WHERE w.h < 3)"]) + "\n",
 )
 def shortest_path_hops(spark, sf):
-    e = _edges(spark, sf)
+    e = _kept_edges(spark, sf)
     return A.hops(e, _seeds(e), depth=3)
 
 
@@ -119,7 +124,7 @@ JOIN deg a ON a.node = k.src JOIN deg b ON b.node = k.dst""",
     ),
 )
 def full_graph(spark, sf):
-    return A.full_graph(_edges(spark, sf), 200, 500, 2, 3).select("src", "dst", "n_co", "src_degree", "dst_degree")
+    return A.full_graph(_kept_edges(spark, sf), 200, 500, 2, 3).select("src", "dst", "n_co", "src_degree", "dst_degree")
 
 
 # ---------------------------------------------------------------- resolution, coverage, dead citations
@@ -578,8 +583,6 @@ def reuse_clusters(spark, sf):
     "WITH RECURSIVE " + _SH + ",\ne AS (SELECT t, a, b FROM pairs JOIN (VALUES (0.8), (0.65), (0.5)) v(t) ON jaccard >= t::DOUBLE),\nl AS (SELECT t, a, b FROM e UNION SELECT t, b, a FROM e),\nreach AS (SELECT t, a AS doc, a AS o FROM l UNION SELECT r.t, l.b, r.o FROM reach r JOIN l ON l.a = r.doc AND l.t = r.t)\n",
 )
 def reuse_threshold_sweep(spark, sf):
-    from ..session import Scratch
-
     return reuse.threshold_sweep(Scratch(spark, "sweep").keep(_pairs(spark, sf), "pairs"))
 
 
@@ -683,8 +686,6 @@ def events_tumbling(spark, sf):
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def events_stream_tumbling(spark, sf):
     """The same counts through a stream over what the folder holds, with the newest version of the table as the result."""
-    from ..session import Scratch
-
     src = table(spark, sf, "events")
     s = Scratch(spark, "stream")
     name = f"events_{s.root.rsplit('-', 1)[1]}"

@@ -89,7 +89,7 @@ fact AS (
 #: Directed association edges of line items in orders with the given thresholds.
 EDGES = r"""sets AS (SELECT DISTINCT l_orderkey AS b, l_partkey AS i FROM lineitem),
 tot AS (SELECT count(DISTINCT b) AS n FROM sets), freq AS (SELECT i, count(*) AS f FROM sets GROUP BY i),
-edges AS (
+edges AS MATERIALIZED (
   SELECT x.i AS src, y.i AS dst, any_value(fx.f) AS n_src, any_value(fy.f) AS n_dst, count(*) AS n_co,
     round(count(*)::DOUBLE / any_value(fx.f), 6) AS confidence,
     round((count(*)::DOUBLE / any_value(n)) / ((any_value(fx.f)::DOUBLE / any_value(n)) * (any_value(fy.f)::DOUBLE / any_value(n))), 6) AS lift
