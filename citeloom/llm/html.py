@@ -17,7 +17,8 @@ SIDE = frozenset("nav aside footer form dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("html body main article section div td center blockquote".split())
-CLOSED_BY_BLOCK = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
+#: Open tags that a tag closes, each with the tags beyond which it closes nothing. Every block tag also closes a paragraph.
+IMPLIED = {"li": (("li", "ul ol table"),), "dt": (("dt", "dl"), ("dd", "dl")), "dd": (("dt", "dl"), ("dd", "dl")), "tr": (("td", "table"), ("th", "table"), ("tr", "table")), "td": (("td", "tr table"), ("th", "tr table")), "th": (("td", "tr table"), ("th", "tr table")), "option": (("option", "select"),)}
 NOISE = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|site-?header|page-?header|topbar|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|respond|replies|reply|disqus|widget|toolbar|pagination|pager|copyright|legal|skip)(?:$|[-_ ])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -98,14 +99,14 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int, int]]:
             continue
         if m[3].rstrip().endswith("/"):
             continue
-        if tag in CLOSED_BY_BLOCK:
+        for closed, scope in () if tag in INLINE else (("p", "table td th caption object"), *IMPLIED.get(tag, ())):
             for j in range(len(stack) - 1, -1, -1):
-                if stack[j][0] in CONTAINERS or stack[j][0] in ("ul", "ol", "table", "dl"):
-                    break
-                if stack[j][0] == tag or (stack[j][0] == "p" and tag not in INLINE):
+                if stack[j][0] == closed:
                     while len(stack) > j:
                         pop()
                     break
+                if stack[j][0] in scope.split():
+                    break
         names = {a.lower(): b or c or d for a, b, c, d in _NAMED.findall(m[3])} if m[3].strip() else {}
         inside = any(t in ("article", "main") for t, _, _ in stack)
         label = f"{names.get('class', '')} {names.get('id', '')}"
@@ -193,7 +194,7 @@ def extract(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFra
     from ..session import Scratch
 
     winners = Scratch(pages.sparkSession, "hosts").keep(vote(pages), "winners")
-    rest = [c for c in pages.columns if c not in ("text", "n_chars", "path", "html", "_host", "_path")]
+    rest = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "path", "html", "_host", "_path")]
     rows = pages.select(*rest, "html", host_column(F.col("url")).alias("_host"))
     side = winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
     joined = rows.join(F.broadcast(side) if winners.count() <= broadcast_hosts else side, "_host", "left").select(*rest, "html", "_path")

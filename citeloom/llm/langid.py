@@ -116,7 +116,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     read, long ones in pieces. Repeated rows and other columns are kept; an empty table stays empty.
     """
     new = ["lang_pred", "score", "rejected"]
-    rest = [c for c in docs.columns if c not in new]
+    rest = [c for c in docs.columns if c.lower() not in new]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", lang_pred string, score double, rejected boolean"
     at = rest.index(text)
 

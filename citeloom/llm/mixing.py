@@ -11,23 +11,23 @@ PIECES = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """sizes (one row a source: sk, sn, source_size) with the words each source should give.
+    """sizes (one row a source: _mix_sk, _mix_sn, source_size) with the words each source should give.
 
     Sources in code point order, the null source last, weigh `weights` in turn. They share `share` times all sizes by
     weight; a target stops at `most` times its source's size and the excess goes to the others by weight. In the order
     of cap over weight this needs one pass: a source is capped if what is left, shared by the weights left, reaches its cap.
     One row a source goes through one task.
     """
-    place = F.row_number().over(Window.orderBy("sn", "sk"))
+    place = F.row_number().over(Window.orderBy("_mix_sn", "_mix_sk"))
     s = sizes.withColumn("weight", F.array(*map(F.lit, weights))[(place - 1) % len(weights)])
-    by = Window.orderBy(F.col("source_size") / F.col("weight"), "sn", "sk")
+    by = Window.orderBy(F.col("source_size") / F.col("weight"), "_mix_sn", "_mix_sk")
     before, onward, everything = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
     total = F.lit(float(share)) * F.sum("source_size").over(everything)
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
     s = s.withColumn("level", level).withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
     first = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(everything)
-    return s.withColumn("first", first).select("sk", "sn", "source_size", F.when(F.col("open"), F.col("first") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
+    return s.withColumn("first", first).select("_mix_sk", "_mix_sn", "source_size", F.when(F.col("open"), F.col("first") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -44,25 +44,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Sources without words are expected 0 times. `keep` names the columns of docs to carry (default: all).
     """
     new = ["size", "source_size", "target", "copies"]
-    rest = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    d = docs.select(*rest, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.col(source), F.lit("")).alias("sk"), F.col(source).isNull().alias("sn"))
+    rest = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    d = docs.select(*rest, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.col(source), F.lit("")).alias("_mix_sk"), F.col(source).isNull().alias("_mix_sn"))
     bits = F.length(F.bin("size"))
-    d = d.withColumn("class", bits * 8 + F.expr(f"cast(shiftright(size, greatest(length(bin(size)) - 4, 0)) % 8 as int)"))
-    d = d.withColumn("piece", F.pmod(F.coalesce(F.col(doc_id), F.lit(0)), F.lit(PIECES)).cast("int"))
-    pieces = d.groupBy("sk", "sn", "class", "piece").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    earlier = lambda *keys: Window.partitionBy("sk", "sn", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    classes = pieces.groupBy("sk", "sn", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    goals = targets(classes.groupBy("sk", "sn").agg(F.sum("words").alias("source_size")), weights, share, most)
-    classes = classes.select("sk", "sn", "class", F.coalesce(F.sum("n").over(earlier("class")), F.lit(0)).alias("before_class"))
-    pieces = pieces.select("sk", "sn", "class", "piece", F.coalesce(F.sum("n").over(earlier("class", "piece")), F.lit(0)).alias("before_piece"))
-    pieces = pieces.join(classes.join(goals, ["sk", "sn"]), ["sk", "sn", "class"])
-    order = Window.partitionBy("sk", "sn", "class", "piece").orderBy(F.col(doc_id).asc_nulls_first(), "size")
-    placed = d.withColumn("place", F.row_number().over(order)).join(pieces, ["sk", "sn", "class", "piece"])
-    digest = F.conv(F.substring(F.md5(F.concat(F.lit("offset:"), F.col("sk"), F.col("sn").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    d = d.withColumn("_mix_class", bits * 8 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 4, 0)) % 8 as int)"))
+    d = d.withColumn("_mix_piece", F.pmod(F.coalesce(F.col(doc_id), F.lit(0)), F.lit(PIECES)).cast("int"))
+    pieces = d.groupBy("_mix_sk", "_mix_sn", "_mix_class", "_mix_piece").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    earlier = lambda *keys: Window.partitionBy("_mix_sk", "_mix_sn", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    classes = pieces.groupBy("_mix_sk", "_mix_sn", "_mix_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    goals = targets(classes.groupBy("_mix_sk", "_mix_sn").agg(F.sum("words").alias("source_size")), weights, share, most)
+    classes = classes.select("_mix_sk", "_mix_sn", "_mix_class", F.coalesce(F.sum("n").over(earlier("_mix_class")), F.lit(0)).alias("_mix_before_class"))
+    pieces = pieces.select("_mix_sk", "_mix_sn", "_mix_class", "_mix_piece", F.coalesce(F.sum("n").over(earlier("_mix_class", "_mix_piece")), F.lit(0)).alias("_mix_before_piece"))
+    pieces = pieces.join(classes.join(goals, ["_mix_sk", "_mix_sn"]), ["_mix_sk", "_mix_sn", "_mix_class"])
+    order = Window.partitionBy("_mix_sk", "_mix_sn", "_mix_class", "_mix_piece").orderBy(F.col(doc_id).asc_nulls_first(), "size")
+    placed = d.withColumn("_mix_place", F.row_number().over(order)).join(pieces, ["_mix_sk", "_mix_sn", "_mix_class", "_mix_piece"])
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit("offset:"), F.col("_mix_sk"), F.col("_mix_sn").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank = F.col("before_class") + F.col("before_piece") + F.col("place")
-    placed = placed.select(*rest, "size", "source_size", "target", rate.alias("rate"), rank.cast("double").alias("rank"), digest.alias("offset"))
-    copies = F.floor(F.col("rate") * F.col("rank") + F.col("offset")) - F.floor(F.col("rate") * (F.col("rank") - 1.0) + F.col("offset"))
+    rank = F.col("_mix_before_class") + F.col("_mix_before_piece") + F.col("_mix_place")
+    placed = placed.select(*rest, "size", "source_size", "target", rate.alias("_mix_rate"), rank.cast("double").alias("_mix_rank"), digest.alias("_mix_offset"))
+    copies = F.floor(F.col("_mix_rate") * F.col("_mix_rank") + F.col("_mix_offset")) - F.floor(F.col("_mix_rate") * (F.col("_mix_rank") - 1.0) + F.col("_mix_offset"))
     return placed.select(*rest, "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 

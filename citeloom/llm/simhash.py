@@ -109,7 +109,7 @@ def _links(distance: int, chains: dict[int, int]):
     return run
 
 
-def fingerbitslinks(fps: DataFrame, distance: int = 2, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
     """(a, b): edges that connect all distinct fingerprints at the given Hamming distance or less, and no others.
 
     Pigeonring principle: put the 64 bits on a ring of five segments. If two fingerprints differ in at most d bits, some
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, text: st
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(simhash(docs, width, text, doc_id), "fps")
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    parts = connected_components(fingerbitslinks(nodes, distance, scratch=scratch), scratch=scratch)
+    parts = connected_components(fingerprint_links(nodes, distance, scratch=scratch), scratch=scratch)
     placed = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
     placed = scratch.keep(placed, "placed")
     lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
@@ -324,10 +324,10 @@ def keep_one(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str =
     one row stays. Rows without an id stay only if no row of their group has one. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    groups = similar_groups(docs, width, text=text, doc_id=doc_id, scratch=scratch).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_low"))
-    first = scratch.keep(groups.where(F.col("_id").eqNullSafe(F.col("_low"))).groupBy("_id").agg(F.count(F.lit(1)).alias("_n")), "first")
-    kept = docs.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "inner")
-    once = kept.where((F.col("_n") == 1) | F.col("_id").isNull()).select(*docs.columns)
-    if not first.where("_n > 1 AND _id IS NOT NULL").head(1):
+    groups = similar_groups(docs, width, text=text, doc_id=doc_id, scratch=scratch).select(F.col("doc_id").alias("_near_id"), F.col("component_id").alias("_near_low"))
+    first = scratch.keep(groups.where(F.col("_near_id").eqNullSafe(F.col("_near_low"))).groupBy("_near_id").agg(F.count(F.lit(1)).alias("_near_n")), "first")
+    kept = docs.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_near_id")), "inner")
+    once = kept.where((F.col("_near_n") == 1) | F.col("_near_id").isNull()).select(*docs.columns)
+    if not first.where("_near_n > 1 AND _near_id IS NOT NULL").head(1):
         return once
-    return once.unionByName(kept.where((F.col("_n") > 1) & F.col("_id").isNotNull()).select(*docs.columns).dropDuplicates([doc_id]))
+    return once.unionByName(kept.where((F.col("_near_n") > 1) & F.col("_near_id").isNotNull()).select(*docs.columns).dropDuplicates([doc_id]))

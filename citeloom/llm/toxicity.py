@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "te
     bag without words. Equal texts score alike, repeated rows and other columns are kept, an empty table stays empty.
     A model fitted without both labels gives every text the labels' share.
     """
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    rest = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", score double"
     at = rest.index(text)
 
