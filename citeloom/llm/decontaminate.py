@@ -79,7 +79,7 @@ _NUMBERS, _UNITS = _listed(NUMBER_WORDS), _listed(UNIT_WORDS)
 
 def canonical(text: bytes) -> Tokens:
     """Words of ASCII letters, digits and other scripts' bytes, lower-cased. Numbers, units after a number, and names
-    (capitalised inside a sentence) become placeholders; neighbouring placeholders of a kind become one."""
+    (capitalised inside a sentence, but not all in capitals) become placeholders; neighbouring placeholders of a kind become one."""
     raw = np.frombuffer(text, np.uint8)
     kind = _KIND[raw]
     inside = np.concatenate(([False], kind > 0, [False]))
@@ -94,10 +94,12 @@ def canonical(text: bytes) -> Tokens:
     value = word_hashes(low, start, end)
     digit = np.concatenate(([0], np.cumsum(kind == 2)))
     number = (digit[end] > digit[start]) | _among(value, _NUMBERS)
-    lead = raw[start]
-    capital = (lead >= 65) & (lead <= 90)
-    second = raw[np.minimum(start + 1, len(raw) - 1)]
-    capital |= (lead == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+    upper = (raw >= 65) & (raw <= 90)
+    upper[wide] = True
+    uppers = np.concatenate(([0], np.cumsum(upper)))
+    letters = np.concatenate(([0], np.cumsum((raw < 0x80) | (raw >= 0xC0))))
+    lead = upper[start] | (upper[np.minimum(start + 1, len(raw) - 1)] & (raw[start] == 0xC3))
+    capital = lead & (uppers[end] - uppers[start] == 1) & (letters[end] - letters[start] > 1)  # words all in capitals are words
     ends = np.concatenate(([0], np.cumsum(_ENDS[raw])))
     opens = np.concatenate(([True], ends[start[1:]] > ends[end[:-1]]))
     name = capital & ~opens & ~number

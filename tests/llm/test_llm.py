@@ -356,17 +356,19 @@ def test_ann_blocks_of_a_list(spark, monkeypatch):
 
 ITEM = "A train leaves Paris at 90 km per hour and meets John after 3 hours; how far did John travel before the train stopped in Paris again today"
 
+SHOUT = "Été comme hiver, la même rivière passe sous le vieux pont de pierre et file vers la mer"
+
 
 def test_decontamination(spark, odd, empty):
     rng = random.Random(15)
-    bench = spark.createDataFrame([(1, ITEM), (2, "short one here"), (3, None), (4, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, "short one here"), (3, None), (4, ""), (8, SHOUT)], "item_id long, text string")
     other = ITEM.replace("Paris", "Rome").replace("John", "Mary").replace("90", "120").replace("3 hours", "7 hours")
     mixed = ITEM.replace("meets John", "meets Mary")  # John and Mary in the slots of one name
     fill = lambda: prose(rng, 40)
-    rows = [doc(1, fill() + ". " + ITEM + ". " + fill()), doc(2, fill() + " " + other), doc(3, mixed[len("A train leaves Paris at 90 km ") :]), doc(4, fill()), doc(5, "so " + "short one here" + " ok"), doc(6, ITEM[:30])]
+    rows = [doc(1, fill() + ". " + ITEM + ". " + fill()), doc(2, fill() + " " + other), doc(3, mixed[len("A train leaves Paris at 90 km ") :]), doc(4, fill()), doc(5, "so " + "short one here" + " ok"), doc(6, ITEM[:30]), doc(7, (fill() + ". " + SHOUT).upper())]
     docs = spark.createDataFrame(rows, DOC)
     got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_changed"]) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (5, 2)} and got[1, 1][1] == 0 and got[2, 1][1] >= 5
+    assert set(got) == {(1, 1), (2, 1), (5, 2), (7, 8)} and got[1, 1][1] == 0 and got[2, 1][1] >= 5
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()} == {3, 4, 6}
     assert decontaminate.decontaminate(odd, bench).count() == 9 and decontaminate.contaminated(odd, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.decontaminate(odd, bench.limit(0)).columns == odd.columns
