@@ -326,7 +326,8 @@ def keep_one(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str =
     scratch = Scratch(docs.sparkSession, "similar")
     groups = similar_groups(docs, width, text=text, doc_id=doc_id, scratch=scratch).select(F.col("doc_id").alias("_near_id"), F.col("component_id").alias("_near_low"))
     first = scratch.keep(groups.where(F.col("_near_id").eqNullSafe(F.col("_near_low"))).groupBy("_near_id").agg(F.count(F.lit(1)).alias("_near_n")), "first")
-    kept = docs.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_near_id")), "inner")
+    # the same plan at every size: the kept ids grow with the documents
+    kept = docs.join(first.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("_near_id")), "inner")
     once = kept.where((F.col("_near_n") == 1) | F.col("_near_id").isNull()).select(*docs.columns)
     if not first.where("_near_n > 1 AND _near_id IS NOT NULL").head(1):
         return once
