@@ -104,12 +104,12 @@ def calm(words: np.ndarray) -> np.ndarray:
     return words[np.append(True, words[1:] != words[:-1])] if len(words) else words
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each start to the next; starts has the end too, and may repeat."""
+def _sums(values: np.ndarray, of: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows values[of] from each start to the next, a column at a time, which keeps copies small; starts has the end too, and may repeat."""
     out = np.zeros((len(starts) - 1, values.shape[1]))
     full = np.flatnonzero(np.diff(starts))
-    if len(full):
-        out[full] = np.add.reduceat(values, starts[full], axis=0)
+    for k in range(values.shape[1] if len(full) else 0):
+        out[full, k] = np.add.reduceat(values[:, k][of], starts[full])
     return out
 
 
@@ -119,15 +119,16 @@ class _Trainer:
         at, bucket, first = grams(_FOLD[np.frombuffer(b" " + b" ".join(vocabulary) + b" ", np.uint8)])
         word = np.searchsorted(first, at, side="right") - 1
         order = np.argsort(word, kind="stable")
-        self.row = word[order]
-        self.used, self.gram = np.unique(bucket[order], return_inverse=True)
+        self.row = word[order].astype(np.int32)
+        self.used, gram = np.unique(bucket[order], return_inverse=True)
+        self.gram = gram.astype(np.int32)
         self.start = np.searchsorted(self.row, np.arange(len(vocabulary) + 1))
         self.size = np.maximum(np.diff(self.start), 1)[:, None]
         self.values = [rng.normal(0, 0.1, (len(self.used), DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)]
         self.first, self.second, self.t = [np.zeros_like(v) for v in self.values], [np.zeros_like(v) for v in self.values], 0
 
     def words(self) -> np.ndarray:
-        return _sums(self.values[0][self.gram], self.start) / self.size
+        return _sums(self.values[0], self.gram, self.start) / self.size
 
     def margins(self) -> np.ndarray:
         return self.words() @ (self.values[1][:, 1] - self.values[1][:, 0])
@@ -144,16 +145,14 @@ class _Trainer:
         for _ in range(rounds):
             e, w, b = self.values
             vec = self.words()
-            mean = _sums(vec[word], start) / size
+            mean = _sums(vec, word, start) / size
             z = mean @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             dz = (p - truth) * weight
             d_mean = dz @ w.T / size
-            spread = d_mean[bag]
-            d_vec = np.stack([np.bincount(word, spread[:, k], len(vec)) for k in range(DIM)], axis=1) / self.size
-            spread = d_vec[self.row]
-            d_e = np.stack([np.bincount(self.gram, spread[:, k], len(e)) for k in range(DIM)], axis=1)
+            d_vec = np.stack([np.bincount(word, d_mean[:, k][bag], len(vec)) for k in range(DIM)], axis=1) / self.size
+            d_e = np.stack([np.bincount(self.gram, d_vec[:, k][self.row], len(e)) for k in range(DIM)], axis=1)
             self.t += 1
             for k, g in enumerate((d_e + decay * e, mean.T @ dz + 1e-4 * w, dz.sum(axis=0))):
                 self.first[k] = 0.9 * self.first[k] + 0.1 * g
