@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Pieces that documents of one source and size class are dealt to by their id, for the prefix sums.
 PIECES = 1024
@@ -50,6 +52,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     d = d.withColumn("_mix_class", bits * 8 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 4, 0)) % 8 as int)"))
     d = d.withColumn("_mix_piece", F.pmod(F.coalesce(F.col(doc_id), F.lit(0)), F.lit(PIECES)).cast("int"))
     pieces = d.groupBy("_mix_sk", "_mix_sn", "_mix_class", "_mix_piece").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    pieces = Scratch(docs.sparkSession, "mix").keep(pieces, "pieces")  # read three times, so that texts are counted once for it
     earlier = lambda *keys: Window.partitionBy("_mix_sk", "_mix_sn", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     classes = pieces.groupBy("_mix_sk", "_mix_sn", "_mix_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     goals = targets(classes.groupBy("_mix_sk", "_mix_sn").agg(F.sum("words").alias("source_size")), weights, share, most)
