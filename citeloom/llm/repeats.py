@@ -273,7 +273,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", doc_i
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
-    spans = scratch.keep(repeated_spans(source, length, scratch), "spans").withColumnsRenamed({"doc_id": "d", "digest": "g"})
+    steps = Scratch(docs.sparkSession, "repeats-steps")
+    spans = scratch.keep(repeated_spans(source, length, steps), "spans").withColumnsRenamed({"doc_id": "d", "digest": "g"})
+    steps.drop(steps.root)
     both = source.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left").select("doc_id", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
