@@ -174,9 +174,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, text: st
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, segments on their ring, and differing bits that stand for a Jaccard similarity of
-#: 0.8 (whose mean is 39 of 256) with its scatter.
-WORDS, RING, DISTANCE = 4, 16, 47
+#: Wide fingerprints: words of 64 bits, segments on their ring, differing bits up to which a pair is verified (at a Jaccard
+#: similarity of 0.8 the mean is 39 of 256, the deviation 6, both more for a few shingles), and the similarity that links.
+WORDS, RING, DISTANCE, SIMILAR = 4, 16, 72, 0.8
 #: Keys of a text, shingles in a key's bag, shingles that keys are drawn from, members of a bucket that are paired.
 VIEWS, BAG, DRAWN, PAIRED = 12, 4, 256, 512
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, WORDS + VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,31 +188,39 @@ def _remixed(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def wide_sketch(text: bytes, width: int = 5) -> tuple[list[int], list[int]]:
-    """A 256-bit SimHash of the set of a text's shingles, and the keys of its views.
-
-    A view is a bag of BAG shingles, the smallest under an order of its own; its key is the bag's hash. Texts of Jaccard
-    similarity s agree in a view with a probability of about s ** BAG, so at 0.8 they miss all views once in 500 pairs.
-    """
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, ascending; a text of fewer words is one shingle."""
     words = text.lower().split()
     h = xxhash.xxh64_intdigest
+    whole = b" ".join(words)
     if len(words) < width:
-        hashes = np.array([h(b" ".join(words), 42)], dtype=np.uint64)
-    else:
-        whole = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = np.unique(np.array([h(whole[i:j], 42) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist())], dtype=np.uint64))
+        return np.array([h(whole, 42)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([h(whole[i:j], 42) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist())], dtype=np.uint64))
+
+
+def wide_sketch(text: bytes, width: int = 5) -> tuple[int, bytes, list[int]]:
+    """A hash of a text's set of shingles; its 256-bit SimHash, views' keys and size, packed; and its buckets.
+
+    A view is a bag of BAG shingles, the smallest under an order of its own; its key is 32 bits of the bag's hash, and its
+    bucket is the key with the view's number. Texts of Jaccard similarity s agree in a view with a probability of about
+    s ** BAG, so at 0.8 they miss all views once in 500 pairs.
+    """
+    hashes = shingle_set(text, width)
     ones = np.zeros((WORDS, BITS), np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += _ones(_remixed(hashes[None, k : k + (1 << 16)], _ODD[:WORDS, None]))
-    bits = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+    bits = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little")
     views = _remixed(hashes[None, :DRAWN], _ODD[WORDS:, None])  # hashes are sorted: the smallest are drawn, so equal ones from both texts
     bag = np.sort(np.partition(views, BAG - 1, axis=1)[:, :BAG] if views.shape[1] > BAG else views, axis=1)
     key = _ODD[WORDS:].copy()
     for k in range(bag.shape[1]):
         key = _remixed(key ^ bag[:, k], _ODD[k])
-    return bits, key.view(np.int64).tolist()
+    key >>= np.uint64(32)
+    packed = bits.tobytes() + key.astype("<u4").tobytes() + np.array([len(hashes)], "<u4").tobytes()
+    buckets = key | np.arange(VIEWS, dtype=np.uint64) << np.uint64(32)
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), 42)), packed, buckets.view(np.int64).tolist()
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -226,38 +234,84 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ring_pairs(distance: int):
-    """Star edges between a bucket's members whose wide fingerprints lie within the distance.
+class _Members:
+    """A bucket's members: fingerprints, views' keys and numbers of shingles, unpacked."""
 
-    Pairs are first tested by pigeonring: from some segment on the ring, chains of 1 to 4 segments must all keep within
-    their share of the distance. Only what passes is summed over all segments.
-    """
+    def __init__(self, key: int, packed: list[bytes]):
+        raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+        self.view = key >> 32
+        self.prints = np.ascontiguousarray(raw[:, : 8 * WORDS]).view(np.uint16)
+        self.keys = np.ascontiguousarray(raw[:, 8 * WORDS : -4]).view("<u4")[:, : self.view]
+        self.size = np.ascontiguousarray(raw[:, -4:]).view("<u4")[:, 0].astype(np.int64)
+
+    def near(self, r: int, distance: int) -> np.ndarray:
+        """Members after r that make a candidate with it.
 
-    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        d = np.bitwise_count((x ^ y).view(np.uint16)).astype(np.int16)
+        Pairs are first tested by pigeonring: from some segment on the ring, chains of 1 to 4 segments must all keep within
+        their share of the distance. A pair that shares the key of an earlier view is a candidate there.
+        """
+        d = np.bitwise_count(self.prints[r] ^ self.prints[r + 1 :]).astype(np.int16)
         fits, total = np.ones(d.shape, bool), np.zeros(d.shape, np.int16)
         for n in range(4):
             total += np.roll(d, -n, axis=1)
             fits &= total <= distance * (n + 1) // RING
-        good = fits.any(axis=1)
-        good[good] = d[good].sum(axis=1) <= distance
-        return good
+        own, size = self.size[r], self.size[r + 1 :]
+        at = np.flatnonzero(fits.any(axis=1) & (np.minimum(own, size) >= SIMILAR * np.maximum(own, size) - 1e-9))
+        at = at[d[at].sum(axis=1) <= distance]
+        at = at[~(self.keys[r] == self.keys[r + 1 + at]).any(axis=1)]
+        return r + 1 + at
+
+
+def _candidates(distance: int):
+    """(key, part, node) of the members of a bucket that make a candidate with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["key", "part"]):
             at = bounds(table, ["key", "part"])
-            fps = np.ascontiguousarray(np.stack([table.column(f"f{k}").to_numpy() for k in range(WORDS)], axis=1))
-            node = table.column("node").to_numpy()
-            edges: list[tuple] = []
+            key, packed = table.column("key").to_numpy(), table.column("packed").to_pylist()
+            flag = np.zeros(table.num_rows, bool)
             for i, j in zip(at, at[1:]):
-                n = j - i
-                for r in range(n - 1):  # each member with those after it
-                    near = i + r + 1 + np.flatnonzero(close(fps[i + r : i + r + 1], fps[i + r + 1 : j]))
-                    edges.append((np.full(len(near), node[i + r]), node[near]))
-            if edges:
-                a, b = (np.concatenate(x) for x in zip(*edges))
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                both = _forest(both)
+                members = _Members(int(key[i]), packed[i:j])
+                for r in range(j - i - 1):
+                    near = members.near(r, distance)
+                    flag[i + near] = True
+                    flag[i + r] |= len(near) > 0
+            if flag.any():
+                yield from table.select(["key", "part", "node"]).filter(pa.array(flag)).combine_chunks().to_batches()
+
+    return run
+
+
+def _verified(distance: int, width: int):
+    """Star edges over the candidates of a bucket whose sets of shingles have a Jaccard similarity of SIMILAR, exactly.
+
+    Pairs that are already linked within the bucket aren't counted again, so a large group of copies costs a row or so.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["key", "part"]):
+            at = bounds(table, ["key", "part"])
+            key, node, packed, text = table.column("key").to_numpy(), table.column("node").to_numpy(), table.column("packed").to_pylist(), table.column("t")
+            edges: list[np.ndarray] = []
+            for i, j in zip(at, at[1:]):
+                members, label = _Members(int(key[i]), packed[i:j]), np.arange(j - i)
+                sets = [shingle_set(t, width) for t in as_bytes(text.slice(i, j - i))]
+                for r in range(j - i - 1):
+                    near = members.near(r, distance)
+                    near = near[label[near] != label[r]]
+                    if not len(near):
+                        continue
+                    flat = np.concatenate([sets[k] for k in near])
+                    place = np.minimum(np.searchsorted(sets[r], flat), len(sets[r]) - 1)
+                    size = members.size[near]
+                    common = np.add.reduceat((sets[r][place] == flat).astype(np.int64), np.cumsum(size) - size)
+                    good = near[common >= SIMILAR * (len(sets[r]) + size - common) - 1e-9]
+                    for old in np.unique(label[good]):
+                        label[label == old] = label[r]
+                own = label != np.arange(j - i)
+                edges.append(np.stack([node[i:j][label[own]], node[i:j][own]], axis=1))
+            both = _forest(np.concatenate(edges)) if edges else np.zeros((0, 2), np.int64)
+            if len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return run
@@ -284,34 +338,42 @@ def _forest(edges: np.ndarray) -> np.ndarray:
 
 
 def similar_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, component_id): groups of texts whose shingle sets are similar by 0.8 or more, by wide SimHash.
+    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of their shingle sets of SIMILAR or more.
 
-    64 bits tell texts of this similarity apart from others too coarsely, and no exact key search reaches their distance. So
-    fingerprints have 256 bits, candidates meet in the buckets of their views, and pigeonring with the whole distance
-    decides. Equal fingerprints are one node. A bucket of more than PAIRED nodes is dealt to parts of about that size, each with the
+    Equal sets are one node. 64 bits tell texts of this similarity apart from others too coarsely, and no exact key search reaches
+    their distance. So fingerprints have 256 bits, candidates meet in the buckets of their views, and pigeonring with a wide
+    distance prunes them. Every link is then verified on the whole sets: the candidates' texts come to their buckets, each
+    pair in the first view that it shares. A bucket of more than PAIRED nodes is dealt to parts of about that size, each with the
     bucket's least node, so that a hot group is linked through it; the other views deal it differently.
     """
     scratch = scratch or Scratch(docs.sparkSession, "similar")
-    names = [f"f{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [wide_sketch(t, width) for t in as_bytes(batch.column(1))]
-            prints = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *prints, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", *names, "keys"])
-
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    sketched = scratch.keep(source.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>").withColumn("node", F.xxhash64(*names)), "sketched")
-    nodes = scratch.keep(sketched.groupBy("node", *names).agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys")), "nodes")
-    rows = nodes.select("node", *names, F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    rows = rows.join(sizes, "key")
+            made = [wide_sketch(t, width) for t in as_bytes(batch.column(1))] or []
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "hash", "node", "packed", "keys"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).withColumn("hash", F.xxhash64("t"))
+    sketched = scratch.keep(source.mapInArrow(run, "doc_id long, hash long, node long, packed binary, keys array<long>"), "sketched")
+    one = F.min(F.struct("doc_id", "hash")).alias("one")  # a row that has the node's text
+    nodes = scratch.keep(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), one, F.min("packed").alias("packed"), F.min("keys").alias("keys")), "nodes")
+    sizes = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    rows = nodes.select("node", "packed", F.explode("keys").alias("key")).join(sizes, "key")
+
+    def edges(dealt: DataFrame) -> DataFrame:
+        """Verified links within the parts (key, part, node, packed)."""
+        placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_candidates(distance), "key long, part int, node long")
+        placed = scratch.keep(placed, "candidates")
+        wanted = placed.select("node").distinct().join(nodes, "node").select("node", "packed", F.col("one.doc_id").alias("id"), F.col("one.hash").alias("hash"))
+        texts = source.join(wanted, (source.hash == wanted.hash) & source.doc_id.eqNullSafe(wanted.id)).groupBy("node").agg(F.first("packed").alias("packed"), F.first("t").alias("t"))
+        brought = placed.join(texts, "node").select("key", "part", "node", "packed", "t")
+        return brought.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_verified(distance, width), "a long, b long")
+
     parts = F.ceil(F.col("n") / PAIRED).cast("int")
-    own = F.array(F.pmod(F.xxhash64("node", "key"), parts).cast("int"))
-    part = F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(own))
-    rows = rows.select("key", part.alias("part"), "node", *names)
-    edges = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_ring_pairs(distance), "a long, b long")
-    groups = connected_components(edges, scratch=scratch)
+    mine = F.pmod(F.xxhash64("node", "key"), parts).cast("int")
+    part = F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(mine)))
+    groups = connected_components(edges(rows.select("key", part.alias("part"), "node", "packed")), scratch=scratch)
     placed = scratch.keep(nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part")), "placed")
     lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
     return sketched.select("doc_id", "node").join(placed.join(lowest, "part").select("node", "component_id"), "node").select("doc_id", "component_id")

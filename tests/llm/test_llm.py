@@ -222,6 +222,25 @@ def test_hot_group_is_linked_through_its_parts(spark, monkeypatch):
     assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOC)).collect()] == [0]
 
 
+def similar(rows):
+    """Pairs of a Jaccard similarity of 0.8 or more over five-word shingles, by brute force."""
+    sets = {r[0]: {tuple(w[k : k + 5]) for w in [r[1].split()] for k in range(len(w) - 4)} for r in rows}
+    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def test_links_are_verified_on_shingles(spark):
+    """Texts on one template, of similarity 0.67, stay; a few of 0.8 or more, also of few words, are linked."""
+    rng = random.Random(12)
+    base = [f"t{rng.randrange(9999)}" for _ in range(320)]
+    rows = [doc(i, " ".join(base + [f"u{rng.randrange(10**6)}" for _ in range(80)])) for i in range(150)]
+    rows += [doc(500 + i, " ".join(rows[i][1].split()[:-10])) for i in range(5)]
+    rows += [doc(600, "one two three four five six seven eight"), doc(601, "one two three four five six seven eight nine")]
+    gone = {b for _, b in similar(rows)}
+    assert gone == {500, 501, 502, 503, 504, 601}
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOC)).collect()}
+    assert kept == {r[0] for r in rows} - gone
+
+
 # ---------------------------------------------------------------- 3: mixing
 
 
