@@ -244,8 +244,8 @@ class _Members:
         self.keys = np.ascontiguousarray(raw[:, 8 * WORDS : -4]).view("<u4")[:, : self.view]
         self.size = np.ascontiguousarray(raw[:, -4:]).view("<u4")[:, 0].astype(np.int64)
 
-    def near(self, r: int, distance: int) -> np.ndarray:
-        """Members after r that make a candidate with it.
+    def near(self, r: int, distance: int, side: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Members after r that make a candidate with it: of another side, if it has one, and another group.
 
         Pairs are first tested by pigeonring: from some segment on the ring, chains of 1 to 4 segments must all keep within
         their share of the distance. A pair that shares the key of an earlier view is a candidate there.
@@ -258,8 +258,8 @@ class _Members:
         own, size = self.size[r], self.size[r + 1 :]
         at = np.flatnonzero(fits.any(axis=1) & (np.minimum(own, size) >= SIMILAR * np.maximum(own, size) - 1e-9))
         at = at[d[at].sum(axis=1) <= distance]
-        at = at[~(self.keys[r] == self.keys[r + 1 + at]).any(axis=1)]
-        return r + 1 + at
+        at = r + 1 + at[~(self.keys[r] == self.keys[r + 1 + at]).any(axis=1)]
+        return at[(group[at] != group[r]) & ((side[at] != side[r]) | (side[r] < 0))]
 
 
 def _candidates(distance: int):
@@ -268,16 +268,17 @@ def _candidates(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["key", "part"]):
             at = bounds(table, ["key", "part"])
-            key, packed = table.column("key").to_numpy(), table.column("packed").to_pylist()
+            key, side, group = (table.column(c).to_numpy() for c in ("key", "side", "group"))
+            packed = table.column("packed").to_pylist()
             flag = np.zeros(table.num_rows, bool)
             for i, j in zip(at, at[1:]):
                 members = _Members(int(key[i]), packed[i:j])
                 for r in range(j - i - 1):
-                    near = members.near(r, distance)
+                    near = members.near(r, distance, side[i:j], group[i:j])
                     flag[i + near] = True
                     flag[i + r] |= len(near) > 0
             if flag.any():
-                yield from table.select(["key", "part", "node"]).filter(pa.array(flag)).combine_chunks().to_batches()
+                yield from table.select(["key", "part", "node", "side", "group"]).filter(pa.array(flag)).combine_chunks().to_batches()
 
     return run
 
@@ -291,13 +292,14 @@ def _verified(distance: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["key", "part"]):
             at = bounds(table, ["key", "part"])
-            key, node, packed, text = table.column("key").to_numpy(), table.column("node").to_numpy(), table.column("packed").to_pylist(), table.column("t")
+            key, node, side, group = (table.column(c).to_numpy() for c in ("key", "node", "side", "group"))
+            packed, text = table.column("packed").to_pylist(), table.column("t")
             edges: list[np.ndarray] = []
             for i, j in zip(at, at[1:]):
                 members, label = _Members(int(key[i]), packed[i:j]), np.arange(j - i)
                 sets = [shingle_set(t, width) for t in as_bytes(text.slice(i, j - i))]
                 for r in range(j - i - 1):
-                    near = members.near(r, distance)
+                    near = members.near(r, distance, side[i:j], group[i:j])
                     near = near[label[near] != label[r]]
                     if not len(near):
                         continue
@@ -343,8 +345,11 @@ def similar_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, te
     Equal sets are one node. 64 bits tell texts of this similarity apart from others too coarsely, and no exact key search reaches
     their distance. So fingerprints have 256 bits, candidates meet in the buckets of their views, and pigeonring with a wide
     distance prunes them. Every link is then verified on the whole sets: the candidates' texts come to their buckets, each
-    pair in the first view that it shares. A bucket of more than PAIRED nodes is dealt to parts of about that size, each with the
-    bucket's least node, so that a hot group is linked through it; the other views deal it differently.
+    pair in the first view that it shares.
+
+    A bucket of more than PAIRED nodes is dealt to parts of about that size, each with the bucket's least node, so that a hot
+    group is linked through it. Then the parts are paired block by block, and what the links so far leave in different
+    components is compared across them; a bucket that is one component already needs no blocks. So no pair of a bucket is lost.
     """
     scratch = scratch or Scratch(docs.sparkSession, "similar")
 
@@ -359,21 +364,33 @@ def similar_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, te
     one = F.min(F.struct("doc_id", "hash")).alias("one")  # a row that has the node's text
     nodes = scratch.keep(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), one, F.min("packed").alias("packed"), F.min("keys").alias("keys")), "nodes")
     sizes = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    rows = nodes.select("node", "packed", F.explode("keys").alias("key")).join(sizes, "key")
+    sizes = scratch.keep(sizes, "sizes")
 
     def edges(dealt: DataFrame) -> DataFrame:
-        """Verified links within the parts (key, part, node, packed)."""
-        placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_candidates(distance), "key long, part int, node long")
+        """Verified links within the parts (key, part, node, side, group, packed), between sides and groups only."""
+        dealt = dealt.select("key", "part", "node", "side", "group", "packed")
+        placed = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_candidates(distance), "key long, part long, node long, side long, group long")
         placed = scratch.keep(placed, "candidates")
         wanted = placed.select("node").distinct().join(nodes, "node").select("node", "packed", F.col("one.doc_id").alias("id"), F.col("one.hash").alias("hash"))
         texts = source.join(wanted, (source.hash == wanted.hash) & source.doc_id.eqNullSafe(wanted.id)).groupBy("node").agg(F.first("packed").alias("packed"), F.first("t").alias("t"))
-        brought = placed.join(texts, "node").select("key", "part", "node", "packed", "t")
-        return brought.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_verified(distance, width), "a long, b long")
+        brought = placed.join(texts, "node").select("key", "part", "node", "side", "group", "packed", "t")
+        return scratch.keep(brought.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_verified(distance, width), "a long, b long"), "links")
 
-    parts = F.ceil(F.col("n") / PAIRED).cast("int")
-    mine = F.pmod(F.xxhash64("node", "key"), parts).cast("int")
-    part = F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(mine)))
-    groups = connected_components(edges(rows.select("key", part.alias("part"), "node", "packed")), scratch=scratch)
+    parts = F.ceil(F.col("n") / PAIRED)
+    mine = F.pmod(F.xxhash64("node", "key"), parts)
+    part = F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(mine)))
+    rows = nodes.select("node", "packed", F.explode("keys").alias("key")).join(sizes, "key")
+    links = edges(rows.withColumns({"part": part, "side": F.lit(-1).cast("long"), "group": F.col("node")}))
+    groups = connected_components(links, scratch=scratch)
+    hot = sizes.where(F.col("n") > PAIRED)
+    if hot.head(1):
+        now = nodes.join(groups, "node", "left").select("node", "packed", "keys", F.coalesce("component", "node").alias("group"))
+        rows = scratch.keep(now.select("node", "packed", "group", F.explode("keys").alias("key")).join(hot, "key"), "hot")
+        apart = rows.groupBy("key").agg((F.min("group") != F.max("group")).alias("apart")).where("apart").select("key")
+        rows = rows.join(apart, "key", "left_semi").withColumns({"side": mine, "parts": parts})
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other != side")
+        links = links.unionByName(edges(rows.withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))))
+        groups = connected_components(links, scratch=scratch)
     placed = scratch.keep(nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part")), "placed")
     lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
     return sketched.select("doc_id", "node").join(placed.join(lowest, "part").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -241,6 +241,18 @@ def test_links_are_verified_on_shingles(spark):
     assert kept == {r[0] for r in rows} - gone
 
 
+def test_hot_buckets_lose_no_pair(spark, monkeypatch):
+    """All texts share a template, so buckets are hot, but only pairs of 0.8 or more go; parts can't be linked through one node."""
+    monkeypatch.setattr(simhash, "PAIRED", 8)
+    rng = random.Random(13)
+    base, rows = [f"t{k}" for k in range(440)], []
+    for i in range(80):
+        both = [f"p{i}x{k}" for k in range(12)]
+        rows += [doc(2 * i + side, " ".join(base + both + [f"u{rng.randrange(10**8)}" for _ in range(48)])) for side in (0, 1)]
+    assert similar(rows) == {(2 * i, 2 * i + 1) for i in range(80)}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOC)).collect()) == list(range(0, 160, 2))
+
+
 # ---------------------------------------------------------------- 3: mixing
 
 
