@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Template tokens of a window, and of the least stretch that counts (a shorter benchmark text must be there whole).
 WINDOW, STRETCH = 8, 12
+#: Template tokens of the least part that counts of a stretch whose slots contradict each other. A part as short as STRETCH may be
+#: the common frame of a question about someone or something else.
+PART = 24
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes several passes.
 BLOCK = 16 << 20
 #: Bytes of a document that are taken in at once; pieces overlap by OVERLAP bytes and meet at a blank.
@@ -164,24 +167,59 @@ class Index:
             for i, j in zip(np.append(0, cut), np.append(cut, len(at))):
                 item_id, t = self.items[who[i]]
                 length, base = int(at[j - 1] - at[i]) + n, int(at[i] - shift[i])
-                if length < min(STRETCH, len(t.token)) or length <= found.get(item_id, (0, 0))[0]:
+                least = min(STRETCH, len(t.token))
+                if length < least or length <= found.get(item_id, (0, 0))[0]:
                     continue
-                if (changed := _consistent(t, base, doc, int(at[i]), length)) is not None:
-                    found[item_id] = (length, changed)
+                best = _longest(t, base, doc, int(at[i]), length, max(least, found.get(item_id, (0, 0))[0] + 1))
+                if best is not None:
+                    found[item_id] = best
         return found
 
 
-def _consistent(item: Tokens, i: int, doc: Tokens, j: int, length: int) -> int | None:
-    """Slots with other values than the item's, or None if two slots of one value in the item differ in the document,
-    or the other way round, or if literal words are fewer than half."""
+def _longest(item: Tokens, i: int, doc: Tokens, j: int, length: int, least: int) -> tuple[int, int] | None:
+    """(tokens, changed slots) of the longest part of a stretch that agrees and has `least` tokens or more, or None.
+
+    A part agrees if all its slots have the item's values; or if one value in the item is one value in the document and the
+    other way round, and literal words are half or more. In a stretch with a contradiction a part has PART tokens at least. For each end the earliest consistent start is kept while the end
+    moves on; only where words are too few in that part are later starts tried.
+    """
     a, b = item.value[i : i + length], doc.value[j : j + length]
     slot = item.slot[i : i + length]
-    if 2 * slot.sum() > length:
-        return None
+    differs = slot & (a != b)
     pairs = set(zip(a[slot].tolist(), b[slot].tolist()))
-    if len({x for x, _ in pairs}) != len(pairs) or len({y for _, y in pairs}) != len(pairs):
-        return None
-    return int((a[slot] != b[slot]).sum())
+    if not len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+        least = max(least, PART)
+    best: tuple[int, int] | None = None
+
+    def take(start: int, end: int) -> None:
+        nonlocal best, least
+        best, least = (end - start, int(differs[start:end].sum())), end - start + 1
+
+    # verbatim parts lie between slots that differ
+    cuts = np.concatenate(([-1], np.flatnonzero(differs), [length]))
+    k = int(np.diff(cuts).argmax())
+    if cuts[k + 1] - cuts[k] - 1 >= least:
+        take(int(cuts[k]) + 1, int(cuts[k + 1]))
+    # the last place at which a slot contradicts an earlier one bounds the start; balance is words less slots before each place
+    balance = np.concatenate(([0], np.cumsum(np.where(slot, -1, 1))))
+    low, last_x, last_y = 0, {}, {}
+    slots = np.flatnonzero(slot).tolist()
+    x_at, y_at = a.tolist(), b.tolist()
+    for at, end in zip([*slots, None], [*slots, length]):
+        # parts that end before this slot; ends between two slots only add words, so the latest is the best
+        if end - low >= least:
+            start = low + np.flatnonzero(balance[low : end - least + 1] <= balance[end])
+            if len(start):
+                take(int(start[0]), end)
+        if at is None:
+            break
+        x, y = x_at[at], y_at[at]
+        # all other pairs of x or of y must be left of the part
+        for seen, key, value in ((last_x, x, y), (last_y, y, x)):
+            known = seen.setdefault(key, {})
+            low = max([low, *(p + 1 for other, p in known.items() if other != value)])
+            seen[key] = {value: at}
+    return best
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -222,9 +260,10 @@ def indexes(benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, n_tokens, n_changed): which documents hold which benchmark texts, as they are or re-parameterised.
 
-    A document holds an item if at least STRETCH template tokens in a row agree (all of a shorter item), at least half
-    are literal words, and slots agree consistently: one value in the item is one value in the document and the
-    other way round. n_tokens is the longest such stretch, n_changed the slots in it with another value.
+    A document holds an item if at least STRETCH template tokens in a row agree (all of a shorter item), and either all their
+    slots have the item's values, or at least half are literal words and slots agree consistently: one value in the item
+    is one value in the document and the other way round. n_tokens is the longest such stretch, n_changed the slots in it
+    with another value; where a slot contradicts others, parts of PART tokens or more count.
 
     The benchmark goes to the tasks in blocks of at most BLOCK bytes, one pass over the documents a block, so memory
     is bounded at any size of the benchmark. Null and empty texts hold nothing; repeated documents give one row; a document

@@ -405,6 +405,38 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.decontaminate(odd, bench.limit(0)).columns == odd.columns
 
 
+def test_decontamination_keeps_parts_around_a_contradiction(spark):
+    rng = random.Random(14)
+    left, right = prose(rng, 40), prose(rng, 60)
+    rows = [(1, f"{left} 3 {right} 3 magna."), (2, "Then Anna 4 Berta 5 Clara 6 Dora 7 Emma 8 Frida 9 Greta 11 Hanna 12 went.")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [f"{left} 4 {right} 5 magna.", rows[1][1], "Then Anna 4 Berta 5 Clara 6 Dora 1 Emma 2 Frida 0 Greta 1 Hanna 2 went."]
+    docs = spark.createDataFrame([doc(i, x) for i, x in enumerate(texts)], DOC)
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_changed"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(0, 1), (1, 2)}
+    assert got[0, 1] == (101, 1) and got[1, 2][1] == 0
+
+
+def test_longest_part_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 2)
+    rng = random.Random(15)
+    for _ in range(400):
+        n, least = rng.randrange(3, 24), rng.randrange(2, 8)
+        slot = np.array([rng.random() < 0.5 for _ in range(n)])
+        a = np.array([rng.randrange(4) if s else 9 for s in slot], np.uint64)
+        b = np.array([(x if rng.random() < 0.6 else rng.randrange(4)) if s else 9 for s, x in zip(slot, a)], np.uint64)
+        item, other = (decontaminate.Tokens(v, v, slot, np.arange(n), np.arange(n)) for v in (a, b))
+
+        def agrees(i, j):
+            pairs = set(zip(a[i:j][slot[i:j]].tolist(), b[i:j][slot[i:j]].tolist()))
+            one = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+            return (a[i:j] == b[i:j]).all() or (one and 2 * slot[i:j].sum() <= j - i)
+
+        want = max((j - i for i in range(n) for j in range(i + least, n + 1) if agrees(i, j)), default=None)
+        got = decontaminate._longest(item, 0, other, 0, n, least)
+        assert (got and got[0]) == want
+
+
 def test_decontamination_in_blocks_and_pieces(spark, monkeypatch):
     rng = random.Random(16)
     items = [(i, prose(random.Random(100 + i), 30)) for i in range(12)]
