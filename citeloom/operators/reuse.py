@@ -10,6 +10,8 @@ from ..session import Scratch
 from .components import connected_components
 
 WORDS, LEAST, PERMUTATIONS, BANDS = 5, 40, 128, 32
+#: Documents of a band's bucket that are paired directly; more go through the prefix filter.
+BUCKET = 200
 #: A Mersenne prime and the seed of the MinHash family.
 PRIME, SEED = (1 << 61) - 1, 17
 
@@ -72,22 +74,38 @@ def _expanded(pairs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
 
 def minhash(hashes: Column, permutations: int = PERMUTATIONS) -> Column:
     """Signature: for each permutation the smallest rehash."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, i=i: F.xxhash64(h, F.lit(SEED + i)))) for i in range(permutations)])
+
+    def least(seed: int) -> Column:  # a lambda with a second parameter would get the element's index in it
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    return F.array(*[least(SEED + i) for i in range(permutations)])
 
 
 def lsh_pairs(sets: DataFrame, threshold: float = 0.8, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
-    """(a, b, jaccard): candidates that share a band, verified exactly.
+    """(a, b, jaccard): all pairs at or over the threshold that share a band, verified exactly.
 
-    In each bucket documents are paired with the bucket's smallest one and their neighbours in order of sets, so a bucket costs
-    rows in proportion to its size; the clusters that the pairs span are the same as those of all pairs of near copies.
+    Equal sets are one class, as in `jaccard_pairs`. In a bucket of up to BUCKET classes all pairs are candidates. Classes
+    in a larger bucket are compared by `jaccard_pairs`, whose prefix filter finds every pair among them, so no link is lost.
     """
+    scratch = Scratch(sets.sparkSession, "lsh")
+    sets = scratch.keep(sets.withColumn("key", F.xxhash64(F.array_sort("hashes"))), "sets")
     rows = permutations // bands
-    s = sets.withColumn("sig", minhash(F.col("hashes"), permutations))
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, rows)).alias("key")) for b in range(bands)])
-    buckets = s.select("doc", F.explode(keys).alias("k")).select("doc", "k.band", "k.key")
-    low = buckets.groupBy("band", "key").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    star = buckets.join(low, ["band", "key"]).where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    return _verified(star, sets, threshold)
+    s = sets.withColumn("sig", F.array(minhash(F.col("hashes"), permutations)))
+    keys = lambda sig: F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice(sig, b * rows + 1, rows)).alias("bucket")) for b in range(bands)])
+    signed = scratch.keep(s.select("doc", "n", "key", F.transform("sig", keys)[0].alias("keys")), "signed")  # without the sets: these aren't shuffled for it
+    reps = scratch.keep(signed.groupBy("key", "n").agg(F.min("doc").alias("rep")), "reps")
+    own = signed.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    buckets = scratch.keep(own.select("doc", "n", F.explode("keys").alias("k")).select("doc", "n", "k.band", "k.bucket"), "buckets")
+    sizes = scratch.keep(buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
+    cold = buckets.join(sizes.where(F.col("c") <= BUCKET), ["band", "bucket"])
+    x, y = cold.alias("x"), cold.alias("y")
+    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc") < F.col("y.doc"))
+    near = near & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9)
+    pairs = _verified(x.join(y, near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), sets, threshold)
+    hot = scratch.keep(buckets.join(sizes.where(F.col("c") > BUCKET), ["band", "bucket"]).select("doc").distinct(), "hot")
+    if hot.head(1):
+        pairs = pairs.unionByName(jaccard_pairs(sets.join(hot, "doc", "left_semi").select("doc", "hashes", "n"), threshold)).distinct()
+    return _expanded(pairs, signed, reps)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

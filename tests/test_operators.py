@@ -84,6 +84,22 @@ def test_near_numbers_equal_brute_force(spark):
     assert got == {(a, b) for a in left for b in right if osa(a, b) == 1}
 
 
+@pytest.mark.parametrize("bucket", [200, 5])
+def test_lsh_pairs_equal_brute_force(spark, monkeypatch, bucket):
+    """Sets on one template share buckets with others that aren't similar, the smallest of them among these; 3 copies are one class."""
+    monkeypatch.setattr(reuse, "BUCKET", bucket)
+    sets = {0: set(range(100)) | set(range(10**7, 10**7 + 14))}
+    for i in range(1, 41):
+        both = range(1000 * (i // 2 + 1), 1000 * (i // 2 + 1) + 8)
+        sets[i] = set(range(100)) | set(both) | set(range(10**5 * i, 10**5 * i + 8))
+    sets |= {50: sets[7], 51: sets[7]}
+    want = {(a, b) for a in range(41) for b in range(a + 1, 41) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])} | {(7, 50), (7, 51)}
+    assert len(want) == 21
+    df = spark.createDataFrame([(i, sorted(v), len(v)) for i, v in sets.items()], "doc long, hashes array<bigint>, n long")
+    got = {(r["a"], r["b"]) for r in reuse.lsh_pairs(df).collect()}
+    assert (want - got, got - want) == (set(), set())
+
+
 def test_jaccard_pairs_equal_brute_force(spark):
     rng = random.Random(2)
     base = [[rng.choice("abcdefghij") for _ in range(60)] for _ in range(12)]
