@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,15 @@ from ..session import Scratch
 
 #: Vectors that fitting takes at most; distinct vectors a list should hold; lists at most; vectors of a list in one block.
 SAMPLE, LIST, LISTS, BLOCK = 20_000, 100, 4096, 20_000
-#: Lists a vector is put into at most and the distance ratio up to which; lists a query reads at least, at most, and the ratio.
-COPIES, CLOSE, PROBES_LEAST, PROBES, REACH = 4, 1.15, 12, 96, 1.3
+#: Lists a vector is put into at most and the distance ratio up to which; lists a query reads at least, in number and as a share of
+#: all lists (a fixed number loses recall as lists grow in number); lists that it reads within the ratio REACH.
+COPIES, CLOSE, PROBES_LEAST, SHARE, PROBES, REACH = 4, 1.15, 12, 0.2, 96, 1.3
+
+
+def probes(lists: int) -> tuple[int, int]:
+    """Least and most lists that a query reads."""
+    least = max(PROBES_LEAST, math.ceil(SHARE * lists))
+    return least, max(PROBES, least)
 
 
 @dataclass
@@ -134,6 +142,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow()
     index = Centroids.fit(_matrix(sample.column(0).combine_chunks()), min(LISTS, max(1, round(count / LIST)), max(1, sample.num_rows // 4)))
     shared = spark.sparkContext.broadcast(index)
+    least, most = probes(len(index.points))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +159,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
         for batch in batches:
             for j in range(0, batch.num_rows, 1024):
                 part = batch.slice(j, 1024)
-                row, to = shared.value.lists(_matrix(part.column(1)), PROBES + 32, PROBES_LEAST, PROBES, REACH)
+                row, to = shared.value.lists(_matrix(part.column(1)), most + 32, least, most, REACH)
                 times = np.array([parts.get(int(x), 0) for x in to], dtype=np.int64)
                 block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 row = pa.array(np.repeat(row, times))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(to, times), pa.int32()), pa.array(block, pa.int32()), part.column(0).take(row), part.column(1).take(row)], ["list", "block", "id", "v"])
 
-    probes = asked.select("id", "v").mapInArrow(probe, "list int, block int, id long, v array<double>")
+    probed = asked.select("id", "v").mapInArrow(probe, "list int, block int, id long, v array<double>")
     sizes = F.create_map(*[F.lit(x) for kv in parts.items() if kv[1] > 1 for x in kv]) if any(n > 1 for n in parts.values()) else None
     block = F.pmod(F.xxhash64("v"), F.coalesce(sizes[F.col("list")], F.lit(1))).cast("int") if sizes is not None else F.lit(0)
     postings = postings.withColumn("block", block)
@@ -178,7 +187,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    found = probes.groupBy("list", "block").cogroup(postings.groupBy("list", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = probed.groupBy("list", "block").cogroup(postings.groupBy("list", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -383,6 +383,22 @@ def test_ann_blocks_of_a_list(spark, monkeypatch):
     assert got == {(q, k + 1): int(j) for q in range(5) for k, j in enumerate([j for j in np.argsort(-(m @ m[q])) if j != q][:5])}
 
 
+def test_probed_lists_keep_recall_as_lists_grow():
+    """Vectors without clusters, 2,048 lists: brute force against what the probed lists hold."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_480, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.Centroids.fit(x, 2048)
+    row, to = index.lists(x, 24, 1, ann.COPIES, ann.CLOSE)
+    q, (least, most) = x[:60], ann.probes(2048)
+    asked, read = index.lists(q, most + 32, least, most, ann.REACH)
+    hit = 0
+    for i in range(60):
+        want = set(np.argsort(-(x @ q[i]))[1:6].tolist())
+        hit += len(want & set(row[np.isin(to, read[asked == i])].tolist()))
+    assert hit >= 0.95 * 300
+
+
 # ---------------------------------------------------------------- 7: decontamination
 
 ITEM = "A train leaves Paris at 90 km per hour and meets John after 3 hours; how far did John travel before the train stopped in Paris again today"
