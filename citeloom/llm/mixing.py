@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..session import Scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Pieces that documents of one source and size class are dealt to by their id, for the prefix sums.
 PIECES = 1024
+#: Parts that rows equal in id, size and text are dealt to.
+SALTS = 256
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -32,41 +34,72 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return s.withColumn("first", first).select("_mix_sk", "_mix_sn", "source_size", F.when(F.col("open"), F.col("first") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
+def word_count(text: Column) -> Column:
+    """Number of words as a long, null as 0. Each word is replaced by one character, so no array of a text's words is built."""
+    marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "x")
+    return F.coalesce(F.length(F.translate(marks, " \t\n\x0b\f\r", "")), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """docs with size, source_size, target and copies (times the mix takes the row) added in place of columns so named.
 
     Every document of a source is expected target / source_size times. Documents stand in an order by size class, piece
-    (id modulo PIECES) and id; their expected copies are prefix-summed, a source's offset in [0, 1) from a digest of its
-    name is added, and a document is emitted once for each integer its interval crosses. Neighbours in this order are
-    about equally long, so the words taken stay within about one document of the target. Prefix sums have three levels,
-    each in bounded windows: size classes of a source, pieces of a class, documents of a piece. The result doesn't
-    depend on partitions, so reruns agree.
+    (id modulo PIECES, or a hash of an id that is no whole number), id and size; their expected copies are prefix-summed,
+    a source's offset in [0, 1) from a digest of its name is added, and a document is emitted once for each integer its
+    interval crosses. Neighbours in this order are about equally long, so the words taken stay within about one document
+    of the target.
+
+    Texts are counted once and the rows are written with what orders them. Prefix sums have four levels, each over counts
+    of the level below: classes of a source, pieces of a class, cells of a piece, rows of a cell. A cell holds the rows of
+    one id, size and text that were dealt to one of SALTS salts as they were written. So rows that share an id, or have
+    none, are spread too, however many there are. Rows of one cell are equal in id, size and text, so any order among
+    them gives the same mix, and reruns agree.
 
     A null text has size 0, a null source is a source of its own, a null id is ordered first; repeated rows count each.
-    Sources without words are expected 0 times. `keep` names the columns of docs to carry (default: all).
+    Sources without words are expected 0 times. `keep` names the columns of docs to carry (default: all), by any name.
     """
+    scratch = Scratch(docs.sparkSession, "mix")
     new = ["size", "source_size", "target", "copies"]
     rest = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    d = docs.select(*rest, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.col(source), F.lit("")).alias("_mix_sk"), F.col(source).isNull().alias("_mix_sn"))
-    bits = F.length(F.bin("size"))
-    d = d.withColumn("_mix_class", bits * 8 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 4, 0)) % 8 as int)"))
-    d = d.withColumn("_mix_piece", F.pmod(F.coalesce(F.col(doc_id), F.lit(0)), F.lit(PIECES)).cast("int"))
-    pieces = d.groupBy("_mix_sk", "_mix_sn", "_mix_class", "_mix_piece").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    pieces = Scratch(docs.sparkSession, "mix").keep(pieces, "pieces")  # read three times, so that texts are counted once for it
-    earlier = lambda *keys: Window.partitionBy("_mix_sk", "_mix_sn", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    classes = pieces.groupBy("_mix_sk", "_mix_sn", "_mix_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    goals = targets(classes.groupBy("_mix_sk", "_mix_sn").agg(F.sum("words").alias("source_size")), weights, share, most)
-    classes = classes.select("_mix_sk", "_mix_sn", "_mix_class", F.coalesce(F.sum("n").over(earlier("_mix_class")), F.lit(0)).alias("_mix_before_class"))
-    pieces = pieces.select("_mix_sk", "_mix_sn", "_mix_class", "_mix_piece", F.coalesce(F.sum("n").over(earlier("_mix_class", "_mix_piece")), F.lit(0)).alias("_mix_before_piece"))
-    pieces = pieces.join(classes.join(goals, ["_mix_sk", "_mix_sn"]), ["_mix_sk", "_mix_sn", "_mix_class"])
-    order = Window.partitionBy("_mix_sk", "_mix_sn", "_mix_class", "_mix_piece").orderBy(F.col(doc_id).asc_nulls_first(), "size")
-    placed = d.withColumn("_mix_place", F.row_number().over(order)).join(pieces, ["_mix_sk", "_mix_sn", "_mix_class", "_mix_piece"])
+    col = lambda c: F.col(f"`{c}`")
+    whole = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    piece = F.coalesce(col(doc_id), F.lit(0)) if whole else F.xxhash64(col(doc_id))
+    d = docs.select(
+        F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("row"),
+        F.coalesce(col(source), F.lit("")).alias("_mix_sk"),
+        col(source).isNull().alias("_mix_sn"),
+        col(doc_id).alias("id"),
+        word_count(col(text)).alias("size"),
+        F.xxhash64(col(text)).alias("tie"),
+        F.pmod(piece, F.lit(PIECES)).cast("int").alias("piece"),
+    )
+    d = d.withColumn("class", F.length(F.bin("size")) * 8 + F.expr("cast(shiftright(size, greatest(length(bin(size)) - 4, 0)) % 8 as int)"))
+    d = scratch.keep(d.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "rows")
+    of, cell = ["_mix_sk", "_mix_sn"], ["id", "size", "tie", "salt"]
+    cells = scratch.keep(d.groupBy(*of, "class", "piece", *cell).agg(F.count(F.lit(1)).alias("n")), "cells")
+    pieces = scratch.keep(cells.groupBy(*of, "class", "piece").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words")), "pieces")
+    classes = pieces.groupBy(*of, "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    goals = targets(classes.groupBy(*of).agg(F.sum("words").alias("source_size")), weights, share, most)
+
+    def before(counts: DataFrame, keys: list[str], *order: Column | str) -> Column:
+        w = Window.partitionBy(*of, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    classes = classes.select(*of, "class", before(classes, [], "class").alias("in_source"))
+    pieces = pieces.select(*of, "class", "piece", before(pieces, ["class"], "piece").alias("in_class"))
+    cells = cells.select(*of, "class", "piece", *cell, before(cells, ["class", "piece"], F.col("id").asc_nulls_first(), "size", "tie", "salt").alias("in_piece"))
+    cells = cells.join(pieces, [*of, "class", "piece"]).join(classes.join(goals, of), [*of, "class"])
     digest = F.conv(F.substring(F.md5(F.concat(F.lit("offset:"), F.col("_mix_sk"), F.col("_mix_sn").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank = F.col("_mix_before_class") + F.col("_mix_before_piece") + F.col("_mix_place")
-    placed = placed.select(*rest, "size", "source_size", "target", rate.alias("_mix_rate"), rank.cast("double").alias("_mix_rank"), digest.alias("_mix_offset"))
-    copies = F.floor(F.col("_mix_rate") * F.col("_mix_rank") + F.col("_mix_offset")) - F.floor(F.col("_mix_rate") * (F.col("_mix_rank") - 1.0) + F.col("_mix_offset"))
-    return placed.select(*rest, "size", "source_size", "target", copies.cast("long").alias("copies"))
+    ahead = F.col("in_source") + F.col("in_class") + F.col("in_piece")
+    known = {"known": F.coalesce("id", F.lit(0)) if whole else F.coalesce(F.col("id").cast("string"), F.lit("")), "null": F.col("id").isNull()}  # a null id joins too
+    key = [*of, *known, "size", "tie", "salt"]
+    cells = cells.withColumns(known).select(*key, ahead.alias("ahead"), "source_size", "target", rate.alias("rate"), digest.alias("offset"))
+    d = d.withColumns(known).select("row", *key)
+    placed = d.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).join(cells, key)
+    rank = (F.col("ahead") + F.col("at")).cast("double")
+    copies = F.floor(F.col("rate") * rank + F.col("offset")) - F.floor(F.col("rate") * (rank - 1.0) + F.col("offset"))
+    return placed.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(rest)], "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 SQL = r"""
