@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Most text bytes that one step of a vectorised function takes in; one longer text is taken alone.
 STEP_BYTES = 8 << 20
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(names: list[str]) -> list[Column]:
+    return [F.col(quoted(c)) for c in names]
+
+
+def add_columns(df: DataFrame, keep: list[str], used: list[str | Column], function: Callable[..., list[pa.Array]], added: str) -> DataFrame:
+    """The columns `keep` of df, and `added` (name type, ...), which function makes of a batch's `used` columns, row by row.
+
+    `used` names kept columns, or gives others as Columns. Columns travel under names of their own, so df's may be any.
+    """
+    names, new = [f"c{i}" for i in range(len(keep))], [x.split()[0] for x in added.split(", ")]
+    extra = [u for u in used if isinstance(u, Column)]
+    rows = df.select(*[c.alias(x) for c, x in zip(columns(keep), names)], *[u.alias(f"u{i}") for i, u in enumerate(extra)])
+    places, at = [], len(keep)
+    for u in used:
+        places.append(keep.index(u) if isinstance(u, str) else at)
+        at += not isinstance(u, str)
+    kept = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = function(*[batch.column(i) for i in places])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], [*names, *new])
+
+    schema = ", ".join([f"{x} {df.schema[c].dataType.simpleString()}" for x, c in zip(names, keep)] + [added])
+    return rows.mapInArrow(run, schema).select(*[F.col(x).alias(c) for x, c in zip(names, keep)], *new)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Values of a binary column; null becomes empty."""
     return [x or b"" for x in column.to_pylist()]
