@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,17 @@ def fold(doc_id: str | Column, count: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % count, F.lit(-1)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, balanced: bool, longest: int = 20_000) -> list[tuple[str, int]]:
+#: Characters of text that a fitting sample holds before its last row. Rows of any length take part, whole.
+CHARACTERS = 64 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, balanced: bool, characters: int = CHARACTERS) -> list[tuple[str, int]]:
     """(text, label) of at most `bound` labelled rows, half of each label if balanced.
 
-    Rows are taken in the order of a hash of their id, so the sample doesn't depend on partitions. Only texts of up to
-    `longest` characters take part, whole, so the driver gets bound * longest characters at most. Labels that are null
-    or not 0 or 1 are left out; of repeated labels the largest counts; of repeated documents the smallest text.
+    Rows are taken in the order of a hash of their id, so the sample doesn't depend on partitions, and until their texts
+    have `characters` characters in all; so the driver gets that much and one text more at most. Texts are taken whole,
+    whatever their length. Labels that are null or not 0 or 1 are left out; of repeated labels the largest counts; of
+    repeated documents the smallest text.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = [F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id")]
@@ -29,12 +34,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, balanced:
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most 2 * bound rows of two numbers
-        .where((F.length("text") <= longest) & (F.length("text") > 0))
+        .where(F.length("text") > 0)
         .groupBy("doc_id", "y")
         .agg(F.min("text").alias("text"))
         .withColumn("h", order[0])
     )
-    got = rows.orderBy("h", "doc_id").limit(2 * bound if balanced else bound).collect()
-    if balanced:
-        got = sorted((r for v in (0, 1) for r in [r for r in got if r["y"] == v][: bound // 2]), key=lambda r: (r["h"], r["doc_id"]))
-    return [(r["text"], r["y"]) for r in got]
+    by = Window.partitionBy("part").orderBy("h", "doc_id")  # over at most 2 * bound rows
+    rows = rows.withColumn("part", F.col("y") if balanced else F.lit(0))
+    rows = rows.withColumns({"at": F.row_number().over(by), "before": F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")})
+    parts_of = 2 if balanced else 1
+    got = rows.where((F.col("at") <= bound // parts_of) & (F.col("before") < characters // parts_of)).select("h", "doc_id", "text", "y").collect()
+    return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"]))]

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import add_columns
+
 DIM = 1 << 13
-#: Rows of each language that fitting takes at most, and languages at most.
-SAMPLE, LANGUAGES, CENTROIDS = 400, 200, 3
-#: Longest text, in characters, that fitting takes; the longest piece scored at once, in bytes.
-LONGEST, PIECE = 20_000, 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: Rows of each language that fitting takes at most, of all languages about, and of each language in any case; centroids of each.
+SAMPLE, ROWS, LEAST, CENTROIDS = 400, 80_000, 20, 3
+#: Characters of all languages' rows about, dealt to them equally; the longest piece of a text counted at once, in bytes.
+CHARACTERS, PIECE = 64 << 20, 1 << 20
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a letter; numerals such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def counts(text: str) -> np.ndarray:
@@ -73,39 +73,52 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, reject: float = 0.005, seed: int = 42) -> Model:
-    """rows: (text, language). The rejection bound is the `reject` quantile of the sample's own cosines."""
-    rows = [r for r in rows if has_letter(r[0])]
-    names = sorted({lang for _, lang in rows})
-    if not rows:
+    """rows: (text, language). The rejection bound is the `reject` quantile of the sample's own cosines.
+
+    Vectors are made language by language, so those of one are held at a time.
+    """
+    texts: dict[str, list[str]] = {}
+    for text, lang in rows:
+        if has_letter(text):
+            texts.setdefault(lang, []).append(text)
+    names = sorted(texts)
+    if not names:
         return Model(np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, np.int64), [], 0.0)
-    raw = np.stack([counts(t) for t, _ in rows]).astype(np.float32)
-    idf = np.log((1 + len(rows)) / (1 + (raw > 0).sum(axis=0))) + 1
+    raw = lambda name: np.stack([counts(t) for t in texts[name]]).astype(np.float32)
+    idf = np.log((1 + sum(map(len, texts.values()))) / (1 + sum((raw(k) > 0).sum(axis=0) for k in names))) + 1
     model = Model(idf, np.zeros((0, DIM)), np.zeros(0, np.int64), names, 0.0)
-    x, lang = model.vectors(raw), np.array([names.index(v) for _, v in rows])
     rng = np.random.default_rng(seed)
-    made = [_cluster(x[lang == k], centroids, rng) for k in range(len(names))]
+    made = [_cluster(model.vectors(raw(k)), centroids, rng) for k in names]
     model.centroids, model.owner = np.concatenate(made).astype(np.float32), np.repeat(np.arange(len(names)), [len(m) for m in made])
-    model.least = float(np.quantile(model.predict(raw)[1], reject))
+    model.least = float(np.quantile(np.concatenate([model.predict(raw(k))[1] for k in names]), reject))
     return model
 
 
 def train(docs: DataFrame, learn: Column | None = None, lang: str = "lang", text: str = "text", bound: int = SAMPLE) -> Model:
-    """Fit on at most `bound` rows of each of the LANGUAGES most frequent languages, taken in the order of a hash of their id.
+    """Fit on at most `bound` rows of every language, in the order of a hash of their id.
 
-    Only texts of up to LONGEST characters take part, whole, so the driver gets a bounded number of characters. The
-    ranking keeps at most `bound` rows a language in each task before anything is shuffled.
-    """
-    from pyspark.sql import Window
+    All languages take part. With more than ROWS / `bound` of them each gives fewer rows, but LEAST in any case, and a
+    language's rows end once they have its share of CHARACTERS; texts are taken whole, whatever their length. So the driver
+    gets a bounded sample. A model holds CENTROIDS * DIM numbers (0.1 MB) a language.
 
-    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0) & (F.length(text) <= LONGEST))
+    Rows whose hash is beyond four times the wanted share of their language are dropped before anything is shuffled.
+    """
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     known = known.where(learn) if learn is not None else known
-    frequent = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
-    ids = known.select(lang, "doc_id", F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
-    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(lang).orderBy("h", "doc_id"))).where(F.col("n") <= bound)
-    ids = ids.join(F.broadcast(frequent.select(lang)), lang, "left_semi").select("doc_id").distinct()
-    rows = known.join(F.broadcast(ids), "doc_id", "left_semi")  # at most LANGUAGES * bound ids
-    got = rows.select("doc_id", text, lang).orderBy("doc_id", lang, text).limit(LANGUAGES * bound).collect()
-    return fit([(r[1], r[2]) for r in got])
+    known = known.select(F.col(lang).alias("lang"), F.col("doc_id").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("id", "digest")).alias("n"))
+    languages = sizes.count()
+    per = max(LEAST, min(bound, ROWS // max(languages, 1)))
+    share = CHARACTERS // max(languages, 1)
+    drawn = known.select("lang", "id", "digest", F.length("text").alias("size"), F.xxhash64(F.lit("sample"), "id", "digest").alias("h"))
+    drawn = drawn.join(F.broadcast(sizes), "lang")  # a row a language
+    drawn = drawn.where(F.col("h").cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(4.0 * per / F.col("n"), F.lit(1.0))).distinct()
+    by = Window.partitionBy("lang").orderBy("h", "id", "digest")
+    first = drawn.withColumn("at", F.row_number().over(by)).where(F.col("at") <= per)
+    first = first.withColumn("before", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).where(F.col("before") < share)
+    rows = known.join(F.broadcast(first.select("lang", F.col("id").alias("i"), "digest", "h")), ["lang", "digest"])  # a few numbers a row of the sample
+    rows = rows.where(F.col("id").eqNullSafe(F.col("i"))).groupBy("lang", "h", "digest").agg(F.min("text").alias("text"))
+    return fit([(r["text"], r["lang"]) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["digest"]))])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -117,20 +130,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     new = ["lang_pred", "score", "rejected"]
     rest = [c for c in docs.columns if c.lower() not in new]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", lang_pred string, score double, rejected boolean"
-    at = rest.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
-            able = [i for i, t in enumerate(texts) if has_letter(t)] if model.names else []
-            for k in range(0, len(able), 256):
-                part = able[k : k + 256]
-                who, cosine = model.predict(np.stack([counts(texts[i]) for i in part]))
-                for i, w, c in zip(part, who, cosine):
-                    names[i], scores[i] = model.names[w], c
-            far = scores < model.least
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far)], [*rest, *new])
-
-    return docs.select(*rest).mapInArrow(run, schema)
+
+    def run(column: pa.Array) -> list[pa.Array]:
+        texts = column.to_pylist()
+        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        able = [i for i, t in enumerate(texts) if has_letter(t)] if model.names else []
+        for k in range(0, len(able), 256):
+            part = able[k : k + 256]
+            who, cosine = model.predict(np.stack([counts(texts[i]) for i in part]))
+            for i, w, c in zip(part, who, cosine):
+                names[i], scores[i] = model.names[w], c
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < model.least)]
+
+    return add_columns(docs, rest, [text], run, "lang_pred string, score double, rejected boolean")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import add_columns
 from .labelled import sample
 
 #: Labelled rows and preference pairs that fitting takes at most.
@@ -104,13 +104,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     labels gives every text the same score, on the side of the label it saw.
     """
     rest = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", score double"
-    at = rest.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*rest, "score"])
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(model.score(np.array([features(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))), pa.float64())]
 
-    out = docs.select(*rest).mapInArrow(run, schema)
+    out = add_columns(docs, rest, [text], run, "score double")
     return out.withColumn("predicted", (F.col("score") >= model.at).cast("int"))

@@ -177,8 +177,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, text: st
 #: Wide fingerprints: words of 64 bits, segments on their ring, differing bits up to which a pair is verified (at a Jaccard
 #: similarity of 0.8 the mean is 39 of 256, the deviation 6, both more for a few shingles), and the similarity that links.
 WORDS, RING, DISTANCE, SIMILAR = 4, 16, 72, 0.8
-#: Keys of a text, shingles in a key's bag, shingles that keys are drawn from, members of a bucket that are paired.
-VIEWS, BAG, DRAWN, PAIRED = 12, 4, 256, 512
+#: Keys of a text, shingles in a key's bag, members of a bucket that are paired at once.
+VIEWS, BAG, PAIRED = 12, 4, 512
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, WORDS + VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -208,12 +208,13 @@ def wide_sketch(text: bytes, width: int = 5) -> tuple[int, bytes, list[int]]:
     s ** BAG, so at 0.8 they miss all views once in 500 pairs.
     """
     hashes = shingle_set(text, width)
-    ones = np.zeros((WORDS, BITS), np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        ones += _ones(_remixed(hashes[None, k : k + (1 << 16)], _ODD[:WORDS, None]))
+    ones, bag = np.zeros((WORDS, BITS), np.int64), np.zeros((VIEWS, 0), np.uint64)
+    for k in range(0, len(hashes), 1 << 14):
+        ones += _ones(_remixed(hashes[None, k : k + (1 << 14)], _ODD[:WORDS, None]))
+        bag = np.concatenate((bag, _remixed(hashes[None, k : k + (1 << 14)], _ODD[WORDS:, None])), axis=1)
+        bag = np.partition(bag, BAG - 1, axis=1)[:, :BAG] if bag.shape[1] > BAG else bag
     bits = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little")
-    views = _remixed(hashes[None, :DRAWN], _ODD[WORDS:, None])  # hashes are sorted: the smallest are drawn, so equal ones from both texts
-    bag = np.sort(np.partition(views, BAG - 1, axis=1)[:, :BAG] if views.shape[1] > BAG else views, axis=1)
+    bag = np.sort(bag, axis=1)
     key = _ODD[WORDS:].copy()
     for k in range(bag.shape[1]):
         key = _remixed(key ^ bag[:, k], _ODD[k])

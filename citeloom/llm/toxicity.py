@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import add_columns
 from .labelled import sample
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 4, 3, 5
@@ -215,13 +215,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "te
     A model fitted without both labels gives every text the labels' share.
     """
     rest = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", score double"
-    at = rest.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array([model.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*rest, "score"])
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([model.score(t.as_py()) for t in texts], pa.float64())]
 
-    out = docs.select(*rest).mapInArrow(run, schema)
+    out = add_columns(docs, rest, [text], run, "score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

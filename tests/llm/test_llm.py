@@ -127,6 +127,74 @@ def test_sample_is_bounded_and_balanced(spark):
     assert len(labelled.sample(docs, labels, "toxic", 30, balanced=False)) == 30
 
 
+def test_sample_takes_long_texts_up_to_its_characters(spark):
+    docs = spark.createDataFrame([(i, "long " * 20_000 if i % 2 else f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", 30, balanced=True)
+    assert Counter(y for _, y in got) == {0: 15, 1: 15} and all(len(t) == 100_000 for t, y in got if y)
+    few = labelled.sample(docs, labels, "toxic", 30, balanced=True, characters=500_000)
+    assert Counter(y for _, y in few) == {0: 15, 1: 3}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has rows for, one with long texts only, one whose row is repeated often."""
+    monkeypatch.setattr(langid, "ROWS", 100)
+    monkeypatch.setattr(langid, "LEAST", 3)
+    names = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmno"]
+    word = lambda n, k: (n + "xyzuvw"[k % 6]) * 3
+    rows = [(100 * i + k, " ".join(word(n, k + j) for j in range(6)), n) for i, n in enumerate(names) for k in range(4)]
+    rows += [(50_000 + k, "longword " * 30_000, "long") for k in range(2)] + [(60_000, "repeated words here", "often")] * 4000
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.names == sorted([*names, "long", "often"])
+    df = spark.createDataFrame([(1, "longword longword"), (2, "ajx ajx"), (3, "½ ² Ⅷ 12"), (4, "repeated words")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, m).collect()}
+    assert got[1] == "long" and got[3] == "und" and got[4] == "often"
+
+
+def test_language_centroids_equal_plain_rule():
+    """Scores by the definition: TF-IDF vectors of every n-gram, the nearest centroid's cosine."""
+    rng = random.Random(20)
+    rows = [(" ".join("".join(rng.choice(v) for _ in range(4)) for _ in range(20)), v) for v in ("abc", "cde") for _ in range(15)]
+    m = langid.fit(rows, centroids=1)
+
+    def plain(text):
+        folded, out = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ", np.zeros(langid.DIM)
+        folded = " ".join(folded.split(" ")) if "  " not in folded else " " + " ".join(folded.split()) + " "
+        for n in range(1, 5):
+            for i in range(len(folded) - n + 1):
+                h = 0
+                for k, c in enumerate(folded[i : i + n].encode()):
+                    h = c if not k else (h * 0x01000193 + c) % 2**32
+                out[((h + n) * 0x9E3779B1 % 2**32) >> 19] += 1
+        return out
+
+    tf = {t: np.log1p(plain(t)) for t, _ in rows}
+    idf = np.log(31 / (1 + sum((v > 0).astype(int) for v in tf.values()))) + 1
+    unit = lambda v: v / np.linalg.norm(v)
+    for name in ("abc", "cde"):
+        centre = unit(sum(unit(tf[t] * idf) for t, v in rows if v == name))
+        for t, _ in rows[:4]:
+            who, cosine = m.predict(langid.counts(t)[None, :])
+            want = float(unit(tf[t] * idf) @ centre)
+            assert want <= cosine[0] + 1e-5 and (m.names[who[0]] != name or abs(want - cosine[0]) < 1e-5)
+
+
+def test_quality_equals_plain_ranking():
+    """Pairwise logistic loss by plain gradient descent gives the same weights' direction and the same decisions."""
+    rng = np.random.default_rng(21)
+    rows = [("word " * rng.integers(3, 60) + "#" * rng.integers(0, 9), int(v)) for v in rng.integers(0, 2, 200)]
+    rows = [(t if y else t.upper() + " 11 11 11", y) for t, y in rows]
+    m = quality.fit(rows, pairs=4000, seed=5)
+    z = np.clip((np.array([quality.features(t) for t, _ in rows]) - m.mean) / m.scale, -8, 8)
+    y = np.array([v for _, v in rows])
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(3000):
+        w += 0.2 * ((d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(axis=0) - 1e-3 * w)
+    assert np.corrcoef(z @ w, z @ m.weights)[0, 1] > 0.99
+    assert (((z @ m.weights) >= m.cut) == (y == 1)).all()
+
+
 # ---------------------------------------------------------------- 2: near-duplicates
 
 
@@ -277,6 +345,36 @@ def test_mixing_odd_rows(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_shared_ids_equal_sql(spark, tmp_path):
+    """A third of the rows share an id, a third have none, and many are equal: they are dealt to cells and still get the SQL's copies."""
+    rng = random.Random(10)
+    rows = [doc(rng.choice([7, None, i]), prose(rng, rng.choice([3, 3, 3, 4])), source=rng.choice(["a", "b", "b", None])) for i in range(600)]
+    spark.createDataFrame(rows, DOC).repartition(6).write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "d")))
+    got = Counter(tuple(r) for r in mixed.select("doc_id", "size", "source_size", "target", F.col("size") * F.col("copies")).collect())
+    assert got == Counter(c.sql(mixing.SQL).fetchall())
+    again = mixing.mix(spark.createDataFrame(rows[::-1], DOC).repartition(3))
+    same = lambda df: Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in df.collect())
+    assert same(again) == same(mixed)
+
+
+def test_mixing_ids_and_names_of_any_kind(spark):
+    df = spark.createDataFrame([(f"k{i % 3}" if i % 5 else None, "a b " * (i % 4), "s", i) for i in range(60)], "doc_id string, text string, source string, `_mix_sk.x` int")
+    got = mixing.mix(df).collect()
+    assert len(got) == 60 and {r["_mix_sk.x"] for r in got} == set(range(60)) and all(0 <= r["copies"] <= 2 for r in got)
+
+
+def test_word_count_equals_pattern(spark):
+    import re
+
+    texts = ["", " ", "a", " a ", "a b\t\nc", "\x0b x\x0c\r y", "é\u00a0z \u2003 q", "\x1f a", None, "x " * 5000, "\U0001f600 $1 \\ x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(map(tuple, df.select("i", mixing.word_count(F.col("t"))).collect()))
+    assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
 # ---------------------------------------------------------------- 5: repeats
 
 
