@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.designation import citation_digits
+from ..functions.text import shown
 from ..session import Scratch
+from .lookup import first_by, resolve
 
+#: Items of a basket that are paired in one task.
+PART = 1000
 
 def cocitation_edges(baskets: DataFrame, min_co: int = 2, min_confidence: float = 0.20, min_src: int = 2, basket: str = "basket", item: str = "item") -> DataFrame:
     """Directed edges (src, dst, n_src, n_dst, n_co, confidence, lift) between items of one basket.
@@ -18,8 +23,13 @@ def cocitation_edges(baskets: DataFrame, min_co: int = 2, min_confidence: float
     total = sets.agg(F.countDistinct("b").alias("n"))
     freq = sets.groupBy("i").agg(F.count(F.lit(1)).alias("f"))
     live = sets.join(freq.where(F.col("f") >= min_co).select("i"), "i", "left_semi")
-    pairs = live.alias("x").join(live.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.i") < F.col("y.i")))
-    pairs = pairs.groupBy(F.col("x.i").alias("u"), F.col("y.i").alias("v")).agg(F.count(F.lit(1)).alias("n_co")).where(F.col("n_co") >= min_co)
+    # a basket is dealt to parts of PART items, and every two parts are paired in a task of their own
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("b")) / PART).cast("int")
+    live = live.withColumn("k", parts).withColumn("p", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
+    x = live.select("b", F.col("i").alias("xi"), "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
+    y = live.select("b", F.col("i").alias("yi"), F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
+    pairs = x.join(y, ["b", "p", "q"]).where(F.col("xi") < F.col("yi"))
+    pairs = pairs.groupBy(F.col("xi").alias("u"), F.col("yi").alias("v")).agg(F.count(F.lit(1)).alias("n_co")).where(F.col("n_co") >= min_co)
     turned = F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))
     e = pairs.select(turned.alias("e"), "n_co").select("e.src", "e.dst", "n_co")
     e = e.join(freq.select(F.col("i").alias("src"), F.col("f").alias("n_src")), "src").join(freq.select(F.col("i").alias("dst"), F.col("f").alias("n_dst")), "dst").crossJoin(F.broadcast(total))  # one row
@@ -94,3 +104,68 @@ def full_graph(edges: DataFrame, node_limit: int, edge_limit: int, min_count: in
     d = degrees(e)
     e = e.join(d.select(F.col("node").alias("src"), F.col("degree").alias("src_degree")), "src")
     return e.join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dst_degree")), "dst")
+
+
+def related_of(asked: DataFrame, edges: DataFrame, limit: int = 5, citation: str = "citation") -> DataFrame:
+    """(citation, src, dst, confidence, n_co, rank): the strongest neighbours of each asked designation.
+
+    Edges whose source is the designation or its base are taken; only a designation that has none of these takes those
+    whose source has its bare number.
+    """
+    asked = asked.select(F.col(citation).alias("citation")).where("citation IS NOT NULL").distinct()
+    keys = asked.select("citation", F.explode(F.array_distinct(F.array(F.col("citation"), F.trim(F.substring_index("citation", "(", 1))))).alias("key"))
+    e = edges.select("src", "dst", "confidence", "n_co")
+    first = keys.join(e, keys.key == e.src).drop("key")
+    rest = asked.join(first.select("citation").distinct(), "citation", "left_anti").withColumn("digits", citation_digits(F.col("citation"))).where("digits <> ''")
+    second = rest.join(e.withColumn("digits", citation_digits(F.col("src"))), "digits").drop("digits")
+    w = Window.partitionBy("citation").orderBy(F.desc("confidence"), F.desc("n_co"), "dst", "src")
+    both = first.unionByName(second.select(*first.columns)).withColumn("rank", F.row_number().over(w))
+    return both.where(F.col("rank") <= limit).select("citation", "src", "dst", "confidence", "n_co", "rank")
+
+
+def described_nodes(edges: DataFrame, register: DataFrame) -> DataFrame:
+    """(node, title, status, family, degree): the ends of edges with the register's fields, by number, else by base (the first in
+    load order); N/A and Unknown where the register has neither."""
+    d = degrees(edges)
+    fields = F.struct("title", "status", "family")
+    exact = first_by(register, "is_number", F.col("load_ord")).select(F.col("is_number").alias("node"), fields.alias("x"))
+    base = first_by(register, "is_base", F.col("load_ord")).select(F.col("is_base").alias("_base"), fields.alias("y"))
+    n = d.join(exact, "node", "left").withColumn("_base", F.trim(F.substring_index("node", "(", 1))).join(base, "_base", "left")
+    r = F.coalesce("x", "y")
+    return n.select("node", shown(r["title"]).alias("title"), F.coalesce(r["status"], F.lit("Unknown")).alias("status"), shown(r["family"]).alias("family"), "degree")
+
+
+def titles(designations: DataFrame, register: DataFrame, citation: str = "citation") -> DataFrame:
+    """(citation, title) of the designations that the register holds, resolved like any citation."""
+    r = resolve(designations.select(F.col(citation).alias("citation")).distinct(), register, ["title"])
+    return r.where("hit IS NOT NULL").select("citation", F.coalesce("title", F.lit("")).alias("title"))
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, depth: int = 6) -> DataFrame:
+    """(seed, node, hops, path): a shortest path from each seed to each target (columns node) within `depth` steps, edges taken
+    both ways. Of several the one whose nodes, read from the target back, come first. A seed that is a target has itself."""
+    scratch = Scratch(edges.sparkSession, "paths")
+    e = scratch.keep(edges.select("src", "dst"), "edges")
+    links = scratch.keep(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    seen = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumns({"hops": F.lit(0), "path": F.array("node")})
+    frontier = seen
+    for hop in range(1, depth + 1):
+        step = frontier.join(links, frontier.node == links.src).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), "src")
+        step = step.groupBy("seed", "node").agg(F.min_by("path", "src").alias("path")).withColumn("hops", F.lit(hop))
+        frontier = scratch.keep(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "hops", "path"), "frontier")
+        if not frontier.head(1):
+            break
+        seen = seen.unionByName(frontier)
+    return seen.join(targets.select("node").distinct(), "node", "left_semi").select("seed", "node", "hops", "path")
+
+
+def strongest_first(edges: DataFrame) -> DataFrame:
+    """Edges by confidence and count, strongest first, ties by ends."""
+    return edges.orderBy(F.desc("confidence"), F.desc("n_co"), "src", "dst")
+
+
+def edge_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of a rebuild: edges before and after, edges added, and edges dropped."""
+    keys = lambda df, name: df.select("src", "dst", F.lit(1).alias(name))
+    j = keys(before, "b").join(keys(after, "a"), ["src", "dst"], "full")
+    return j.agg(F.count("b").alias("before"), F.count("a").alias("after"), F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a").isNull()).alias("dropped"))

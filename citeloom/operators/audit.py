@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.designation import citation_digits
-from .lookup import certification, check_dead
+from .lookup import certification, check_dead, resolve
 
 CONFIDENCE, SUPPORT, PER_SOURCE, TOTAL = 0.55, 8, 3, 8
 
@@ -78,6 +78,53 @@ def findings(citations: DataFrame, register: DataFrame, rules: DataFrame, marks:
     return dead.unionByName(unknown).unionByName(row(unmarked, "statutory_omission", "high", F.concat(F.lit("mandatory under "), F.col("rule"))))
 
 
+def connected_findings(citations: DataFrame, register: DataFrame, edges: DataFrame, **limits) -> DataFrame:
+    """Findings of the standards usually cited with a document's own but absent from it. edges: src, dst, n_co, confidence on
+    register numbers; citations: doc_id, citation."""
+    held = resolve(citations.select("doc_id", "citation").distinct(), register, []).where("hit IS NOT NULL").select("doc_id", F.col("hit").alias("item"))
+    dead = register.where(F.col("status") != "Current").select(F.col("is_number").alias("item"))
+    m = missing_connected(held, edges, dead, **limits)
+    detail = F.concat(F.lit("cited with "), F.col("source"), F.lit(" in "), F.col("n_co").cast("string"), F.lit(" documents"))
+    return m.select("doc_id", F.lit("missing_connected").alias("kind"), F.lit("low").alias("severity"), F.col("item").alias("citation"), detail.alias("detail"))
+
+
+def meant(citations: DataFrame, register: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, citation, did_you_mean): for each unregistered citation the register entry one edit away that the document's
+    other citations are most cited with, where there is one. edges as in connected_findings."""
+    r = resolve(citations.select("doc_id", "citation").distinct(), register, ["is_digits"])
+    gone = r.where("hit IS NULL").select("doc_id", "citation", citation_digits(F.col("citation")).alias("number")).where("number <> ''")
+    numbers = register.select(F.col("is_number").alias("n"), F.col("is_digits").alias("d")).where("d <> ''")
+    e = edges.join(numbers.select(F.col("n").alias("src"), F.col("d").alias("a")), "src").join(numbers.select(F.col("n").alias("dst"), F.col("d").alias("b")), "dst")
+    near = did_you_mean(gone.select("doc_id", "number").distinct(), r.where("hit IS NOT NULL").select("doc_id", F.col("is_digits").alias("number")), register.select(F.col("is_digits").alias("number")).where("number <> ''"), e)
+    first = numbers.groupBy(F.col("d").alias("candidate")).agg(F.min("n").alias("did_you_mean"))
+    return gone.join(near.select("doc_id", "number", "candidate"), ["doc_id", "number"]).join(first, "candidate").select("doc_id", "citation", "did_you_mean")
+
+
+def audit(docs: DataFrame, citations: DataFrame, register: DataFrame, rules: DataFrame, marks: DataFrame, edges: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """The whole audit of each document: its findings and its verdict.
+
+    Findings (doc_id, kind, severity, citation, detail, action, text, place, did_you_mean) are of all four kinds: dead, without
+    the mark, usually cited alongside but missing, and not registered, the last with the entry that may be meant. Verdicts
+    (doc_id, cited, resolved, dispute_risk, statutory_omission, missing_connected, not_in_register, high, medium, low,
+    verdict) have a row of every document.
+    """
+    c = citations.select("doc_id", "citation").distinct()
+    found = findings(c, register, rules, marks).unionByName(connected_findings(c, register, edges, **limits))
+    found = found.join(meant(c, register, edges).withColumn("kind", F.lit("not_in_register")), ["doc_id", "citation", "kind"], "left")
+    r = resolve(c, register, []).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cited"), F.count("hit").alias("resolved"))
+    kinds = ("dispute_risk", "statutory_omission", "missing_connected", "not_in_register")
+    by_kind = found.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    v = verdicts(docs, found).join(r, "doc_id", "left").join(by_kind, "doc_id", "left").fillna(0, ["cited", "resolved", *kinds])
+    return suggestions(found), v.select("doc_id", "cited", "resolved", *kinds, "high", "medium", "low", "verdict")
+
+
+def corrigendum(found: DataFrame) -> DataFrame:
+    """(doc_id, text): a document's suggestions as the numbered lines of a corrigendum."""
+    lines = F.array_sort(F.collect_list(F.struct("place", "text")))
+    g = suggestions(found).groupBy("doc_id").agg(lines.alias("l"))
+    return g.select("doc_id", F.array_join(F.transform("l", lambda x: F.concat(x["place"].cast("string"), F.lit(". "), x["text"])), "\n").alias("text"))
+
+
 def verdicts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, high, medium, low, verdict): blocking with a high finding, review with any, clean without."""
     f = found.groupBy("doc_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])

@@ -56,9 +56,11 @@ def orphan_rules(rules: DataFrame, register: DataFrame) -> DataFrame:
 def golden_queries(rules: DataFrame, register: DataFrame, shortest: int = 22) -> DataFrame:
     """(query, expected_is): product descriptions of held standards, at least `shortest` long, that don't repeat the title,
     each once. rules: is_number, is_base, product, load_ord."""
-    held = register.select(F.explode(F.array("is_number", "is_base")).alias("_h")).distinct()
+    held = register.select(F.explode(F.array("is_number", "is_base")).alias("_h")).where("_h IS NOT NULL").distinct()
     q = F.trim(F.regexp_replace("product", r"\s+", " "))
-    r = rules.withColumn("query", q).where(F.length(q) >= shortest).join(held, (F.col("is_number") == F.col("_h")) | (F.col("is_base") == F.col("_h")), "left_semi")
+    r = rules.withColumn("query", q).where(F.length(q) >= shortest)
+    r = r.join(held.withColumn("_x", F.lit(1)), F.col("is_number") == F.col("_h"), "left").drop("_h")
+    r = r.join(held.withColumn("_y", F.lit(1)), F.col("is_base") == F.col("_h"), "left").where("_x IS NOT NULL OR _y IS NOT NULL")
     titles = register.groupBy("is_number").agg(F.min("title").alias("_t"))
     r = r.join(titles, "is_number", "left").where(~F.coalesce(F.lower(F.substring("query", 1, 40)) == F.lower(F.substring("_t", 1, 40)), F.lit(False)))
     return r.groupBy(F.lower("query").alias("_q")).agg(F.min_by(F.struct("query", "is_number"), "load_ord").alias("r")).select("r.query", F.col("r.is_number").alias("expected_is"))
@@ -80,6 +82,29 @@ def by_role(related: DataFrame, title: str = "title", proxy: float = 0.75) -> Da
     return g.select("src", "role", "n", F.transform("m", lambda x: x["dst"]).alias("members"), F.transform(F.filter("m", lambda x: x["confidence"] >= proxy), lambda x: x["dst"]).alias("proxies"))
 
 
+#: Fixed value: the order in which groups of neighbours are shown.
+ROLE_ORDER = ("product", "test_method", "installation", "safety", "terminology", "dimensions", "quality_system")
+
+
+def role_groups(related: DataFrame, title: str = "title", likely: int = 6) -> DataFrame:
+    """by_role with place, the groups' fixed order, and likely: a source's strongest proxies, `likely` at most, over all groups."""
+    g = by_role(related, title)
+    place = F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role"))
+    sure = related.where(F.col("confidence") >= 0.75).groupBy("src").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "dst"))), lambda x: x["dst"]), 1, likely).alias("likely"))
+    return g.withColumn("place", place.cast("int")).join(sure, "src", "left").select("src", "place", "role", "n", "members", "proxies", F.coalesce("likely", F.array().cast("array<string>")).alias("likely"))
+
+
+def amendment_tallies(diffs: DataFrame) -> DataFrame:
+    """(field, n, entries) of amendments (is_number, field, held, portal)."""
+    return diffs.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("is_number").alias("entries"))
+
+
+def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, rows, known, kinds): rows, those with a value, and distinct values of each column, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")
+    return df.select(each).select("x.*").groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("known"), F.countDistinct("v").alias("kinds"))
+
+
 def calibration_line(scored: DataFrame, buckets: DataFrame, score: str = "score", least: int = 30) -> DataFrame:
     """scored with the accuracy measured in its score's tenth, null where fewer than `least` queries support it."""
     b = buckets.where(F.col("n") >= least).select("bucket", "accuracy")

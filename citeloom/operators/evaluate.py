@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import resource
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.designation import citation_digits, is_base
+
 
 def retrieval_metrics(results: DataFrame, relevant: Column, k: int = 10, queries: DataFrame | None = None) -> DataFrame:
     """One row over results (query_id, rank, ...): queries, recall at 1 and k, mean precision at 5."""
@@ -64,3 +69,45 @@ def abstention_table(a: DataFrame, b: DataFrame) -> DataFrame:
 def leaderboard(registry: DataFrame, measured: DataFrame) -> DataFrame:
     """Every registered strategy with its figures; unmeasured ones stay, marked so."""
     return registry.join(measured, "strategy", "left").withColumn("measured", F.col("queries").isNotNull())
+
+
+def same_standard(a: Column, b: Column) -> Column:
+    """Whether two designations name one standard: equal bases, or equal bare numbers."""
+    digits = citation_digits(a)
+    return (F.upper(is_base(a)) == F.upper(is_base(b))) | ((digits != "") & (digits == citation_digits(b)))
+
+
+def rank_1_by(outcomes: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """(key, queries, rank_1, accuracy) over outcomes (query_id, key, r1 boolean), for keys with `least` queries or more."""
+    g = outcomes.groupBy(key).agg(F.count(F.lit(1)).alias("queries"), F.count_if("r1").alias("rank_1")).where(F.col("queries") >= least)
+    return g.withColumn("accuracy", F.round(F.col("rank_1") / F.col("queries"), 6))
+
+
+def abstention(decisions: DataFrame) -> DataFrame:
+    """One row over decisions (query_id, decision, correct): queries, abstained, answered, right among the answered, and the shares."""
+    n, off = F.count(F.lit(1)), F.count_if(F.col("decision") == "abstain")
+    right = F.count_if((F.col("decision") != "abstain") & F.coalesce("correct", F.lit(False)))
+    return decisions.agg(n.alias("queries"), off.alias("abstained"), (n - off).alias("answered"), right.alias("right"), F.round(F.try_divide(off.cast("double"), n), 6).alias("abstention_rate"), F.round(F.try_divide(right.cast("double"), n - off), 6).alias("precision"))
+
+
+def flagged_sample(flags: DataFrame, negatives: int = 20, seed: int = 11, key: str = "doc_id") -> DataFrame:
+    """All rows flagged true, and `negatives` of the others: those of the least hash of seed and key, so reruns agree."""
+    off = flags.where(~F.col("truth")).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    return flags.where("truth").unionByName(off.orderBy("_h", key).limit(negatives).drop("_h"))
+
+
+def abstention_cross(a: DataFrame, b: DataFrame, listed: DataFrame) -> DataFrame:
+    """What strategy b (query_id, decision, correct) does where a abstains, and how often the right answer is in its list
+    (listed: query_id): (abstentions, b_abstains, b_right, b_wrong, in_list)."""
+    off = a.where("decision = 'abstain'").select("query_id").distinct()
+    j = off.join(b, "query_id", "left").join(listed.select("query_id").distinct().withColumn("_l", F.lit(True)), "query_id", "left")
+    ab, ok = F.col("decision") == "abstain", F.coalesce("correct", F.lit(False))
+    return j.agg(F.count(F.lit(1)).alias("abstentions"), F.count_if(ab).alias("b_abstains"), F.count_if(~ab & ok).alias("b_right"), F.count_if(~ab & ~ok).alias("b_wrong"), F.count("_l").alias("in_list"))
+
+
+def timed(build: Callable[[], DataFrame], queries: int) -> dict[str, float]:
+    """Seconds that a strategy's result takes, in all and for each query, and the driver's peak memory in MB."""
+    began = time.perf_counter()
+    rows = build().count()
+    took = time.perf_counter() - began
+    return {"rows": rows, "seconds": round(took, 3), "ms_a_query": round(1000 * took / max(queries, 1), 3), "driver_peak_mb": round(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, 1)}

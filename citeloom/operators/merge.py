@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.designation import citation_digits, parts_of
+from ..functions.text import from_register_portal, item_category, labelled_field
+from ..session import Scratch
 
 
 def shrink_guard(previous: DataFrame, now: DataFrame, share: float = 0.8, allow: bool = False) -> DataFrame:
@@ -15,6 +20,41 @@ def shrink_guard(previous: DataFrame, now: DataFrame, share: float = 0.8, allow:
     return j.select("name", "rows_before", "rows_now", ok.alias("accepted"))
 
 
+def load_guarded(tables: dict[str, DataFrame], root: str, share: float = 0.8, allow: bool = False) -> DataFrame:
+    """Write all tables under root if the guard accepts each of them, and their sizes to root/_sizes; the guard's verdicts.
+
+    If one is refused nothing is written, and the sizes of the last accepted load stay. A new load goes to folders of its
+    own, and the sizes, written last, name them, so a load that dies half-way leaves the last one in place.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    sizes = "name string, n long, path string"
+    scratch = Scratch(spark, "load")
+    held = {k: scratch.write(df, k) for k, df in tables.items()}
+    try:
+        last = spark.read.schema(sizes).json(f"{root}/_sizes").collect()  # one row a table
+    except AnalysisException as x:
+        if x.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = []
+    now = spark.createDataFrame([(k, df.count()) for k, (df, _) in held.items()], "name string, n long")
+    verdicts = shrink_guard(spark.createDataFrame([(r["name"], r["n"]) for r in last], "name string, n long"), now, share, allow)
+    rows = verdicts.collect()  # one row a table
+    if all(r["accepted"] for r in rows):
+        load = uuid.uuid4().hex
+        for k, (df, _) in held.items():
+            df.write.parquet(f"{root}/{load}/{k}")
+        state = [(r["name"], r["rows_now"], f"{root}/{load}/{r['name']}") for r in rows]
+        spark.createDataFrame(state, sizes).coalesce(1).write.mode("overwrite").json(f"{root}/_sizes")
+    scratch.drop(scratch.root)
+    return spark.createDataFrame(rows, verdicts.schema)
+
+
+def loaded(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the last accepted load."""
+    path = spark.read.schema("name string, n long, path string").json(f"{root}/_sizes").where(F.col("name") == name).first()["path"]
+    return spark.read.parquet(path)
+
+
 def additive_merge(held: DataFrame, collected: DataFrame, keys: list[str], order: str) -> DataFrame:
     """held plus the collected rows whose keys it has none of; of several with one first key the first by order."""
     new = collected
@@ -38,7 +78,7 @@ def change_counts(master: DataFrame, new: DataFrame, key: str, owned: list[str])
     cols = [c for c in owned if c in new.columns and c in master.columns]
     m, n = master.select(key, *[F.col(c).alias(f"m_{c}") for c in cols]), new.select(key, *[F.col(c).alias(f"n_{c}") for c in cols])
     sums = m.join(n, key).agg(*[F.count_if(~F.col(f"m_{c}").eqNullSafe(F.col(f"n_{c}"))).alias(c) for c in cols])
-    return sums.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c)) for c in cols]))).alias("column", "changed"))
+    return sums.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in cols]))).alias("column", "changed"))
 
 
 def amendments(held: DataFrame, portal: DataFrame) -> DataFrame:
@@ -56,6 +96,34 @@ def amendments(held: DataFrame, portal: DataFrame) -> DataFrame:
     return j.select("is_number", F.when(by, "Status").otherwise("Year").alias("field"), F.when(by, F.col("hs")).otherwise(F.col("hy").cast("string")).alias("held"), F.when(by, F.col("ps")).otherwise(F.col("py").cast("string")).alias("portal"))
 
 
+def match_counts(held: DataFrame, portal: DataFrame) -> DataFrame:
+    """One row: portal records, those that match a held entry by number and parts, those of a held number but another part, and
+    those of no held number. held: is_number; portal: portal_number."""
+    parts = lambda c: F.array_join(parts_of(F.col(c)), "/")
+    h = held.select(citation_digits(F.col("is_number")).alias("d"), parts("is_number").alias("p")).where("d <> ''")
+    q = portal.select(citation_digits(F.col("portal_number")).alias("d"), parts("portal_number").alias("p"))
+    q = q.join(h.distinct().withColumn("same", F.lit(True)), ["d", "p"], "left").join(h.select("d").distinct().withColumn("known", F.lit(True)), "d", "left")
+    same, known = F.col("same").isNotNull(), F.col("known").isNotNull()
+    return q.agg(F.count(F.lit(1)).alias("records"), F.count_if(same).alias("matched"), F.count_if(~same & known).alias("mismatched"), F.count_if(~known).alias("unknown"))
+
+
+def to_check(register: DataFrame, prefix: str) -> DataFrame:
+    """Register rows that a portal sweep has to check: all but those that came from the portal itself."""
+    return register.where(from_register_portal(F.col("provenance"), prefix))
+
+
+def rederive(documents: DataFrame, forms: DataFrame, labels: dict[str, str], key: str = "doc_id") -> DataFrame:
+    """documents with category and the labelled columns read anew from saved forms (key, text), where the form has them.
+
+    A category that the form lacks stays; labelled columns are replaced wherever a form was read, as a blank there is known
+    to be one. Documents without a form are untouched.
+    """
+    f = forms.select(F.col(key).alias("_key"), F.nullif(item_category(F.col("text")), F.lit("")).alias("_category"), *[labelled_field(F.col("text"), label).alias(f"_{c}") for c, label in labels.items()])
+    j = documents.join(f, documents[key] == f._key, "left")
+    new = {"category": F.coalesce("_category", "category")} | {c: F.when(F.col("_key").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in labels}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
+
+
 def apply_amendments(register: DataFrame, diffs: DataFrame, stamp: str) -> DataFrame:
     """register with the amended status or year, and provenance stamped where something changed."""
     pick = lambda f: F.max(F.when(F.col("field") == f, F.col("portal")))

@@ -2,42 +2,99 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import voltage_band
+from ..session import Scratch
 
+#: Patterns of a term, and queries that are sent to the tasks at once.
+LATIN, INDIC, QUERIES = "[a-z0-9]+", "[ऀ-ॿ]+|[a-z0-9]+", 1024
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSE, DEPTH, SHORTLIST = 60, 20, 10
 ACCEPT, MARGIN, CLEAR = 0.45, 0.10, 0.80
 PEER_DOCUMENTS, PEER_SHARE, PEER_LEAST = 30, 0.35, 3
 
 
-def postings(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc, term, tf) of a text column."""
-    return docs.select(F.col(doc_id).alias("doc"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-
+def bm25(docs: DataFrame, queries: DataFrame, k: int = DEPTH, text: str = "text", doc_id: str = "doc_id", query: str = "text", query_id: str = "item_id", pattern: str = LATIN) -> DataFrame:
+    """(query_id, doc, score, rank): the k best documents of each query that share a term with it, ties by doc; scores to 6 places.
 
-def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", doc_id: str = "doc_id", query: str = "text", query_id: str = "item_id") -> DataFrame:
-    """(query_id, doc, score) of all documents that share a term with a query; scores rounded to 6 places.
+    Okapi weights with a floor: a term in more than half of the documents counts EPSILON of the mean weight. A repeated
+    query term counts as often. Terms are the matches of `pattern` in the lower-cased text (LATIN or INDIC).
 
-    Okapi weights with a floor: a term in more than half of the documents counts EPSILON of the mean weight. Only postings
-    of queried terms are joined, and a repeated query term counts as often.
+    Document frequencies are one aggregation with partial counts. Then the documents are read once, in place: queries come
+    to every task in blocks of QUERIES, a batch of documents is scored against a block as a matrix product, and only the
+    batch's k best of each query are shuffled. So no term is a join key, however frequent, and no pair of all is made.
     """
-    post = postings(docs, text, doc_id)
-    asked = postings(queries, query, query_id).select(F.col("doc").alias("query_id"), "term", F.col("tf").alias("qf"))
-    size = docs.select(F.size(tokens(F.col(text))).alias("dl"), F.col(doc_id).alias("doc"))
-    total = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # one row
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.select("term", "avgdl", raw.alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))  # one row
-    idf = idf.select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hits = post.join(idf, "term").join(size, "doc")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = hits.select("doc", "term", part.alias("part")).join(asked, "term")
-    return hits.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("qf") * F.col("part")), 6).alias("score"))
+    spark = docs.sparkSession
+    kind = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc {docs.schema[doc_id].dataType.simpleString()}, score double"
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(pattern), F.lit(0))
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(words(query)).alias("term")).where("q IS NOT NULL").groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = Scratch(spark, "bm25").keep(asked, "asked")
+    tokens_of = docs.select(words(text).alias("t"))
+    total = tokens_of.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
+    n, avgdl = total["n"], total["avgdl"] or 1.0
+    df = tokens_of.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = Scratch(spark, "bm25").keep(df.select("term", raw.alias("raw")), "weights")
+    mean = df.agg(F.avg("raw")).first()[0]
+    weighed = asked.join(df, "term").select("q", "term", "qf", F.when(F.col("raw") < 0, EPSILON * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
+    blocks = max(1, -(-asked.select("q").distinct().count() // QUERIES))
+    out = None
+    for b in range(blocks):
+        block = weighed.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()  # the terms of QUERIES queries or so
+        names = block.column("q").combine_chunks().unique()
+        part = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).mapInArrow(_scored(block, names, float(avgdl), k, pattern), kind)
+        out = part if out is None else out.unionByName(part)
+    return top(out.withColumn("score", F.round("score", 6)), k).select("query_id", "doc", "score", "rank")
+
+
+def _scored(asked: pa.Table, names: pa.Array, avgdl: float, k: int, pattern: str):
+    """A function over batches (doc, text) that yields the k best documents of each query in every batch."""
+    terms = {t: i for i, t in enumerate(dict.fromkeys(asked.column("term").to_pylist()))}
+    place = {q: i for i, q in enumerate(names.to_pylist())}
+    weight, hit = np.zeros((len(terms), len(place))), np.zeros((len(terms), len(place)), np.float32)
+    for q, t, qf, idf in zip(*(asked.column(c).to_pylist() for c in ("q", "term", "qf", "idf"))):
+        weight[terms[t], place[q]], hit[terms[t], place[q]] = qf * idf, 1
+    find = re.compile(pattern).findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows if terms else 0, 512):
+                part = batch.slice(at, 512)
+                tf, dl = np.zeros((part.num_rows, len(terms))), np.zeros(part.num_rows)
+                for i, t in enumerate(part.column(1)):
+                    found = find((t.as_py() or "").lower())
+                    dl[i] = len(found)
+                    known = [x for x in map(terms.get, found) if x is not None]
+                    np.add.at(tf[i], known, 1)
+                own = tf > 0
+                tf = np.divide(tf * (K1 + 1), tf + K1 * (1 - B + B * dl[:, None] / avgdl), out=tf, where=own)
+                yield best_of(names, part.column(0), (tf @ weight).T, (own.astype(np.float32) @ hit).T > 0, k)
+
+    return run
+
+
+def best_of(names: pa.Array, docs: pa.Array, score: np.ndarray, real: np.ndarray, k: int) -> pa.RecordBatch:
+    """(query_id, doc, score) of the k best real columns of each row of scores; ties, to 6 places, by doc."""
+    order = pc.rank(docs, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    rounded = np.where(real, np.round(score, 6), -np.inf)
+    if rounded.shape[1] > k:
+        floor = np.partition(rounded, -k, axis=1)[:, -k][:, None]
+        row, col = np.nonzero(real & (rounded >= floor))
+    else:
+        row, col = np.nonzero(real)
+    by = np.lexsort((order[col], -rounded[row, col], row))
+    row, col = row[by], col[by]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    row, col = row[keep], col[keep]
+    return pa.RecordBatch.from_arrays([names.take(pa.array(row)), docs.take(pa.array(col)), pa.array(score[row, col], pa.float64())], ["query_id", "doc", "score"])
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc", score: str = "score") -> DataFrame:
@@ -46,18 +103,47 @@ def top(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc", scor
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product in double precision, summed in the vectors' order."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, doc, score, rank): exact nearest vectors by dot product, the query's own row left out.
+    """(query_id, doc, score, rank): exact nearest vectors by dot product in double precision, the query's own row left out;
+    scores to 6 places, ties by doc.
 
-    queries (query_id, query) is a stated set of checked size, sent to all tasks; the table of vectors is read once, in place.
+    queries (query_id, query) come to the tasks in blocks of QUERIES; the vectors are read in place, once for each block,
+    and only a batch's k best of each query are shuffled. Null vectors and those of another length have no score.
     """
-    pairs = vectors.select(F.col(vec_id).alias("doc"), embedding).join(F.broadcast(queries), F.col("doc") != F.col("query_id"))
-    return top(pairs.select("query_id", "doc", F.round(dot(F.col(embedding), F.col("query")), 6).alias("score")), k)
+    usable = queries.where("query_id IS NOT NULL AND query IS NOT NULL")
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc {vectors.schema[vec_id].dataType.simpleString()}, score double"
+    rows = vectors.select(F.col(vec_id).alias("doc"), F.col(embedding).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    blocks = max(1, -(-usable.count() // QUERIES))
+    out = None
+    for b in range(blocks):
+        block = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("query").cast("array<double>").alias("query")).toArrow()
+        part = rows.mapInArrow(_products(block, k), kind)
+        out = part if out is None else out.unionByName(part)
+    return top(out.withColumn("score", F.round("score", 6)), k)
+
+
+def _products(asked: pa.Table, k: int):
+    by_length: dict[int, list[int]] = {}
+    for i, v in enumerate(asked.column("query").to_pylist()):
+        by_length.setdefault(len(v), []).append(i)
+    names = asked.column("query_id").combine_chunks()
+    sides = {n: (names.take(pa.array(at)), np.array([asked.column("query")[i].as_py() for i in at], np.float64)) for n, at in by_length.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = batch.column(1).value_lengths().to_numpy()
+            for n, (own, q) in sides.items():
+                part = batch.filter(pa.array(length == n))
+                for at in range(0, part.num_rows, 1024):
+                    rows = part.slice(at, 1024)
+                    v = rows.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, n)
+                    docs = rows.column(0)
+                    code = pa.concat_arrays([own.cast(docs.type), docs]).dictionary_encode().indices.fill_null(-1).to_numpy()
+                    score = q @ v.T
+                    real = (code[: len(own), None] != code[None, len(own) :]) & ~np.isnan(score)
+                    yield best_of(own, docs, score, real, k)
+
+    return run
 
 
 def confidence_label(score: Column) -> Column:
@@ -91,12 +177,28 @@ def order_candidates(c: DataFrame, by: str = "query_id") -> DataFrame:
     return c.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*keys, F.desc("score"), "doc")))
 
 
-def gate(candidates: DataFrame, score: str = "score", place: str = "rank") -> DataFrame:
-    """(query_id, doc, score, gap, decision, reason) from each query's first two candidates."""
+def gate(candidates: DataFrame, score: str = "score", place: str = "rank", queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc, score, gap, decision, reason) from each query's first two candidates.
+
+    Reasons to abstain: no_close_match (the best score is low), ambiguous (the second is close behind), voltage_unspecified
+    (the first two are parts of one standard for different voltages, nearly equal, and the query states none), and
+    no_candidates (a row of `queries` without any). The voltage is judged where candidates have is_base, title and
+    stated (the query's voltage); a query without candidates is reported where `queries` (query_id) is given.
+    """
     w = Window.partitionBy("query_id").orderBy(place)
-    c = candidates.withColumn("gap", F.round(F.col(score) - F.coalesce(F.lead(score).over(w), F.lit(0.0)), 6)).where(F.col(place) == 1)
-    reason = F.when(F.col(score) < ACCEPT, "no_close_match").when((F.col(score) < CLEAR) & (F.col("gap") < MARGIN), "ambiguous").otherwise("clear_match")
-    return c.select("query_id", "doc", score, "gap", F.when(reason == "clear_match", "recommend").otherwise("abstain").alias("decision"), reason.alias("reason"))
+    second = lambda c: F.lead(c).over(w)
+    c = candidates.withColumn("gap", F.round(F.col(score) - F.coalesce(second(score), F.lit(0.0)), 6))
+    split = F.lit(False)
+    if {"is_base", "title", "stated"} <= set(candidates.columns):
+        c = c.withColumns({"_next": second("is_base"), "_band": voltage_band(F.col("title"))})
+        c = c.withColumn("_other", second("_band"))
+        split = F.col("stated").isNull() & (F.col("_next") == F.col("is_base")) & (F.abs("gap") < MARGIN) & F.col("_band").isNotNull() & (F.col("_band") != F.col("_other"))
+    low, near = F.col(score) < ACCEPT, (F.col(score) < CLEAR) & (F.col("gap") < MARGIN)
+    reason = F.when(low, "no_close_match").when(near, "ambiguous").when(F.coalesce(split, F.lit(False)), "voltage_unspecified").otherwise("clear_match")
+    c = c.withColumn("reason", reason).where(F.col(place) == 1).select("query_id", "doc", score, "gap", "reason")
+    if queries is not None:
+        c = queries.select("query_id").distinct().join(c, "query_id", "left").fillna("no_candidates", ["reason"])
+    return c.select("query_id", "doc", score, "gap", F.when(F.col("reason") == "clear_match", "recommend").otherwise("abstain").alias("decision"), "reason")
 
 
 def expand_by_graph(shortlist: DataFrame, edges: DataFrame, hits: int = 3, neighbours: int = 5) -> DataFrame:
@@ -110,27 +212,85 @@ def expand_by_graph(shortlist: DataFrame, edges: DataFrame, hits: int = 3, neigh
     return near.withColumn("n", F.row_number().over(first)).where("n = 1").select("query_id", "doc", "via", "n_co")
 
 
-def peers(scored: DataFrame, citations: DataFrame, limit: int = 12) -> DataFrame:
-    """(query_id, item, documents, share): what the documents most like a query cite.
+def peer_group(scored: DataFrame) -> DataFrame:
+    """(query_id, doc, rank, peers): the documents most like a query, from a BM25 result of PEER_DOCUMENTS or more.
 
-    scored is a BM25 result over documents. Peers are the first PEER_DOCUMENTS with at least PEER_SHARE of the best score;
-    queries with fewer than PEER_LEAST peers have no answer. citations has doc and item.
-    """
+    Those with at least PEER_SHARE of the best score; queries with fewer than PEER_LEAST have no group."""
     best = F.max("score").over(Window.partitionBy("query_id"))
     group = top(scored.where("score > 0"), PEER_DOCUMENTS).withColumn("best", best).where(F.col("score") >= PEER_SHARE * F.col("best"))
     group = group.withColumn("peers", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("peers") >= PEER_LEAST)
-    tally = group.join(citations.select("doc", "item").distinct(), "doc").groupBy("query_id", "peers", "item").agg(F.count(F.lit(1)).alias("documents"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("documents"), "item")
+    return group.select("query_id", "doc", "rank", "peers")
+
+
+def peers(scored: DataFrame, citations: DataFrame, limit: int = 12, dead: DataFrame | None = None) -> DataFrame:
+    """(query_id, item, documents, share): what the documents most like a query cite (see peer_group), most cited first.
+
+    citations has doc and item; items should be resolved, so that spellings of one are tallied together. With dead (item)
+    dead items come first in the choice, and the result has dead.
+    """
+    tally = peer_group(scored).join(citations.select("doc", "item").distinct(), "doc").groupBy("query_id", "peers", "item").agg(F.count(F.lit(1)).alias("documents"))
+    first: list[Column] = []
+    if dead is not None:
+        tally = tally.join(dead.select("item").distinct().withColumn("dead", F.lit(True)), "item", "left").fillna(False, ["dead"])
+        first = [F.desc("dead")]
+    w = Window.partitionBy("query_id").orderBy(*first, F.desc("documents"), "item")
     tally = tally.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
-    return tally.select("query_id", "item", "documents", F.round(F.col("documents") / F.col("peers"), 6).alias("share"))
+    return tally.select("query_id", "item", "documents", F.round(F.col("documents") / F.col("peers"), 6).alias("share"), *(["dead"] if dead is not None else []))
 
 
-#: Strategy name -> the rankings it fuses and whether it is gated. A strategy that needs a model is listed as not available.
+def peer_report(scored: DataFrame, dead: DataFrame, docs: DataFrame, repeats: int = 8, buyers: int = 6, examples: int = 4) -> DataFrame:
+    """(query_id, peers, repeating, repeats, buyers, examples) of each query with a peer group.
+
+    repeats are the peers that cite most dead items, each with up to six of them; repeating is the number of all that cite
+    any; buyers are the first by name; examples are the best matches' categories, of 110 characters at most.
+    dead: doc, item (dead ones only); docs: doc, buyer, category.
+    """
+    g = peer_group(scored).join(docs.select("doc", "buyer", "category"), "doc", "left")
+    bad = dead.select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    g = g.join(bad, "doc", "left")
+    row = F.struct((-F.size("items")).alias("order"), "rank", "doc", F.slice("items", 1, 6).alias("dead"))
+    named = F.struct("rank", F.substring("category", 1, 110).alias("category"))
+    out = g.groupBy("query_id", "peers").agg(  # PEER_DOCUMENTS rows of each query at most
+        F.count("items").alias("repeating"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("items").isNotNull(), row))), 1, repeats).alias("r"),
+        F.slice(F.array_sort(F.collect_set("buyer")), 1, buyers).alias("buyers"),
+        F.slice(F.array_sort(F.collect_list(named)), 1, examples).alias("e"),
+    )
+    return out.select("query_id", "peers", "repeating", F.transform("r", lambda x: F.struct(x["doc"].alias("doc"), x["dead"].alias("dead"))).alias("repeats"), "buyers", F.transform("e", lambda x: x["category"]).alias("examples"))
+
+
+#: Strategy name -> the rankings it fuses, whether graph neighbours are added, whether it is gated, and whether it needs a model
+#: that is absent here. `run_strategy` runs the available ones.
 STRATEGIES = {
-    "bm25": {"rankings": ("bm25",), "gate": False, "available": True},
-    "dense": {"rankings": ("dense",), "gate": False, "available": True},
-    "hybrid_rrf": {"rankings": ("bm25", "dense"), "gate": True, "available": True},
-    "graph_expand": {"rankings": ("bm25", "dense"), "gate": True, "available": True},
-    "hybrid_ce": {"rankings": ("bm25", "dense"), "gate": True, "available": False},
-    "llm_only": {"rankings": (), "gate": False, "available": False},
+    "bm25": {"rankings": ("bm25",), "graph": False, "gate": False, "available": True},
+    "dense": {"rankings": ("dense",), "graph": False, "gate": False, "available": True},
+    "hybrid_rrf": {"rankings": ("bm25", "dense"), "graph": False, "gate": True, "available": True},
+    "graph_expand": {"rankings": ("bm25", "dense"), "graph": True, "gate": True, "available": True},
+    "hybrid_ce": {"rankings": ("bm25", "dense"), "graph": False, "gate": True, "available": False},
+    "llm_only": {"rankings": (), "graph": False, "gate": False, "available": False},
 }
+
+
+def run_strategy(name: str, rankings: dict[str, DataFrame], edges: DataFrame | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, doc, score, rank): the candidates of a registered strategy, with scores from 0 to 1.
+
+    rankings: name -> (query_id, doc, score, rank) to DEPTH. Two rankings are fused to a shortlist; one is cut to it. With
+    graph, neighbours of the first hits follow the shortlist with score 0. edges: src, dst, n_co. A reranker maps
+    (query_id, doc, score) to itself with new scores; a strategy that needs one that isn't given is refused, not guessed.
+    """
+    s = STRATEGIES[name]
+    if not s["available"] and rerank is None:
+        raise ValueError(f"{name} needs a model that isn't here")
+    used = [rankings[r] for r in s["rankings"]]
+    if len(used) > 1:
+        c = fuse([r.select("query_id", "doc", "rank") for r in used]).select("query_id", "doc", calibrated("fused", F.col("rrf"), len(used)).alias("score"), "rank")
+    else:
+        kind = "lexical" if s["rankings"] == ("bm25",) else "dense"
+        c = used[0].where(F.col("rank") <= SHORTLIST).select("query_id", "doc", calibrated(kind, F.col("score")).alias("score"), "rank")
+    if s["graph"] and edges is not None:
+        near = expand_by_graph(c, edges).withColumn("score", F.lit(0.0))
+        at = Window.partitionBy("query_id").orderBy(F.desc("n_co"), "doc")
+        c = c.unionByName(near.select("query_id", "doc", "score", (F.lit(SHORTLIST) + F.row_number().over(at)).alias("rank")))
+    if rerank is not None:
+        c = top(rerank(c.select("query_id", "doc", "score")), SHORTLIST)
+    return c.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")

@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is absent (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder that was set on the context.
+
+    Without either a temporary folder is used where the driver is the only executor (local mode, as in tests); on a cluster it
+    is an error, as other machines don't see this one's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         defined = spark.sparkContext._jsc.sc().getCheckpointDir()
         if defined.isDefined():
             folder = defined.get()
-        else:
+        elif spark.sparkContext._jsc.sc().isLocal():
             folder = "file://" + tempfile.mkdtemp(prefix="citeloom-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     return folder.rstrip("/")
 
 

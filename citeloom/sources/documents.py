@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGES, SCANNED_CHARS, KEPT_CHARS, LINKS = 60, 200, 20_000, 8
+SCANNED_CHARS, KEPT_CHARS, LINKS = 200, 20_000, 8
 SCHEMA = "path string, kind string, text string, pages int, scanned boolean, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -42,11 +42,11 @@ def docx_text(raw: bytes) -> str:
 
 
 def pdf_text(raw: bytes) -> tuple[str, int]:
-    """Text and number of pages through pypdf, where it is installed."""
+    """Text of all pages, and their number, through pypdf, where it is installed."""
     import pypdf
 
     pages = pypdf.PdfReader(io.BytesIO(raw)).pages
-    return "\n".join(p.extract_text() or "" for p in list(pages)[:PAGES]), min(len(pages), PAGES)
+    return "\n".join(p.extract_text() or "" for p in pages), len(pages)
 
 
 def extract_text(files: DataFrame, keep_chars: int | None = None) -> DataFrame:

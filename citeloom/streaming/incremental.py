@@ -32,18 +32,15 @@ def run_periodic(df: DataFrame, checkpoint: str, each, every: str = "6 hours", m
 
 
 def upsert_into(path: str, key: str):
-    """A foreachBatch sink that keeps the newest row of each key in versions <path>/v=<batch>; a replay rewrites its version. A batch holds a key once."""
+    """A foreachBatch sink that keeps the newest row of each key in versions <path>/v=<batch>; a replay rewrites its version.
+    A batch holds a key once. Batch 0 starts the state; a later batch fails if the version before it is gone, as going on
+    without it would lose rows."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         new = batch
         if batch_id > 0:
-            try:
-                old = spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}")
-                new = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-            except Exception as x:
-                if "PATH_NOT_FOUND" not in str(x):
-                    raise
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}")
+            new = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
         new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return each
