@@ -8,18 +8,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+from .batches import bounds, quoted, runs
+
 #: Template tokens of a window, and of the least stretch that counts (a shorter benchmark text must be there whole).
 WINDOW, STRETCH = 8, 12
 #: Template tokens of the least part that counts of a stretch whose slots contradict each other. A part as short as STRETCH may be
 #: the common frame of a question about someone or something else.
 PART = 24
-#: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes several passes.
+#: Bytes of benchmark text of an index in memory.
 BLOCK = 16 << 20
-#: Bytes of a document that are taken in at once; pieces overlap by OVERLAP bytes and meet at a blank.
+#: Bytes of a document that are taken in at once. Pieces overlap by a quarter and meet at a blank, so a stretch of up to that length
+#: is whole in one of them; a longer one is found by its parts.
 PIECE = 4 << 20
+#: Bits of the filter's positions: windows whose hash has no bit there are in no benchmark text and aren't brought to the join.
+FILTER = 26
 
 # Words taken as numbers and as units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
@@ -132,7 +139,7 @@ def windows(token: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Template windows of a block of benchmark texts, by window length: sorted hashes with item and place."""
+    """The same search over one text in memory: template windows of some benchmark texts, by length, with item and place."""
 
     items: list[tuple[int, Tokens]]
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
@@ -257,6 +264,117 @@ def indexes(benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
         yield Index(held)
 
 
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The template windows of benchmark texts (item_id, item, t) as rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            tokens = canonical(batch.column(2)[i].as_py())
+            n = min(WINDOW, len(tokens.token))
+            if n:
+                h = windows(tokens.token, n)
+                at = np.arange(len(h))[:, None] + np.arange(n)
+                slots = (tokens.slot[at] << np.arange(n)).sum(axis=1)
+                yield _rows(batch.slice(i, 1), ["item_id", "item"], h, {"n": np.full(len(h), n, np.int32), "place": np.arange(len(h)), "total": np.full(len(h), len(tokens.token)), "slots": slots.astype(np.int64)}, tokens.value[at], "item_values")
+
+
+def _rows(one: pa.RecordBatch, keep: list[str], h: np.ndarray, more: dict[str, np.ndarray], values: np.ndarray, name: str) -> pa.RecordBatch:
+    """Rows of one text's windows: its columns repeated, the hash, other numbers, and the window's token values as bytes."""
+    first = pa.array(np.zeros(len(h), np.int64))
+    packed = pa.array([v.tobytes() for v in np.ascontiguousarray(values)], pa.binary())
+    columns = [one.column(i).take(first) for i in range(len(keep))] + [pa.array(h.view(np.int64)), *map(pa.array, more.values()), packed]
+    return pa.RecordBatch.from_arrays(columns, [*keep, "h", *more, name])
+
+
+def _text_windows(bits: Broadcast, lengths: list[int]):
+    """Rows of the documents' windows that pass the filter; batches are (doc_id, digest, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = bits.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for piece, text in enumerate(_pieces(batch.column(2)[i].as_py())):
+                    tokens = canonical(text)
+                    for n in lengths:
+                        h = windows(tokens.token, n)
+                        bit = h >> np.uint64(64 - FILTER)
+                        at = np.flatnonzero((seen[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+                        if len(at):
+                            more = {"n": np.full(len(at), n, np.int32), "piece": np.full(len(at), piece, np.int32), "pos": at}
+                            yield _rows(batch.slice(i, 1), ["doc_id", "digest"], h[at], more, tokens.value[at[:, None] + np.arange(n)], "doc_values")
+
+    return run
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """A bitmap over the first FILTER bits of the windows' hashes; its size is fixed, whatever the benchmark's."""
+    bit = windows.select(F.shiftrightunsigned("h", 64 - FILTER).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+    words = bit.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2 ** (FILTER - 6) rows at most
+    out = np.zeros(1 << (FILTER - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+_SIDES = ["digest", "doc", "piece", "item"]
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, item_id, n_tokens, n_changed) of the texts and items whose windows, which come sorted by text, item, shift and
+    place, make a stretch that agrees."""
+    for table in runs(batches, _SIDES):
+        cuts = bounds(table, _SIDES)
+        shift, pos, n, total, slots = (table.column(c).to_numpy() for c in ("shift", "pos", "n", "total", "slots"))
+        sides = [table.column(c).to_pylist() for c in ("item_values", "doc_values")]
+        breaks = np.flatnonzero(np.concatenate(([True], (np.diff(shift) != 0) | (np.diff(pos) != 1))))
+        found: list[tuple[int, int, int]] = []
+        for a, b in zip(cuts, cuts[1:]):
+            best: tuple[int, int] | None = None
+            starts = np.union1d(breaks[np.searchsorted(breaks, a) : np.searchsorted(breaks, b)], [a])
+            for i, j in zip(starts, np.append(starts[1:], b)):
+                width, least = int(n[i]), min(STRETCH, int(total[i]))
+                length = int(j - i) - 1 + width
+                least = max(least, best[0] + 1 if best else 0)
+                if length < least:
+                    continue
+                item, doc = (_stretch(side[i:j], width) for side in sides)
+                flags = np.concatenate((slots[i : j - 1] & 1, (slots[j - 1] >> np.arange(width)) & 1)).astype(bool)
+                best = _longest(Tokens(item, item, flags, item, item), 0, Tokens(doc, doc, flags, doc, doc), 0, length, least) or best
+            if best:
+                found.append((int(a), *best))
+        if found:
+            rows, tokens, changed = zip(*found)
+            some = table.select(["doc_id", "digest", "item_id"]).take(pa.array(rows)).combine_chunks().to_batches()
+            yield from (pa.RecordBatch.from_arrays([*x.columns, pa.array(tokens, pa.int64()), pa.array(changed, pa.int64())], ["doc_id", "digest", "item_id", "n_tokens", "n_changed"]) for x in some)
+
+
+def _stretch(values: list[bytes], width: int) -> np.ndarray:
+    """Token values of neighbouring windows, without what they share."""
+    whole = np.frombuffer(b"".join(values), np.uint64).reshape(-1, width)
+    return np.concatenate((whole[:-1, 0], whole[-1]))
+
+
+def _digest(text: Column) -> Column:
+    return F.concat_ws("-", F.xxhash64(text), F.xxhash64(F.lit(1), text))
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str | None = "doc_id") -> DataFrame:
+    """(doc_id, digest, item_id, n_tokens, n_changed): `contaminated` with each text's 128-bit digest; doc_id null where not asked for."""
+    scratch = Scratch(docs.sparkSession, "leaks")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("t")).where(F.length("t") > 0).distinct()
+    items = items.select("item_id", F.xxhash64("item_id", "t").alias("item"), "t").mapInArrow(_item_windows, "item_id long, item long, h long, n int, place long, total long, slots long, item_values binary")
+    items = scratch.keep(items, "items")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # WINDOW rows at most
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(items))
+    who = F.col(quoted(doc_id)).cast("long") if doc_id else F.lit(None).cast("long")
+    source = docs.select(who.alias("doc_id"), _digest(F.col(quoted(text))).alias("digest"), F.col(quoted(text)).cast("binary").alias("t")).where(F.length("t") > 0)
+    seen = source.mapInArrow(_text_windows(bits, lengths), "doc_id long, digest string, h long, n int, piece int, pos long, doc_values binary")
+    # copies of a text under one id are one text
+    seen = seen.groupBy("doc_id", "digest", "piece", "n", "pos", "h").agg(F.first("doc_values").alias("doc_values"))
+    met = seen.join(items, ["n", "h"]).withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "shift": F.col("pos") - F.col("place")})
+    met = met.repartition(*_SIDES).sortWithinPartitions(*_SIDES, "shift", "pos")
+    met = met.select("doc_id", "digest", "doc", "piece", "item", "item_id", "shift", "pos", "n", "total", "slots", "item_values", "doc_values")
+    return scratch.keep(met.mapInArrow(_checked, "doc_id long, digest string, item_id long, n_tokens long, n_changed long"), "found")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, n_tokens, n_changed): which documents hold which benchmark texts, as they are or re-parameterised.
 
@@ -265,37 +383,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     is one value in the document and the other way round. n_tokens is the longest such stretch, n_changed the slots in it
     with another value; where a slot contradicts others, parts of PART tokens or more count.
 
-    The benchmark goes to the tasks in blocks of at most BLOCK bytes, one pass over the documents a block, so memory
-    is bounded at any size of the benchmark. Null and empty texts hold nothing; repeated documents give one row; a document
-    with null id is reported with null. Empty tables give no rows.
+    Both sides' windows of WINDOW template tokens (all of a shorter item) are rows, joined in Spark by their hash. A
+    document's windows are rows only if they pass a filter of the benchmark's hashes, which drops none that match. Joined
+    windows come together by text and item, neighbours on a diagonal make a stretch, and its slots are checked there. So
+    nothing but the filter, of fixed size, is held by the driver or sent to all tasks, whatever the benchmark's size.
+
+    Null and empty texts hold nothing; repeated documents give one row; a document with null id is reported with null.
+    Empty tables give no rows.
     """
-    found = None
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    for index in indexes(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(d, i, n, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) if t.is_valid for i, (n, c) in _find(index, t.as_py()).items()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "item_id", "n_tokens", "n_changed"])
-
-        part = source.mapInArrow(run, "doc_id long, item_id long, n_tokens long, n_changed long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_tokens long, n_changed long")
     best = F.max(F.struct("n_tokens", "n_changed"))
+    found = contaminated_texts(docs, benchmark, text, doc_id)
     return found.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.n_tokens", "m.n_changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows whose text holds a benchmark text, as `contaminated` decides. Columns and repeated rows stay."""
-    at = docs.columns.index(text)
-    for index in indexes(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(at).cast(pa.binary())
-                yield batch.filter(pa.array([not t.is_valid or not _find(index, t.as_py()) for t in texts], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    leaks = contaminated_texts(docs, benchmark, text, None).select(F.col("digest").alias("_leak")).distinct()
+    return docs.join(leaks, _digest(F.col(quoted(text))) == F.col("_leak"), "left_anti")
