@@ -12,18 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .batches import quoted
 
-#: Vectors that fitting takes at most; distinct vectors a list should hold; lists at most; vectors of a list in one block.
-SAMPLE, LIST, LISTS, BLOCK = 20_000, 100, 4096, 20_000
-#: Lists a vector is put into at most and the distance ratio up to which; lists a query reads at least, in number and as a share of
-#: all lists (a fixed number loses recall as lists grow in number); lists that it reads within the ratio REACH.
-COPIES, CLOSE, PROBES_LEAST, SHARE, PROBES, REACH = 4, 1.15, 12, 0.2, 96, 1.3
+#: Classes that centroids are fitted on, and those that the reading is calibrated on where there are more; classes a list should
+#: hold, and lists at most, as every task holds the centroids.
+SAMPLE, HELD, LIST, LISTS = 20_000, 10_000, 10, 4096
+#: Lists a class is put into at most, and the distance ratio up to which.
+COPIES, CLOSE = 2, 1.06
+#: Share of the sample's true neighbours that the lists read must hold, and the share within the distance ratio that prunes them.
+RECALL, WITHIN = 0.96, 0.995
+#: Lists that a query reads in any case; lists that it reads, as a share of all, and their distance ratio, where a sample is too small
+#: to calibrate on (fewer than TOO_FEW classes).
+LEAST, SHARE, REACH, TOO_FEW = 12, 0.35, 1.3, 200
+#: Classes of neighbouring lists that are brought together, classes and queries of one task.
+PART, BLOCK, ASKED = 4096, 20_000, 20_000
 
 
 def probes(lists: int) -> tuple[int, int]:
-    """Least and most lists that a query reads."""
-    least = max(PROBES_LEAST, math.ceil(SHARE * lists))
-    return least, max(PROBES, least)
+    """Lists that a query reads, and at most, where nothing is calibrated."""
+    least = max(LEAST, math.ceil(SHARE * lists))
+    return least, least
 
 
 @dataclass
@@ -59,9 +67,13 @@ class Centroids:
         return cls(c.astype(np.float32), graph.astype(np.int32), rng.choice(k, min(k, 32), replace=False))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest centroids found for each unit query, nearest first, with their distances; -1 fills short rows."""
+        """Nearest centroids found for each unit query, nearest first, with their distances; -1 fills short rows.
+
+        A step expands the nearest of the beam's fresh centroids, a sixteenth of the beam at once.
+        """
         k, b = len(self.points), len(q)
         beam = min(beam, k)
+        width = max(1, beam // 16)
         rows = np.arange(b)[:, None]
         seen = np.zeros((b, k), bool)
         ids = np.repeat(self.entries[None, :], b, axis=0)
@@ -70,19 +82,27 @@ class Centroids:
         fresh = np.ones(ids.shape, bool)
         for _ in range(4 * beam):
             best = np.where(fresh, cos, -np.inf)
-            at = best.argmax(axis=1)
-            live = np.flatnonzero(np.isfinite(best[rows[:, 0], at]))
-            if not len(live):
+            n = min(width, best.shape[1])
+            at = np.argpartition(-best, n - 1, axis=1)[:, :n]
+            good = np.take_along_axis(best, at, axis=1) > -np.inf
+            if not good.any():
                 break
-            fresh[live, at[live]] = False
-            near = self.graph[ids[live, at[live]]]
-            new = ~seen[live[:, None], near]
-            seen[live[:, None], near] = True
-            found = np.where(new, np.einsum("bd,bnd->bn", q[live], self.points[near]), -np.inf)
-            add_ids = np.full((b, near.shape[1]), -1, ids.dtype)
-            add_cos = np.full((b, near.shape[1]), -np.inf, cos.dtype)
-            add_ids[live], add_cos[live] = near, found
-            ids, cos, fresh = np.concatenate((ids, add_ids), 1), np.concatenate((cos, add_cos), 1), np.concatenate((fresh, np.isfinite(add_cos)), 1)
+            np.put_along_axis(fresh, at, False, axis=1)
+            near = self.graph[np.take_along_axis(ids, at, axis=1)].reshape(b, -1)
+            new = ~seen[rows, near] & np.repeat(good, self.graph.shape[1], axis=1)
+            # of one centroid that several bring, the first counts
+            order = np.argsort(near, axis=1, kind="stable")
+            sorted_near = np.take_along_axis(near, order, axis=1)
+            first = np.ones(near.shape, bool)
+            first[:, 1:] = sorted_near[:, 1:] != sorted_near[:, :-1]
+            keep = np.empty(near.shape, bool)
+            np.put_along_axis(keep, order, first, axis=1)
+            new &= keep
+            r, c = np.nonzero(new)
+            seen[r, near[r, c]] = True
+            found = np.full(near.shape, -np.inf, cos.dtype)
+            found[r, c] = np.einsum("nd,nd->n", q[r], self.points[near[r, c]])
+            ids, cos, fresh = np.concatenate((ids, np.where(new, near, -1)), 1), np.concatenate((cos, found), 1), np.concatenate((fresh, new), 1)
             if ids.shape[1] > beam:
                 top = np.argpartition(-cos, beam - 1, axis=1)[:, :beam]
                 ids, cos, fresh = ids[rows, top], cos[rows, top], fresh[rows, top]
@@ -99,6 +119,26 @@ class Centroids:
         row, col = np.nonzero(good)
         return row, ids[row, col]
 
+    def calibrated(self, x: np.ndarray, k: int, recall: float = RECALL, queries: int = 256, seed: int = 1) -> tuple[int, float]:
+        """How many lists a query has to read at most, and within which distance ratio, so that the share `recall` of the true k
+        nearest of some sample vectors is read; by brute force over the sample x."""
+        rng = np.random.default_rng(seed)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        asked = rng.choice(len(x), min(queries, len(x)), replace=False)
+        row, to = self.lists(x, 24, 1, COPIES, CLOSE)
+        cut = np.searchsorted(row, np.arange(len(x) + 1))  # rows come in order
+        dist = np.sqrt(np.maximum(2 - 2 * (x[asked] @ self.points.T.astype(float)), 0))
+        rank, ratio = np.argsort(np.argsort(dist, axis=1, kind="stable"), axis=1) + 1, dist / np.maximum(dist.min(axis=1, keepdims=True), 1e-9)
+        ranks, ratios = [1], [1.0]
+        for j, i in enumerate(asked):
+            score = x @ x[i]
+            score[i] = -np.inf
+            for near in np.argsort(-score)[: min(k, len(x) - 1)]:
+                held = to[cut[near] : cut[near + 1]]
+                ranks.append(int(rank[j, held].min()))
+                ratios.append(float(ratio[j, held].min()))
+        return int(np.quantile(ranks, recall, method="higher")), float(np.quantile(ratios, WITHIN, method="higher"))
+
 
 def usable(vector: Column) -> Column:
     """A vector that takes part: not null, without null or non-finite components, not zero."""
@@ -107,87 +147,188 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, each scaled by a power of two so that its largest component is between 1/2 and 1. That
+    changes no digit and no cosine, and keeps the norms of huge and tiny vectors in range."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def _best(q: np.ndarray, qn: np.ndarray, v: np.ndarray, vn: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, cosine) of the k + 1 nearest vectors of each query, ties by low. Those near the last place are
+    computed again one by one, so a cosine doesn't depend on what else is compared."""
+    rough = (q @ v.T) / (qn[:, None] * vn[None, :])
+    if len(v) > k + 1:
+        row, col = np.nonzero(rough >= np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)][:, None] - 1e-12)
+    else:
+        row, col = np.nonzero(np.ones(rough.shape, bool))
+    score = np.clip((q[row] * v[col]).sum(axis=1) / (qn[row] * vn[col]), -1, 1)
+    order = np.lexsort((low[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, "left") <= k
+    return row[keep], col[keep], score[keep]
+
+
+def _compare(k: int):
+    """The k nearest of each query over the lists that it reads, for a group of asked (id, v, lists) and held (list, ids, v) rows."""
+
+    def run(ask: pa.Table, have: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if ask.num_rows and have.num_rows:
+            q, v = (_matrix(t.column("v").combine_chunks()) for t in (ask, have))
+            qn, vn = _norms(q), _norms(v)
+            ids, qid = have.column("ids").combine_chunks(), ask.column("id").to_numpy()
+            starts = ids.offsets.to_numpy()
+            flat = ids.values.to_numpy()
+            low = flat[starts[:-1]]
+            lists = ask.column("lists").combine_chunks()
+            wanted, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+            order = np.argsort(wanted, kind="stable")
+            wanted, asker = wanted[order], asker[order]
+            held = have.column("list").to_numpy()
+            by = np.argsort(held, kind="stable")
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            names, first = np.unique(held[by], return_index=True)
+            for name, a, b in zip(names, first, np.append(first[1:], len(by))):
+                who = asker[np.searchsorted(wanted, name, "left") : np.searchsorted(wanted, name, "right")]
+                own = by[a:b]
+                for j in range(0, len(who), 256):
+                    some = who[j : j + 256]
+                    row, col, score = _best(q[some], qn[some], v[own], vn[own], low[own], k)
+                    found.append((some[row], own[col], score))
+            if found:
+                row, col, score = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((low[col], -score, row))
+                row, col, score = row[order], col[order], score[order]
+                once = np.concatenate(([True], (row[1:] != row[:-1]) | (low[col[1:]] != low[col[:-1]])))  # a class may be in two lists
+                row, col, score = row[once], col[once], score[once]
+                keep = np.arange(len(row)) - np.searchsorted(row, row, "left") <= k
+                row, col, score = row[keep], col[keep], score[keep]
+                times = starts[col + 1] - starts[col]
+                at = np.repeat(starts[col], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                near, row, score = flat[at], np.repeat(row, times), np.repeat(score, times)
+                real = near != qid[row]
+                near, row, score = near[real], row[real], score[real]
+                order = np.lexsort((near, -score, row))
+                near, row, score = near[order], row[order], score[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+                out = qid[row[keep]], near[keep], score[keep]
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k nearest vectors by cosine among all others.
 
     1. Equal vectors are one class with its k + 1 smallest ids, ranked inside the tasks before the shuffle, so a vector that a third of
        all rows share is one row of the index and no answer is lost.
     2. Centroids are fitted by balanced k-means on at most SAMPLE classes, about LIST classes a list. Every class is indexed:
        it goes to the nearest list, and from a boundary to up to COPIES lists within CLOSE times that distance.
-    3. The centroids sit in a graph that every task holds in memory (LISTS at most). A query reads the lists within REACH
-       times its nearest centroid's distance, between PROBES_LEAST and PROBES of them.
-    4. A list of more than BLOCK classes is dealt to blocks by id, to each of which its queries go; so no task gets an
-       unbounded list. Cosines are computed in double precision from the original vectors.
+    3. The centroids sit in a graph that every task holds in memory (LISTS at most). A query reads the lists within a distance
+       ratio of its nearest centroid's, up to a number of them. Both are calibrated by brute force on a bounded sample that
+       the centroids weren't fitted on, so that RECALL of its true neighbours are read; where vectors have clusters a few
+       lists do, where they have none many.
+    4. Neighbouring lists are parts of about PART classes: a query goes once to a part with the lists that it reads there.
+       Parts of more than BLOCK classes are dealt to blocks by a hash, and more than ASKED queries too; so no task gets an
+       unbounded side. Cosines are computed in double precision from the original vectors.
+
+    With exact there is one list, and every query reads it: the same search by brute force, block by block.
 
     The row of a query is the row with its id: it is left out, also if repeated. Ties go to the smaller id. Vectors that are
-    null, zero, hold null or non-finite components, or have not the most frequent length take no part; null ids neither.
-    Fewer candidates give fewer rows; empty tables give none.
+    null, zero, or hold null or non-finite components take no part; null ids neither. A vector is compared with those of its
+    own length only, as others have no cosine with it; those of another than the commonest length by brute force.
+    A query whose lists hold fewer than k others reads all lists. Fewer candidates give fewer rows; empty tables give none.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     schema = "query_id long, rank int, vec_id long, score double"
-    pick = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = pick(vectors)
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    pick = lambda df: df.select(F.col(quoted(vec_id)).cast("long").alias("id"), F.col(quoted(embedding)).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows, asked = pick(vectors).distinct(), scratch.keep(pick(queries).distinct(), "asked")
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    classes = ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 rows each at most
+    classes = scratch.keep(classes.withColumn("length", F.size("v")), "classes")
+    common = classes.groupBy("length").count().orderBy(F.desc("count"), "length").first()
     if common is None:
         return spark.createDataFrame([], schema)
-    rows, asked = rows.where(F.size("v") == common["d"]).distinct(), pick(queries).where(F.size("v") == common["d"]).distinct()
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
-    classes = scratch.keep(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "classes")
-    count = classes.count()
-    sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow()
-    index = Centroids.fit(_matrix(sample.column(0).combine_chunks()), min(LISTS, max(1, round(count / LIST)), max(1, sample.num_rows // 4)))
-    shared = spark.sparkContext.broadcast(index)
-    least, most = probes(len(index.points))
+    usual = F.col("length") == common["length"]
+    sample = _matrix(classes.where(usual).select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE + HELD).toArrow().column(0).combine_chunks())
+    fitted = sample[:SAMPLE]
+    index = Centroids.fit(fitted, 1 if exact else min(LISTS, max(1, round(common["count"] / LIST)), max(1, len(fitted) // 4)))
+    if len(sample) < TOO_FEW:
+        least, most = probes(len(index.points))
+        ratio = REACH
+    else:
+        most, ratio = index.calibrated(fitted if len(sample) <= SAMPLE else sample[SAMPLE:], k)
+        least, most = min(LEAST, len(index.points)), max(most, LEAST)
+    parts = Centroids.fit(index.points.astype(float), max(1, round(common["count"] / PART)))
+    part_of = parts.search(index.points, 24)[0][:, 0].astype(np.int32)
+    shared = spark.sparkContext.broadcast((index, part_of))  # LISTS centroids at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, part_of = shared.value
         for batch in batches:
             for j in range(0, batch.num_rows, 1024):
                 part = batch.slice(j, 1024)
-                row, to = shared.value.lists(_matrix(part.column(0)), 24, 1, COPIES, CLOSE)
+                row, to = index.lists(_matrix(part.column(0)), 24, 1, COPIES, CLOSE)
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), part.column(1).take(row), part.column(0).take(row)], ["list", "ids", "v"])
-
-    postings = scratch.keep(classes.select("v", "ids").mapInArrow(assign, "list int, ids array<long>, v array<double>"), "postings")
-    parts = {r["list"]: -(-r["n"] // BLOCK) for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most LISTS rows
+                yield pa.RecordBatch.from_arrays([pa.array(part_of[to]), pa.array(to, pa.int32()), part.column(1).take(row), part.column(0).take(row)], ["part", "list", "ids", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, part_of = shared.value
         for batch in batches:
             for j in range(0, batch.num_rows, 1024):
-                part = batch.slice(j, 1024)
-                row, to = shared.value.lists(_matrix(part.column(1)), most + 32, least, most, REACH)
-                times = np.array([parts.get(int(x), 0) for x in to], dtype=np.int64)
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row = pa.array(np.repeat(row, times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(to, times), pa.int32()), pa.array(block, pa.int32()), part.column(0).take(row), part.column(1).take(row)], ["list", "block", "id", "v"])
-
-    probed = asked.select("id", "v").mapInArrow(probe, "list int, block int, id long, v array<double>")
-    sizes = F.create_map(*[F.lit(x) for kv in parts.items() if kv[1] > 1 for x in kv]) if any(n > 1 for n in parts.values()) else None
-    block = F.pmod(F.xxhash64("v"), F.coalesce(sizes[F.col("list")], F.lit(1))).cast("int") if sizes is not None else F.lit(0)
-    postings = postings.withColumn("block", block)
-
-    def compare(ask: pa.Table, have: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if ask.num_rows and have.num_rows:
-            v, q = (_matrix(t.column("v").combine_chunks()) for t in (have, ask))
-            vn, qn = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
-            ids, qid = have.column("ids").to_pylist(), ask.column("id").to_numpy()
-            low = np.array([x[0] for x in ids])
-            for a in range(0, len(q), 256):
-                score = np.clip((q[a : a + 256] @ v.T) / (qn[a : a + 256, None] * vn[None, :]), -1, 1)
-                for i, s in enumerate(score):
-                    top = np.flatnonzero(s >= np.partition(s, -(k + 1))[-(k + 1)]) if len(s) > k + 1 else np.arange(len(s))
-                    top = top[np.lexsort((low[top], -s[top]))]
-                    near = [(int(qid[a + i]), x, float(s[t])) for t in top for x in ids[t] if x != qid[a + i]]
-                    out += sorted(near, key=lambda r: (-r[2], r[1]))[:k]
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = probed.groupBy("list", "block").cogroup(postings.groupBy("list", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                some = batch.slice(j, 1024)
+                row, to = index.lists(_matrix(some.column(1)), most + 32, least, most, ratio)
+                order = np.lexsort((to, part_of[to], row))
+                row, to = row[order], to[order]
+                part = part_of[to]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(part) != 0))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(to)), pa.int32()), pa.array(to, pa.int32()))
+                own = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), lists, some.column(0).take(own), some.column(1).take(own)], ["part", "lists", "id", "v"])
+
+    # the other lengths are parts of their own, under negative numbers, with one list
+    other = F.col("length") != common["length"]
+    held = classes.where(usual).select("v", "ids").mapInArrow(assign, "part int, list int, ids array<long>, v array<double>")
+    held = scratch.keep(held.unionByName(classes.where(other).select((-F.col("length")).alias("part"), F.lit(0).alias("list"), "ids", "v")), "held")
+    mine = asked.withColumn("length", F.size("v"))
+    wanted = mine.where(usual).select("id", "v").mapInArrow(probe, "part int, lists array<int>, id long, v array<double>")
+    wanted = wanted.unionByName(mine.where(other).select((-F.col("length")).alias("part"), F.array(F.lit(0)).alias("lists"), "id", "v"))
+
+    sizes = scratch.keep(held.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
+    groups = max(1, -(-asked.count() // ASKED))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = held.join(sizes, "part").select("part", "list", "ids", "v", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
+    held = held.withColumn("of", every(F.lit(groups)))
+    keys = ("part", "block", "of")
+
+    def searched(some: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score, rank) of queries (part, lists, id, v)."""
+        some = some.join(sizes, "part").select("part", "lists", "id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("of"), every(F.col("blocks")).alias("block"))
+        found = some.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = scratch.keep(searched(wanted), "found")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = scratch.keep(mine.where(usual).join(full, F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short")
+    if exact or not short.head(1):
+        return found
+    # the lists of these hold fewer than k others: they read all
+
+    def probe_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, part_of = shared.value
+        for batch in batches:
+            for part in np.unique(part_of):
+                lists = np.flatnonzero(part_of == part).astype(np.int32)
+                times = np.arange(batch.num_rows + 1, dtype=np.int32) * len(lists)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), pa.ListArray.from_arrays(pa.array(times), pa.array(np.tile(lists, batch.num_rows))), batch.column(0), batch.column(1)], ["part", "lists", "id", "v"])
+
+    again = searched(scratch.keep(short.mapInArrow(probe_all, "part int, lists array<int>, id long, v array<double>"), "all"))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
