@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Files of one tier that start a merge, size of the smallest tier, size a merged file aims at, merges in one job.
 FAN_IN, SMALLEST, TARGET, AT_ONCE = 4, 1 << 20, 64 << 20, 64
+#: Seconds after which a writer that hasn't committed counts as dead.
+ABANDONED = 24 * 3600
+#: Stores whose rename copies and can replace, so two writers could both commit one version.
+UNSAFE = frozenset("s3 s3a s3n gs oss cos cosn obs swift wasb wasbs".split())
 
 
 @dataclass(frozen=True)
@@ -24,16 +28,20 @@ class ShardStore:
     """Immutable Parquet shards under a folder, and manifests v00000001.json, v00000002.json ... that list the live ones.
 
     A version is committed by renaming a complete temporary file to the next number, which fails if that number exists;
-    the loser reads the newer version and tries again. Readers see whole versions only. Files of a job that died before
-    its commit are in no manifest and go with `vacuum`. The folder must be one that all executors share, on a file system
-    whose rename is atomic.
+    the loser reads the newer version and tries again. Readers see whole versions only. A writer marks its folder as
+    pending before it writes and drops the mark after its commit, so `vacuum` leaves the files of one at work alone; those
+    of a job that died go once its mark is ABANDONED seconds old. The folder must be one that all executors share, on a
+    file system whose rename is atomic; stores known for another are refused.
     """
 
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fan_in: int = FAN_IN, smallest: int = SMALLEST):
         self.spark, self.root, self.target, self.fan_in, self.smallest = spark, root.rstrip("/"), target, fan_in, smallest
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        if self._fs.getScheme() in UNSAFE:
+            raise ValueError(f"{self._fs.getScheme()} has no atomic rename, which commits need")
+        for folder in ("manifests", "pending", "shards"):
+            self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
 
     def _path(self, x: str):
         return self._jvm.org.apache.hadoop.fs.Path(x)
@@ -67,18 +75,28 @@ class ShardStore:
             out.close()
             final = self._path(f"{self.root}/manifests/v{version + 1:08d}.json")
             if not self._fs.exists(final) and self._fs.rename(draft, final):
+                for folder in {s.path.rsplit("/", 2)[-2] for s in added if "/" in s.path}:
+                    self._fs.delete(self._path(f"{self.root}/pending/{folder}"), False)
                 return version + 1
             self._fs.delete(draft, False)
 
-    def _written(self, df: DataFrame) -> list[Shard]:
-        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
+    def _written(self, df: DataFrame, rows: int | None = None, name: str | None = None) -> list[Shard]:
+        """The files of df, one for each of its partitions and `rows` rows, in a folder of its own."""
+        folder = f"{self.root}/shards/{name or uuid.uuid4().hex}"
+        writer = df.write.option("compression", "zstd")
+        (writer.option("maxRecordsPerFile", rows) if rows else writer).parquet(folder)
         files = [s for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
         return sorted((Shard(s.getPath().toString(), int(s.getLen())) for s in files), key=lambda s: s.path)
 
+    def _marked(self, df: DataFrame, rows: int | None = None) -> list[Shard]:
+        """The same in a folder that is marked as pending before anything is written; the commit drops the mark."""
+        name = uuid.uuid4().hex
+        self._fs.create(self._path(f"{self.root}/pending/{name}")).close()
+        return self._written(df, rows, name)
+
     def append(self, docs: DataFrame) -> int:
         """Write an arrival as small shards, one for each of its partitions, without a shuffle, and commit them."""
-        return self.commit(self._written(docs))
+        return self.commit(self._marked(docs))
 
     def tier(self, size: int) -> int:
         """Shards of a tier differ in size by less than the fan-in."""
@@ -104,12 +122,27 @@ class ShardStore:
             runs.append(run)
         return [r for r in runs if len(r) > 1]
 
+    def split(self) -> int:
+        """Cut shards of more than twice the target into files of about the target, in place and without a shuffle: rows of one
+        are dealt by its average row. Repeats until none is left but single rows of that size. Returns the version."""
+        done: set[Shard] = set()
+        while large := [s for s in self.shards() if s.size > 2 * self.target and s not in done]:
+            for s in large:
+                df = self.spark.read.parquet(s.path)
+                rows = df.count()  # from the file's footer
+                if rows > 1:
+                    self.commit(self._marked(df, max(1, rows * self.target // s.size)), [s])
+                else:
+                    done.add(s)
+        return self.version()
+
     def compact(self) -> int:
-        """Merge until no tier holds a run; each round of merges is one commit. Returns the version.
+        """Cut what is too large, and merge until no tier holds a run; each round of merges is one commit. Returns the version.
 
         A merge is one task that reads its shards and writes one file, so rows are moved once and never shuffled, and a
-        lost executor repeats only its own merges.
+        lost executor repeats only its own merges. The merges of a round run beside each other.
         """
+        self.split()
         while runs := self.plan():
             schema = self.spark.read.parquet(runs[0][0].path).schema
             for k in range(0, len(runs), AT_ONCE):
@@ -118,7 +151,7 @@ class ShardStore:
                 for run in part:
                     one = self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
                     merged = one if merged is None else merged.union(one)
-                self.commit(self._written(merged), [s for run in part for s in run])
+                self.commit(self._marked(merged), [s for run in part for s in run])
         return self.version()
 
     def read(self, version: int | None = None, schema=None) -> DataFrame | None:
@@ -129,30 +162,34 @@ class ShardStore:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(*[s.path for s in live]).select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
 
-    def vacuum(self) -> int:
-        """Delete files that the newest version doesn't list; older versions can't be read afterwards. Returns their number."""
-        live = {s.path for s in self.shards()}
-        gone = 0
-        top = self._path(f"{self.root}/shards")
-        for folder in self._fs.listStatus(top) if self._fs.exists(top) else []:
-            for f in self._fs.listStatus(folder.getPath()):
-                if f.getPath().getName().startswith("part-") and f.getPath().toString() not in live:
-                    gone += bool(self._fs.delete(f.getPath(), False))
-        return gone
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete files that none of the newest `keep` versions lists and that no writer owns. Older versions can't be read
+        afterwards. Returns the number of files.
+
+        Pending marks and files are listed before the manifests are read: a writer whose mark is gone by then has committed,
+        so its files are in the manifest that is read.
+        """
+        now = int(self._jvm.java.lang.System.currentTimeMillis())
+        at_work = {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/pending")) if now - s.getModificationTime() < 1000 * ABANDONED}
+        files = [f.getPath() for folder in self._fs.listStatus(self._path(f"{self.root}/shards")) if folder.getPath().getName() not in at_work for f in self._fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        newest = self.version()
+        live = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.shards(v)}
+        return sum(bool(self._fs.delete(f, False)) for f in files if f.toString() not in live)
 
 
-def shard(docs: DataFrame, root: str, target: int = TARGET) -> DataFrame:
-    """Append docs to the store at root, compact it, drop superseded files, and return the live rows with shard and shard_row.
+def shard(docs: DataFrame, root: str, target: int = TARGET, keep: int | None = None) -> DataFrame:
+    """Append docs to the store at root, compact it, and return the live rows with shard and shard_row.
 
     Every row of docs is in exactly one shard: nulls, empty and very long texts, repeated rows and columns of any name are
     stored as they are (columns named shard or shard_row are left out, as the result has its own). An empty table gives
-    a version without rows.
+    a version without rows. With keep, files of versions before the newest `keep` are dropped; else all stay readable.
     """
     docs = docs.drop("shard", "shard_row")
     store = ShardStore(docs.sparkSession, root, target)
     store.append(docs)
     store.compact()
-    store.vacuum()
+    if keep is not None:
+        store.vacuum(keep)
     rows = store.read(schema=docs.schema)
     if rows is None:
         rows = docs.sparkSession.createDataFrame([], docs.schema).withColumns({"shard": F.lit("").cast("string"), "shard_row": F.lit(0).cast("long")})
