@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the shard store's new version, with their shard and place in it."""
-    return sharding.shard(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}").drop("text")
+    return sharding.shard(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", keep=1).drop("text")
 
 
 STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix_sources), ("sharding", write_shards)]
