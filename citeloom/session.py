@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -34,6 +35,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots[self.root] = self
 
     def write(self, df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
         self.n += 1
@@ -44,12 +46,30 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         return self.write(df, name)[0]
 
-    def drop(self, path: str) -> None:
+    def drop(self, path: str | None = None) -> None:
+        """Delete a written table, or all of them."""
+        path = path or self.root
+        _roots.pop(path, None)
         jvm = self.spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_roots: dict[str, Scratch] = {}
+
+
+def drop_scratch() -> None:
+    """Delete all scratch tables of this process; results that were not written elsewhere can't be read afterwards."""
+    for root, scratch in list(_roots.items()):
+        try:
+            scratch.drop(root)
+        except Exception:  # the session is gone: its folder is left to whoever owns the shared one
+            _roots.pop(root, None)
+
+
+atexit.register(drop_scratch)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
