@@ -245,7 +245,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     A query whose lists hold fewer than k others reads all lists. Fewer candidates give fewer rows; empty tables give none.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
+    result, scratch = Scratch(spark, "ann"), Scratch(spark, "ann-steps")
     schema = "query_id long, rank int, vec_id long, score double"
     pick = lambda df: df.select(F.col(quoted(vec_id)).cast("long").alias("id"), F.col(quoted(embedding)).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows, asked = pick(vectors).distinct(), scratch.keep(pick(queries).distinct(), "asked")
@@ -315,10 +315,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = scratch.keep(searched(wanted), "found")
+    found = result.keep(searched(wanted), "found")
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = scratch.keep(mine.where(usual).join(full, F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short")
     if exact or not short.head(1):
+        scratch.drop()
         return found
     # the lists of these hold fewer than k others: they read all
 
@@ -331,4 +332,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), pa.ListArray.from_arrays(pa.array(times), pa.array(np.tile(lists, batch.num_rows))), batch.column(0), batch.column(1)], ["part", "lists", "id", "v"])
 
     again = searched(scratch.keep(short.mapInArrow(probe_all, "part int, lists array<int>, id long, v array<double>"), "all"))
-    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+    out = result.keep(found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again), "whole")
+    scratch.drop()
+    return out

@@ -358,10 +358,10 @@ def _digest(text: Column) -> Column:
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str | None = "doc_id") -> DataFrame:
     """(doc_id, digest, item_id, n_tokens, n_changed): `contaminated` with each text's 128-bit digest; doc_id null where not asked for."""
-    scratch = Scratch(docs.sparkSession, "leaks")
+    scratch, steps = Scratch(docs.sparkSession, "leaks"), Scratch(docs.sparkSession, "leaks-steps")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("t")).where(F.length("t") > 0).distinct()
     items = items.select("item_id", F.xxhash64("item_id", "t").alias("item"), "t").mapInArrow(_item_windows, "item_id long, item long, h long, n int, place long, total long, slots long, item_values binary")
-    items = scratch.keep(items, "items")
+    items = steps.keep(items, "items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # WINDOW rows at most
     bits = docs.sparkSession.sparkContext.broadcast(_filter(items))
     who = F.col(quoted(doc_id)).cast("long") if doc_id else F.lit(None).cast("long")
@@ -372,7 +372,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     met = seen.join(items, ["n", "h"]).withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "shift": F.col("pos") - F.col("place")})
     met = met.repartition(*_SIDES).sortWithinPartitions(*_SIDES, "shift", "pos")
     met = met.select("doc_id", "digest", "doc", "piece", "item", "item_id", "shift", "pos", "n", "total", "slots", "item_values", "doc_values")
-    return scratch.keep(met.mapInArrow(_checked, "doc_id long, digest string, item_id long, n_tokens long, n_changed long"), "found")
+    found = scratch.keep(met.mapInArrow(_checked, "doc_id long, digest string, item_id long, n_tokens long, n_changed long"), "found")
+    steps.drop()
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -398,5 +400,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows whose text holds a benchmark text, as `contaminated` decides. Columns and repeated rows stay."""
-    leaks = contaminated_texts(docs, benchmark, text, None).select(F.col("digest").alias("_leak")).distinct()
-    return docs.join(leaks, _digest(F.col(quoted(text))) == F.col("_leak"), "left_anti")
+    own = "_leak"
+    while own in [c.lower() for c in docs.columns]:
+        own += "_"
+    leaks = contaminated_texts(docs, benchmark, text, None).select(F.col("digest").alias(own)).distinct()
+    return docs.join(leaks, _digest(F.col(quoted(text))) == F.col(own), "left_anti")

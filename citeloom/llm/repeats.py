@@ -1,4 +1,8 @@
-"""Exact removal of long repeated strings with a run-length Burrows-Wheeler index."""
+"""Removal of long repeated strings with a run-length Burrows-Wheeler index.
+
+Strings are equal by their bytes inside an index. Two whole segments are equal if their anchors and their 64-bit hashes are, so an
+error needs a collision among the segments of one anchor; windows of an anchor with many segments are equal by 128-bit hashes.
+"""
 
 from __future__ import annotations
 
@@ -71,8 +75,8 @@ def _pieces(size: int, length: int) -> Iterator[tuple[int, int]]:
 class RunLengthIndex:
     """Run-length compressed Burrows-Wheeler transform of a text with the suffixes at its runs' ends.
 
-    Of the suffix array only the entries at the runs' first and last rows are kept, with the longest common prefixes
-    there. Where the symbol before a suffix and the one before its neighbour in the suffix array are equal, the common
+    The transform is read once, for its runs; of the suffix array only the entries at the runs' first and last rows are kept,
+    with the longest common prefixes there, so what stays grows with the runs and not with the text. Where the symbol before a suffix and the one before its neighbour in the suffix array are equal, the common
     prefix is one shorter than that of the suffix one place earlier in the text; so a stream over the text from sample
     to sample yields every place's longest match elsewhere, in either direction of the suffix array.
     """
@@ -88,7 +92,7 @@ class RunLengthIndex:
         before = np.frombuffer(text, np.uint8)[order - 1]
         edge = np.concatenate(([True], (before[1:] != before[:-1]) | (order[1:] == 0) | (order[:-1] == 0)))
         head = np.flatnonzero(edge)
-        self.symbols, self.starts = before[head], head
+        self.runs = len(head)
         tail = np.append(head[1:], n) - 1
         self.head_at, self.head_match = order[head], self._common(order[head], order[head - 1], head > 0)
         self.tail_at, self.tail_match = order[tail], self._common(order[tail], order[(tail + 1) % n], tail < n - 1)
@@ -261,7 +265,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, scratch: Scratch | None =
     seen = hot.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where("n > 1").select("h")
     counted = hot.join(seen, "h", "left_semi").select("doc_id", "digest", "start", (F.col("start") + length).alias("end"))
     found = found.unionByName(marked).unionByName(counted)
-    return found.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # rows that repeat an id and text add the same spans again
+    return found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

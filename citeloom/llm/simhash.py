@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import Scratch
-from .batches import as_bytes, bounds, runs
+from .batches import as_bytes, bounds, columns, runs
 
 BITS, SEGMENTS = 64, 5
 #: A bucket of more fingerprints than this is split by more agreeing bits, until LEAF bits are left open.
@@ -163,14 +163,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, text: st
     texts share fingerprint zero and link like any other. A null doc_id is kept with its component's smallest id, null if
     it has none. Repeated rows are kept. Other columns are ignored. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch, steps = Scratch(docs.sparkSession, "simhash"), Scratch(docs.sparkSession, "simhash-steps")
     fps = scratch.keep(simhash(docs, width, text, doc_id), "fps")
-    nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    parts = connected_components(fingerprint_links(nodes, distance, scratch=scratch), scratch=scratch)
+    nodes = steps.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    parts = connected_components(fingerprint_links(nodes, distance, scratch=steps), scratch=steps)
     placed = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    placed = scratch.keep(placed, "placed")
+    placed = steps.keep(placed, "placed")
     lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
-    named = placed.join(lowest, "part").select("fp", "component_id")
+    named = scratch.keep(placed.join(lowest, "part").select("fp", "component_id"), "named")
+    steps.drop()
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -352,7 +353,8 @@ def similar_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, te
     group is linked through it. Then the parts are paired block by block, and what the links so far leave in different
     components is compared across them; a bucket that is one component already needs no blocks. So no pair of a bucket is lost.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    result = scratch or Scratch(docs.sparkSession, "similar")
+    scratch = Scratch(docs.sparkSession, "similar-steps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +396,10 @@ def similar_groups(docs: DataFrame, width: int = 5, distance: int = DISTANCE, te
         groups = connected_components(links, scratch=scratch)
     placed = scratch.keep(nodes.join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("part")), "placed")
     lowest = placed.groupBy("part").agg(F.min("low").alias("component_id"))
-    return sketched.select("doc_id", "node").join(placed.join(lowest, "part").select("node", "component_id"), "node").select("doc_id", "component_id")
+    out = sketched.select("doc_id", "node").join(placed.join(lowest, "part").select("node", "component_id"), "node").select("doc_id", "component_id")
+    out = result.keep(out, "groups")
+    scratch.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -404,11 +409,16 @@ def keep_one(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str =
     one row stays. Rows without an id stay only if no row of their group has one. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    groups = similar_groups(docs, width, text=text, doc_id=doc_id, scratch=scratch).select(F.col("doc_id").alias("_near_id"), F.col("component_id").alias("_near_low"))
-    first = scratch.keep(groups.where(F.col("_near_id").eqNullSafe(F.col("_near_low"))).groupBy("_near_id").agg(F.count(F.lit(1)).alias("_near_n")), "first")
+    own = "_near"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    key, low, n = f"{own}id", f"{own}low", f"{own}n"
+    groups = similar_groups(docs, width, text=text, doc_id=doc_id, scratch=scratch).select(F.col("doc_id").alias(key), F.col("component_id").alias(low))
+    first = scratch.keep(groups.where(F.col(key).eqNullSafe(F.col(low))).groupBy(key).agg(F.count(F.lit(1)).alias(n)), "first")
     # the same plan at every size: the kept ids grow with the documents
-    kept = docs.join(first.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("_near_id")), "inner")
-    once = kept.where((F.col("_near_n") == 1) | F.col("_near_id").isNull()).select(*docs.columns)
-    if not first.where("_near_n > 1 AND _near_id IS NOT NULL").head(1):
+    kept = docs.join(first.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col(key)), "inner")
+    mine = columns(docs.columns)
+    once = kept.where((F.col(n) == 1) | F.col(key).isNull()).select(*mine)
+    if not first.where((F.col(n) > 1) & F.col(key).isNotNull()).head(1):
         return once
-    return once.unionByName(kept.where((F.col("_near_n") > 1) & F.col("_near_id").isNotNull()).select(*docs.columns).dropDuplicates([doc_id]))
+    return once.unionByName(kept.where((F.col(n) > 1) & F.col(key).isNotNull()).select(*mine).dropDuplicates([doc_id]))
