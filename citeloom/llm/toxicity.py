@@ -55,13 +55,19 @@ def fold(text: str) -> np.ndarray:
     return _FOLD[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)]
 
 
-def word_margins(raw: np.ndarray, margin: np.ndarray) -> np.ndarray:
-    """Each word's mean margin over its n-grams."""
+def words_of(raw: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's mean margin over its n-grams, and a number that equal words share."""
     at, bucket, first = grams(raw)
     if not len(first):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     word = np.searchsorted(first, at, side="right") - 1 if len(at) < 64 else (np.cumsum(np.bincount(first, minlength=len(raw))) - 1)[at]
-    return np.bincount(word, margin[bucket], len(first)) / np.maximum(np.bincount(word, minlength=len(first)), 1)
+    n = len(first)
+    return np.bincount(word, margin[bucket], n) / np.maximum(np.bincount(word, minlength=n), 1), np.bincount(word, np.sqrt(bucket + 1.0), n)
+
+
+def word_margins(raw: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Each word's mean margin over its n-grams."""
+    return words_of(raw, margin)[0]
 
 
 @dataclass
@@ -80,9 +86,9 @@ class Model:
             if end < len(raw):
                 blanks = np.flatnonzero(raw[k + 1 : end] == 32)
                 end = k + 2 + int(blanks[-1]) if len(blanks) else end
-            parts.append(word_margins(raw[k:end], self.margin))
+            parts.append(words_of(raw[k:end], self.margin))
             k = end - 1
-        best = best_bag(calm(np.concatenate(parts)) if parts else np.zeros(0))[0]
+        best = best_bag(calm(*map(np.concatenate, zip(*parts))) if parts else np.zeros(0))[0]
         return float(1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -30, 30))))
 
 
@@ -99,9 +105,10 @@ def best_bag(words: np.ndarray) -> tuple[float, int]:
     return float(means[at]), at
 
 
-def calm(words: np.ndarray) -> np.ndarray:
-    """Without values that equal the one before."""
-    return words[np.append(True, words[1:] != words[:-1])] if len(words) else words
+def calm(words: np.ndarray, same: np.ndarray | None = None) -> np.ndarray:
+    """What is said of words, without those that equal the word before. `same` tells words apart (default: the values do)."""
+    same = words if same is None else same
+    return words[np.append(True, same[1:] != same[:-1])] if len(words) else words
 
 
 def _sums(values: np.ndarray, of: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -134,7 +141,7 @@ class _Trainer:
         return self.words() @ (self.values[1][:, 1] - self.values[1][:, 0])
 
     def train(self, bags: list[np.ndarray], y: np.ndarray, rounds: int, rate: float = 0.1, decay: float = DECAY) -> None:
-        """Adam on all bags at once. A bag is an array of word numbers, -1 for a word without embedding."""
+        """Adam on all bags at once. A bag is an array of word numbers, below zero for words without embedding."""
         known = [b[b >= 0] for b in bags]
         start = np.concatenate(([0], np.cumsum([len(b) for b in known]))).astype(np.int64)
         word = np.concatenate(known) if known else np.zeros(0, np.int64)
@@ -186,20 +193,22 @@ def fit(rows: list[tuple[str, int]], seed: int = 42) -> Model:
     seen = Counter(w for t in texts for w in set(t))
     vocabulary = sorted(w for w, n in seen.items() if n > 1) or sorted(seen)
     number = {w: i for i, w in enumerate(vocabulary)}
-    bags = [calm(np.fromiter((number.get(w, -1) for w in t), np.int64, len(t))) for t in texts]
+    for w in sorted(seen):
+        number.setdefault(w, -len(number))  # words without embedding have numbers of their own, below zero
+    bags = [calm(np.fromiter((number[w] for w in t), np.int64, len(t))) for t in texts]
     trainer = _Trainer(vocabulary, seed)
     trainer.train(bags, y, 30)
     clean = np.flatnonzero(y == 0)
     hard: list[np.ndarray] = []
     for _ in range(3):
-        m = np.append(trainer.margins(), 0.0)
-        windows = [b[k : k + WINDOW] for b, k in ((b, best_bag(m[b])[1]) for b in bags)]
+        m = trainer.margins()
+        windows = [b[k : k + WINDOW] for b, k in ((b, best_bag(np.where(b < 0, 0.0, m[np.maximum(b, 0)]))[1]) for b in bags)]
         hard += [windows[i] for i in clean]
         positive = [windows[i] for i in np.flatnonzero(y)]
         trainer.train(positive + hard, np.repeat([1, 0], [len(positive), len(hard)]), 25)
     margin = np.zeros(BUCKETS)
     margin[trainer.used] = trainer.values[0] @ (trainer.values[1][:, 1] - trainer.values[1][:, 0])
-    return Model(margin, *_calibrate(np.array([best_bag(calm(word_margins(f, margin)))[0] for f in folded]), y))
+    return Model(margin, *_calibrate(np.array([best_bag(calm(*words_of(f, margin)))[0] for f in folded]), y))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", bound: int = SAMPLE) -> Model:

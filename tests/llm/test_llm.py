@@ -74,6 +74,19 @@ def test_toxicity_word_margins_equal_plain_rule():
     assert np.allclose(toxicity.word_margins(raw, margin), want)
 
 
+def test_toxicity_scores_equal_plain_rule():
+    """A text's score from each word's n-grams by themselves: repeats dropped, the best mean of six words in a row."""
+    rng = random.Random(7)
+    m = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.7, -0.2)
+    for n in (0, 1, 5, 6, 7, 200):
+        words = [rng.choice(["ab", "abc", "Zürich", "x1", "lorem", "ipsum", "lorem"]) for _ in range(n)]
+        calm = [w for i, w in enumerate(words) if not i or w != words[i - 1]]
+        value = [float(toxicity.word_margins(toxicity.fold(w), m.margin)[0]) for w in calm]
+        bags = [value] if len(value) <= 6 else [value[i : i + 6] for i in range(len(value) - 5)]
+        best = max((sum(b) / len(b) for b in bags if b), default=0.0)
+        assert m.score(" ".join(words)) == pytest.approx(1 / (1 + np.exp(-(0.7 * best - 0.2))))
+
+
 def test_toxicity_pieces_do_not_change_a_score(monkeypatch):
     m = toxicity.Model(np.random.default_rng(0).normal(size=toxicity.BUCKETS), 1.0, 0.0)
     text = prose(random.Random(2), 3000)

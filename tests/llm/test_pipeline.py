@@ -1,9 +1,13 @@
+import itertools
 import random
+from collections import Counter
 
 import corpus_pipeline as P
+import duckdb
 from pyspark.sql import functions as F
 
-from citeloom.llm import decontaminate
+from citeloom.llm import decontaminate, mixing, simhash, toxicity
+from citeloom.llm.labelled import fold
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,3 +37,42 @@ def test_stages_on_odd_rows(spark, sf):
             assert out.count() <= 2 * max(docs.count(), 0)
             if name == "near-duplicates" and docs.count():
                 assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 3, 4]
+
+
+def test_stages_equal_brute_force(spark, sf, tmp_path):
+    """Each stage on what the one before kept, against a plain rule over the collected rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stage = dict(P.STAGES)
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+
+    def written(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    kept = written(stage["toxicity"](spark, docs, sf), "a")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), fold("doc_id", 5) != 0)
+    assert rows(kept) == Counter(tuple(r) for r in docs.collect() if model.score(r["text"]) < 0.5)
+
+    single = written(stage["near-duplicates"](spark, kept, sf), "b")
+    texts = {r["doc_id"]: set(simhash.shingle_set((r["text"] or "").encode()).tolist()) for r in kept.collect()}
+    low = {i: i for i in texts}
+    links = [(a, b) for a, b in itertools.combinations(sorted(texts), 2) if 5 * len(texts[a] & texts[b]) >= 4 * len(texts[a] | texts[b])]
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    assert links and sorted(r["doc_id"] for r in single.collect()) == sorted(i for i in texts if low[i] == i)
+
+    clean = written(stage["decontamination"](spark, single, sf), "c")
+    index = next(decontaminate.indexes(spark.read.parquet(f"{sf}/benchmark.parquet")))
+    assert rows(clean) == Counter(tuple(r) for r in single.collect() if not decontaminate._find(index, (r["text"] or "").encode()))
+
+    mixed = written(stage["mixing"](spark, clean, sf), "d")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = Counter({d: t // s for d, s, _, _, t in c.sql(mixing.SQL).fetchall() if s and t})
+    got = Counter(r["doc_id"] for r in mixed.collect() if (r["text"] or "").split())
+    assert got == want
+
+    stored = stage["sharding"](spark, mixed, sf)
+    assert Counter(r["doc_id"] for r in stored.collect()) == Counter(r["doc_id"] for r in mixed.collect())
+    assert stored.select("shard", "shard_row").distinct().count() == mixed.count()
