@@ -16,7 +16,7 @@ from ..functions import clauses
 from ..functions import designation as D
 from ..functions import text as X
 from ..operators import association as A
-from ..operators import audit, corpus, evaluate, forward, health, lookup, merge, paging, ranking, reuse
+from ..operators import audit, corpus, evaluate, forward, health, lookup, merge, paging, presentation, ranking, reuse
 from ..session import Scratch, table
 from ..sources import catalogue as portal
 from ..sources import documents as files
@@ -777,6 +777,61 @@ def latest_stage(spark, sf):
     return logs.latest_stage(e.select(F.col("event_id").alias("load_ord"), F.array(row, F.struct(F.lit("other").alias("stage"), F.lit(0).cast("long").alias("k"))).alias("results")), "click").select("k")
 
 
+_NAMED = "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Supply ' || w || ' Part 2' WHEN 1 THEN 'Technical Specification — Pumps' WHEN 2 THEN 'Untitled pumps tender' WHEN 3 THEN 'LED ' || w || ' and Notice Inviting Tender' WHEN 4 THEN 'Untitled tender' ELSE w END AS name, p_partkey % 6 NOT IN (2, 4) AS named FROM (SELECT p_partkey, upper(left(split_part(p_name, ' ', 1), 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) AS w FROM part)"
+
+
+@query(_NAMED)
+def names_from_files(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    w = F.substring_index("p_name", " ", 1)
+    file = (
+        F.when(k % 6 == 0, F.concat(F.lit("and_supply_OF-"), w, F.lit("Part2_2019-07-01_0f3b9a7c-1111-2222-3333-0123456789ab.pdf")))
+        .when(k % 6 == 1, "technicalSpecification_1563958123.docx")
+        .when(k % 6 == 2, "bo5iuhy_1tlVzErH.pdf")
+        .when(k % 6 == 3, F.concat(F.lit("led."), w, F.lit("_and-nit 77.pdf")))
+        .when(k % 6 == 4, "")
+        .otherwise(F.concat(w, F.lit("_and.zip")))
+    )
+    docs = p.select(k.alias("id"), file.alias("identifier"), F.when(k % 6 != 4, "Pumps").alias("family"))
+    words = presentation.known_words(p, ["p_name"], ["supply", "part", "technical", "specification", "and", "notice"])
+    return presentation.readable_names(docs, words, {"nit": "notice inviting tender", "led": "LED"}, ["LED"]).select("id", "name", "named")
+
+
+@query("""SELECT d.doc_id, length('<!doctype html><meta charset=utf-8><title>Audit ' || d.doc_id || '</title><h1>Audit of ' || d.doc_id || '</h1><p>today. Verdict: ' || verdict || ' (' || high || ' high, ' || medium || ' medium, 0 low).</p>') + CASE WHEN n IS NULL THEN 19 ELSE 89 + n END AS size FROM (
+  SELECT d.doc_id, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, CASE WHEN count(*) FILTER (WHERE severity = 'high') > 0 THEN 'blocking' WHEN count(severity) > 0 THEN 'review' ELSE 'clean' END AS verdict,
+    CAST(sum(length(citation) + length(kind) + length(severity) + length(CASE kind WHEN 'dispute_risk' THEN 'Replace ' || citation || ' (' || detail || ').' WHEN 'statutory_omission' THEN 'Require the standard mark for ' || citation || ', ' || detail || '.' ELSE 'Check ' || citation || ': ' || detail || '.' END) + 45) AS BIGINT) AS n
+  FROM docs d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id) d""", _REG + ",\n" + _FOUND + "\n")
+def report_pages(spark, sf):
+    docs = S.documents(spark, sf)
+    found = audit.findings(S.citations(spark, sf), S.register(spark, sf), S.rules(spark, sf), docs)
+    pages = presentation.report(audit.verdicts(docs, found), audit.suggestions(found), "today")
+    return pages.select("doc_id", F.length("page").cast("long").alias("size"))
+
+
+@query("SELECT term, NULL AS refine FROM v WHERE term NOT IN (SELECT term FROM f) UNION ALL SELECT a.term, b.term FROM (SELECT term FROM f GROUP BY term HAVING count(*) >= 40) a JOIN v b ON a.term <> b.term", _with("w AS (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z]{3,}')) AS term FROM part)", "v AS (SELECT term FROM w GROUP BY term HAVING count(*) >= 5)", "f AS (SELECT DISTINCT term, p_partkey FROM w WHERE term < 'm' AND term IN (SELECT term FROM v))"))
+def sweep_queries(spark, sf):
+    p = table(spark, sf, "part")
+    words = p.select(F.col("p_partkey").alias("key"), F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
+    vocabulary = portal.vocabulary(p, "p_name", ["zzz"], 5)
+    return portal.sweep(vocabulary, words.where("term < 'm'").join(vocabulary.select("term"), "term", "left_semi"), 40)
+
+
+@query("SELECT p_size AS key, min(p_partkey) AS first FROM part GROUP BY p_size")
+def swept_records(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_size").alias("key"), F.col("p_partkey").alias("first"))
+    return portal.swept(p, "key", "first").select("key", "first")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS kinds FROM customer")
+def bucketed_table(spark, sf):
+    """A bucketed table with statistics, joined with itself on its key."""
+    s = Scratch(spark, "buckets")
+    name = "t_" + s.root.rsplit("-", 1)[1]
+    tables.save_table(table(spark, sf, "customer").select("c_custkey", "c_name"), name, f"{s.root}/t", ["c_custkey"], 8)
+    held = spark.table(name)
+    return held.join(held.select(F.col("c_custkey").alias("k")), F.col("c_custkey") == F.col("k")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("kinds"))
+
+
 # ---------------------------------------------------------------- streams
 
 

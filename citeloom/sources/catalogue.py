@@ -6,7 +6,7 @@ import json
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -56,3 +56,30 @@ def vocabulary(titles: DataFrame, title: str, stopwords: list[str], least: int =
 def remaining(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a progress log doesn't hold yet."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")
+
+
+def id_sample(spark: SparkSession, low: int, high: int, n: int, seed: int) -> DataFrame:
+    """(id): n of the ids from low up to high (exclusive), by the order of a hash of seed and id, so that reruns draw the same."""
+    ids = spark.range(low, high)
+    return ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+
+
+def sweep(vocabulary: DataFrame, found: DataFrame, cap: int = 500) -> DataFrame:
+    """(term, refine): the next queries of a sweep by vocabulary (term, n), whose results are (term, key).
+
+    A term whose result reached the cap of a page is incomplete: it is asked again together with every other term (refine),
+    the most frequent first; terms not asked yet are asked alone.
+    """
+    done = found.groupBy("term").agg(F.countDistinct("key").alias("hits"))
+    t = vocabulary.join(done, "term", "left")
+    alone = t.where("hits IS NULL").select("term", F.lit(None).cast("string").alias("refine"))
+    full = t.where(F.col("hits") >= cap).select("term")
+    # the vocabulary is a stated set of queries, and full terms are few of them
+    pairs = full.join(vocabulary.select(F.col("term").alias("refine")), F.col("term") != F.col("refine"))
+    return alone.unionByName(pairs)
+
+
+def swept(pages: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of each key of a sweep's records: the first by order."""
+    w = Window.partitionBy(key).orderBy(order)
+    return pages.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -62,3 +62,10 @@ def write_lake(df: DataFrame, path: str, sort: list[str], partition: list[str] |
     """Parquet sorted inside its files, so that min and max statistics prune in place of indexes."""
     w = df.sortWithinPartitions(*sort).write.mode("overwrite")
     (w.partitionBy(*partition) if partition else w).parquet(path)
+
+
+def save_table(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> None:
+    """A table of the catalogue at a path, bucketed and sorted by its lookup keys, with column statistics; joins on the keys of
+    two tables with as many buckets need no shuffle."""
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
