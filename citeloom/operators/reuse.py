@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..session import Scratch
 from .components import connected_components
 
 WORDS, LEAST, PERMUTATIONS, BANDS = 5, 40, 128, 32
 #: Documents of a band's bucket that are paired directly; more go through the prefix filter.
 BUCKET = 200
-#: A Mersenne prime and the seed of the MinHash family.
-PRIME, SEED = (1 << 61) - 1, 17
-
-
-def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """Distinct 64-bit hashes of a text's word shingles.
-
-    The tokens are bound to a lambda variable: an inlined expression would be evaluated anew for every shingle.
-    """
-
-    def of(t: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(t) - (words - 1), F.lit(1)))
-        hashed = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(t, i, words), " "))))
-        return F.when(F.size(t) < words, F.array().cast("array<bigint>")).otherwise(hashed)
-
-    return F.transform(F.array(tokens(text)), of)[0]
+#: The seed of the MinHash family.
+SEED = 17
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_find = re.compile("[a-z0-9]+").findall
+
+
+def shingle_array(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, ascending."""
+    found = _find((text or "").lower())
+    if len(found) < words:
+        return np.zeros(0, np.int64)
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(found)}
+    one = np.fromiter((known[w] for w in found), np.uint64, len(found))
+    h = np.zeros(len(found) - words + 1, np.uint64)
+    for i in range(words):
+        h = (h ^ one[i : len(one) - words + 1 + i]) * _ODD
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
 
 
 def shingled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, words: int = WORDS) -> DataFrame:
     """(doc, hashes, n) of documents with at least `least` distinct shingles."""
-    s = docs.select(F.col(doc_id).alias("doc"), shingle_hashes(F.col(text), words).alias("hashes"))
-    return s.withColumn("n", F.size("hashes").cast("long")).where(F.col("n") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_array(t.as_py(), words) for t in batch.column(1)]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            at = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+            whole = pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), flat), pa.array(size)], ["doc", "hashes", "n"])
+            yield whole.filter(pa.array(size >= least))
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, text).mapInArrow(run, f"doc {kind}, hashes array<bigint>, n bigint")
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -72,13 +89,27 @@ def _expanded(pairs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
-def minhash(hashes: Column, permutations: int = PERMUTATIONS) -> Column:
-    """Signature: for each permutation the smallest rehash."""
+def signatures(sets: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
+    """(doc, n, key, keys): each set's hash and its bands' keys. A signature has for each permutation, a multiplication by an odd
+    number and a mix, the smallest value in the set; a band's key is a hash of its share of the signature and its number."""
+    rows = permutations // bands
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def least(seed: int) -> Column:  # a lambda with a second parameter would get the element's index in it
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(seed))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, whole = [], []
+            for one in batch.column(2):
+                h = np.ascontiguousarray(one.values.to_numpy()).view(np.uint64)
+                least = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(h), 1 << 12):
+                    mixed = (h[at : at + (1 << 12), None] ^ (h[at : at + (1 << 12), None] >> np.uint64(31))) * odd
+                    least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+                whole.append(xxhash.xxh64_intdigest(np.sort(h).tobytes()) - (1 << 63))
+                keys.append([xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "n", "key", "keys"])
 
-    return F.array(*[least(SEED + i) for i in range(permutations)])
+    kind = sets.schema["doc"].dataType.simpleString()
+    return sets.select("doc", "n", "hashes").mapInArrow(run, f"doc {kind}, n bigint, key bigint, keys array<bigint>")
 
 
 def lsh_pairs(sets: DataFrame, threshold: float = 0.8, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
@@ -88,14 +119,11 @@ def lsh_pairs(sets: DataFrame, threshold: float = 0.8, permutations: int = PERMU
     in a larger bucket are compared by `jaccard_pairs`, whose prefix filter finds every pair among them, so no link is lost.
     """
     scratch = Scratch(sets.sparkSession, "lsh")
-    sets = scratch.keep(sets.withColumn("key", F.xxhash64(F.array_sort("hashes"))), "sets")
-    rows = permutations // bands
-    s = sets.withColumn("sig", F.array(minhash(F.col("hashes"), permutations)))
-    keys = lambda sig: F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice(sig, b * rows + 1, rows)).alias("bucket")) for b in range(bands)])
-    signed = scratch.keep(s.select("doc", "n", "key", F.transform("sig", keys)[0].alias("keys")), "signed")  # without the sets: these aren't shuffled for it
+    sets = scratch.keep(sets.select("doc", "hashes", "n"), "sets")
+    signed = scratch.keep(signatures(sets, permutations, bands), "signed")  # without the sets: these aren't shuffled for it
     reps = scratch.keep(signed.groupBy("key", "n").agg(F.min("doc").alias("rep")), "reps")
     own = signed.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    buckets = scratch.keep(own.select("doc", "n", F.explode("keys").alias("k")).select("doc", "n", "k.band", "k.bucket"), "buckets")
+    buckets = scratch.keep(own.select("doc", "n", F.posexplode("keys").alias("band", "bucket")), "buckets")
     sizes = scratch.keep(buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
     cold = buckets.join(sizes.where(F.col("c") <= BUCKET), ["band", "bucket"])
     x, y = cold.alias("x"), cold.alias("y")
