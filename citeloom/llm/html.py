@@ -318,8 +318,8 @@ def vote(pages: DataFrame) -> DataFrame:
     return summed.groupBy("host").agg(F.max_by(F.struct("path", "step"), F.struct("votes", "path")).alias("w")).select("host", "w.*")
 
 
-#: Hosts whose winners are sent to all tasks; with more, pages and winners are joined by a shuffle.
-BROADCAST_HOSTS = 300_000
+#: Hosts whose winners are sent to all tasks; with more, pages and winners are joined by a shuffle, a host's pages in so many parts.
+BROADCAST_HOSTS, PARTS = 300_000, 32
 
 
 def extract(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -336,7 +336,11 @@ def extract(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFra
     carried = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns(rest))], F.lit(0).alias("none")).alias("row")
     rows = pages.select(carried, "html", host_column(F.col("url")).alias("host"))
     side = winners.select("host", "path")
-    joined = rows.join(F.broadcast(side) if winners.count() <= broadcast_hosts else side, "host", "left")
+    if winners.count() <= broadcast_hosts:
+        joined = rows.join(F.broadcast(side), "host", "left")
+    else:
+        rows = rows.withColumn("deal", F.pmod(F.xxhash64("row", "html"), F.lit(PARTS)))
+        joined = rows.join(side.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), ["host", "deal"], "left")
 
     def run(sources: pa.Array, paths: pa.Array) -> list[pa.Array]:
         texts = [main_text(parse(h.as_py() or ""), p) for h, p in zip(sources, paths.to_pylist())]
