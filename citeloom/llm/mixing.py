@@ -18,20 +18,34 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     """sizes (one row a source: _mix_sk, _mix_sn, source_size) with the words each source should give.
 
     Sources in code point order, the null source last, weigh `weights` in turn. They share `share` times all sizes by
-    weight; a target stops at `most` times its source's size and the excess goes to the others by weight. In the order
-    of cap over weight this needs one pass: a source is capped if what is left, shared by the weights left, reaches its cap.
-    One row a source goes through one task.
+    weight; a target stops at `most` times its source's size and the excess goes to the others by weight: the level, words
+    for each unit of weight, is what the capped sources leave, shared by the other weights. Sources that the level caps are
+    taken out until none is added, each round one aggregation; the sums are of whole numbers, so their order changes nothing.
+    The turn of a source is its place in a range partition behind the partitions before it, so no task sees all sources.
     """
-    place = F.row_number().over(Window.orderBy("_mix_sn", "_mix_sk"))
-    s = sizes.withColumn("weight", F.array(*map(F.lit, weights))[(place - 1) % len(weights)])
-    by = Window.orderBy(F.col("source_size") / F.col("weight"), "_mix_sn", "_mix_sk")
-    before, onward, everything = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    total = F.lit(float(share)) * F.sum("source_size").over(everything)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    s = s.withColumn("level", level).withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
-    first = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(everything)
-    return s.withColumn("first", first).select("_mix_sk", "_mix_sn", "source_size", F.when(F.col("open"), F.col("first") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
+    scratch = Scratch(sizes.sparkSession, "sources")
+    s = sizes.repartitionByRange("_mix_sn", "_mix_sk").sortWithinPartitions("_mix_sn", "_mix_sk")
+    s = scratch.keep(s.withColumn("id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("id", 33)
+    counts = sorted((r["part"], r["n"]) for r in s.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before, held = [], 0
+    for p, n in counts:
+        before += [F.lit(p), F.lit(held)]
+        held += n
+    if not held:
+        return s.select("_mix_sk", "_mix_sn", "source_size", F.lit(0.0).alias("target"))
+    place = F.create_map(*before)[part] + F.col("id").bitwiseAND((1 << 33) - 1)
+    weight = F.array(*map(F.lit, weights))[(place % len(weights)).cast("int")]
+    s = scratch.keep(s.select("_mix_sk", "_mix_sn", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")), "weighed")
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, capped, level = float(share) * whole["size"], -1, 0.0
+    while True:
+        out = s.where(F.col("cap") <= F.lit(level) * F.col("weight")) if capped >= 0 else s.limit(0)
+        gone = out.agg(F.count(F.lit(1)).alias("n"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+        if gone["n"] == capped or gone["n"] == held:
+            break
+        capped, level = gone["n"], (total - (gone["cap"] or 0.0)) / (whole["weight"] - (gone["weight"] or 0))
+    return s.select("_mix_sk", "_mix_sn", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def word_count(text: Column) -> Column:

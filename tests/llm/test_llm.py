@@ -373,6 +373,27 @@ def test_mixing_shared_ids_equal_sql(spark, tmp_path):
     assert same(again) == same(mixed)
 
 
+def test_targets_of_many_sources_equal_plain_filling(spark):
+    rng = random.Random(11)
+    sizes = {f"s{i:04d}": rng.choice([0, 1, 5, 50, 5000]) + rng.randrange(3) for i in range(700)} | {None: 40}
+    rows = [(k or "", k is None, v) for k, v in sizes.items()]
+    df = spark.createDataFrame(rows, "_mix_sk string, _mix_sn boolean, source_size long")
+    got = {None if r["_mix_sn"] else r["_mix_sk"]: r["target"] for r in mixing.targets(df, (3, 1, 2), 1.5, 2.0).collect()}
+    names = sorted(k for k in sizes if k is not None) + [None]
+    weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(names)}
+    target, left = {}, 1.5 * sum(sizes.values())
+    while True:
+        level = left / sum(weight[k] for k in names if k not in target)
+        full = [k for k in names if k not in target and 2.0 * sizes[k] <= level * weight[k]]
+        if not full:
+            break
+        for k in full:
+            target[k] = 2.0 * sizes[k]
+            left -= target[k]
+    assert got == {k: target.get(k, level * weight[k]) for k in names} and 0 < len(target) < 700
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_mixing_ids_and_names_of_any_kind(spark):
     df = spark.createDataFrame([(f"k{i % 3}" if i % 5 else None, "a b " * (i % 4), "s", i) for i in range(60)], "doc_id string, text string, source string, `_mix_sk.x` int")
     got = mixing.mix(df).collect()
