@@ -15,7 +15,8 @@ UNBRACKETED_PART = r"(?i)[\s,:;/-]*\b(?:Parts?|Pt\.?|Sections?|Sec\.?)\b.*$"
 EDITION = r":\s*(?:19|20)\d{2}\s*$"
 TAIL = r"[\s*+#†‡.,;:/-]+$"
 DESIGNATION = r"(?i)^\s*IS(?:/(?:IEC|ISO))?\s*[:\s]?\s*0*(\d{1,6})\s*$"
-ORDER_TAIL = r"(?i)\s*(?:Superseded by|Extension in |Order of extension|Extension Order|Order of enforcement|Extension in the date).*$"
+HISTORY = ("Superseded by", "Extension in ", "Order of extension", "Extension Order", "Order of enforcement", "Extension in the date")
+DATED = r"\bdated\s+\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}"
 ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6, "VII": 7, "VIII": 8, "IX": 9, "X": 10}
 
 
@@ -45,8 +46,9 @@ def unglued(digits: Column) -> Column:
 def extract_citations(text: Column) -> Column:
     """array<struct<citation, number, part>> of a text, in the order of first appearance.
 
-    Generic phrases, words that merely end in the letters, and unreadable digit runs are no citations. Two spellings of
-    one number and part, such as (Part-2/ Sec.-1) and (Part 2/Sec 1), are one citation, written as first found.
+    Generic phrases, words that merely end in the letters, and unreadable digit runs are no citations. Spellings that
+    differ only in the marks, blanks and capitals of their bracket, like (PART 4) and (Part-4), are one citation, written
+    as first found.
     """
     numbers = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
     parts = F.regexp_extract_all(text, F.lit(CITATION), F.lit(2))
@@ -82,15 +84,18 @@ def spelling_variants(c: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(c, roman, adopted)))
 
 
-def primary_notification(reference: Column) -> Column:
-    """The order that a reference names first, without its history: no list number, cut at words of supersession or
-    extension and after the first date, at most 180 characters, brackets closed. Empty for null and N/A."""
-    t = F.trim(F.regexp_replace(F.coalesce(reference, F.lit("")), r"\s+", " "))
-    t = F.regexp_replace(t, r"^\d+\.\s*", "")
-    strip = lambda c: F.regexp_replace(c, r"^[ ,;]+|[ ,;]+$", "")
-    head = strip(F.regexp_replace(t, ORDER_TAIL, ""))
-    dated = F.regexp_extract(head, r"(?i)^(.*?\bdated\s+\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})", 1)
-    head = strip(F.substring(F.when(dated != "", dated).otherwise(head), 1, 180))
-    missing = F.regexp_count(head, F.lit(r"\(")) - F.regexp_count(head, F.lit(r"\)"))
-    closed = F.concat(head, F.repeat(F.lit(")"), F.greatest(missing, F.lit(0))))
-    return F.when((t == "") | (F.upper(t) == "N/A"), F.lit("")).otherwise(closed)
+def primary_notification(reference: Column, longest: int = 180) -> Column:
+    """The order that a reference names first, without its history. Empty for null and N/A.
+
+    It ends at the nearest of three places: where the words of a later order begin, behind the first date, and after
+    `longest` characters. A number of a list before it is left out, and brackets that this leaves open are closed.
+    """
+    edges = r"^[ ,;]+|[ ,;]+$"
+    one_line = F.trim(F.regexp_replace(F.coalesce(reference, F.lit("")), r"\s+", " "))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(one_line, "(?i)^N/A$", ""), r"^\d+\.\s*", ""), edges, "")
+    places = [F.lit(longest)]
+    for pattern in (rf"(?i)^(.*?)\s*(?:{'|'.join(HISTORY)})", rf"(?i)^(.*?{DATED})"):
+        places.append(F.when(body.rlike(pattern), F.length(F.regexp_extract(body, pattern, 1))))
+    order = F.regexp_replace(F.left(body, F.least(*places)), edges, "")
+    opened, closed = (F.length(order) - F.length(F.replace(order, F.lit(x), F.lit(""))) for x in "()")
+    return F.concat(order, F.repeat(F.lit(")"), F.greatest(opened - closed, F.lit(0))))
