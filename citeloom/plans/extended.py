@@ -535,6 +535,78 @@ def spelling_variants(spark, sf):
     return table(spark, sf, "part").select(k.alias("id"), F.array_join(D.spelling_variants(c), "|").alias("variants"))
 
 
+def _pick(spark, sf, texts: list) -> DataFrame:
+    """Orders with one of the texts, in turn; {n} is a number that depends on the order."""
+    k = F.col("o_orderkey")
+    n = (F.lit(1000) + k % 900).cast("string")
+    return table(spark, sf, "orders").select(k.alias("id"), F.replace(F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int")), F.lit("{n}"), n).alias("text"))
+
+
+#: Texts and the citations that they hold.
+_CITING = [
+    ("as per relevant IS {n} and any other IS 20", []),
+    ("IS/IEC 60034 applies; IS: {n} too, not IS 7", ["IS 60034", "IS {n}"]),
+    ("IS {n} (Part 1/Sec 2) and IS {n} (part-1 / sec.2), IS {n} (Part 3)", ["IS {n} (Part 1/Sec 2)", "IS {n} (Part 3)"]),
+    ("THIS {n} is none, nor axis 12 or ISO {n}", []),
+    ("IS 12345678 can't be read", []),
+    ("IS {n}2019, and IS {n} again", ["IS {n}"]),
+    ("", []),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey AS id, CAST({p} AS INTEGER) AS pos, replace('{c}', '{{n}}', CAST(1000 + o_orderkey % 900 AS VARCHAR)) AS citation FROM orders WHERE o_orderkey % {len(_CITING)} = {i}" for i, (_, found) in enumerate(_CITING) for p, c in enumerate(found)))
+def citation_spellings(spark, sf):
+    t = _pick(spark, sf, [x for x, _ in _CITING])
+    return t.select("id", F.posexplode(D.extract_citations(F.col("text"))).alias("pos", "c")).select("id", "pos", "c.citation")
+
+
+_ORDERS = [
+    ("3. Cement Order (S.O. {n} (E) dated 1.2.03 and more", "Cement Order (S.O. {n} (E) dated 1.2.03)"),
+    ("Order {n}, superseded by Order 9 dated 01-01-2020", "Order {n}"),
+    ("Order {n} dated 01-01-2020, Extension Order of 2021", "Order {n} dated 01-01-2020"),
+    ("N/A", ""),
+    (" ;, Order {n};", "Order {n}"),
+]
+
+
+def _cases(cases: list, name: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN replace('{b}', '{{n}}', CAST(1000 + o_orderkey % 900 AS VARCHAR))" for i, (_, b) in enumerate(cases))
+    return f"SELECT o_orderkey AS id, CASE o_orderkey % {len(cases)} {whens} END AS {name} FROM orders"
+
+
+@query(_cases(_ORDERS, "head"))
+def notification_heads(spark, sf):
+    return _pick(spark, sf, [x for x, _ in _ORDERS]).select("id", D.primary_notification(F.col("text")).alias("head"))
+
+
+_EXPANDED = [
+    ("LED street lighting {n}", "LED street lighting {n} light emitting diode road and street lighting luminaires"),
+    ("galvanised iron GI pipe", "galvanised iron GI pipe galvanized steel tubes tubulars wrought steel fittings"),
+    ("ci or CI, ledger and shtml {n}", "ci or CI, ledger and shtml {n} cast iron"),
+    ("drinking water from potable sources", "drinking water from potable sources drinking water supplies potable water supplies"),
+    ("nothing to add {n}", "nothing to add {n}"),
+]
+
+
+@query(_cases(_EXPANDED, "expanded"))
+def query_expansions(spark, sf):
+    return _pick(spark, sf, [x for x, _ in _EXPANDED]).select("id", X.expand_query(F.col("text")).alias("expanded"))
+
+
+_GUARDED = [
+    ("IS {n} and IS 2062 : 2011", ""), ("IS:{n} with IS 4985", "4985"), ("is 2062-2006 and IS 2062 : 2011", "2062:2006"),
+    ("IS 77 (Part 2), IS 77, IS 78", "77,78"), ("no number", ""),
+]
+
+
+@query(_cases(_GUARDED, "leaked"))
+def subset_guards(spark, sf):
+    t = _pick(spark, sf, [x for x, _ in _GUARDED])
+    own = F.concat(F.lit("IS "), (F.lit(1000) + F.col("id") % 900).cast("string"), F.lit(" (Part 1)"))
+    years = F.create_map(F.lit("IS 2062"), F.lit("2011.0"))
+    return t.select("id", F.array_join(X.leaked_designations(F.col("text"), F.array(own, F.lit("IS 2062")), years), ",").alias("leaked"))
+
+
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'title' WHEN 2 THEN 'family' ELSE 'title' END AS field FROM orders")
 def matched_fields(spark, sf):
     k = F.col("o_orderkey")
