@@ -16,7 +16,7 @@ from ..functions import clauses
 from ..functions import designation as D
 from ..functions import text as X
 from ..operators import association as A
-from ..operators import audit, corpus, evaluate, forward, health, lookup, merge, paging, presentation, ranking, reuse
+from ..operators import audit, corpus, evaluate, forward, health, merge, paging, presentation, ranking, reuse
 from ..session import Scratch, table
 from ..sources import catalogue as portal
 from ..sources import documents as files
