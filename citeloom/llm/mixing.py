@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     d = scratch.keep(d.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "rows")
     of, cell = ["_mix_sk", "_mix_sn"], ["id", "size", "tie", "salt"]
     cells = scratch.keep(d.groupBy(*of, "class", "piece", *cell).agg(F.count(F.lit(1)).alias("n")), "cells")
-    pieces = scratch.keep(cells.groupBy(*of, "class", "piece").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words")), "pieces")
+    pieces = cells.groupBy(*of, "class", "piece").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"))
     classes = pieces.groupBy(*of, "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     goals = targets(classes.groupBy(*of).agg(F.sum("words").alias("source_size")), weights, share, most)
 
