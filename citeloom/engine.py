@@ -27,6 +27,7 @@ class Engine:
     edges: DataFrame
 
     def _one(self, text: str) -> DataFrame:
+        paging.checked_request(text)
         return self.spark.createDataFrame([(0, text)], "doc_id long, text string")
 
     def _asked(self, number: str) -> DataFrame:
@@ -136,9 +137,23 @@ class Engine:
         """audit if the text cites anything, else draft."""
         return "audit" if self.extract(text).head(1) else "draft"
 
-    def peers(self, text: str, doc_texts: DataFrame) -> DataFrame:
+    def _cited_items(self) -> DataFrame:
+        """(doc, item, dead): what each document cites, by the register's number where it resolves, else as written."""
+        r = lookup.check_dead(self.citations, self.register)
+        return r.select(F.col("doc_id").alias("doc"), F.coalesce("hit", "citation").alias("item"), "dead").distinct()
+
+    def _alike(self, text: str, doc_texts: DataFrame) -> DataFrame:
         q = self._one(text).withColumnRenamed("doc_id", "item_id")
-        return ranking.peers(ranking.bm25(doc_texts, q, ranking.PEER_DOCUMENTS), self.citations.select(F.col("doc_id").alias("doc"), F.col("citation").alias("item")))
+        return ranking.bm25(doc_texts, q, ranking.PEER_DOCUMENTS)
+
+    def peers(self, text: str, doc_texts: DataFrame) -> DataFrame:
+        """What the documents most like a text cite, dead ones first. doc_texts: doc_id, text."""
+        items = self._cited_items()
+        return ranking.peers(self._alike(text, doc_texts), items, dead=items.where("dead").select("item"))
+
+    def peer_report(self, text: str, doc_texts: DataFrame, docs: DataFrame) -> DataFrame:
+        """Which of those documents repeat a dead citation, their buyers, and examples. docs: doc, buyer, category."""
+        return ranking.peer_report(self._alike(text, doc_texts), self._cited_items().where("dead"), docs)
 
     def health_index(self) -> dict[str, DataFrame]:
         base = self.rules.where("mandatory = 'Yes'").select(F.upper("is_base").alias("base"))

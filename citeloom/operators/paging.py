@@ -11,6 +11,8 @@ from ..functions.designation import citation_digits
 from ..functions.text import non_blank, shown
 
 MOST = 500
+#: Characters of a request's text and bytes of an uploaded file at most.
+CHARACTERS, UPLOAD = 400_000, 25 << 20
 
 
 def equal_filters(df: DataFrame, filters: dict[str, object]) -> DataFrame:
@@ -37,6 +39,14 @@ def page(df: DataFrame, order: list, limit: int = 100, offset: int = 0) -> DataF
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def checked_request(text: str = "", content: bytes = b"") -> None:
+    """Refuse a request whose text or file is too large; nothing is cut."""
+    if len(text) > CHARACTERS:
+        raise ValueError(f"a text may have {CHARACTERS} characters at most")
+    if len(content) > UPLOAD:
+        raise ValueError(f"a file may have {UPLOAD} bytes at most")
+
+
 def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     """(facet, value): the distinct non-blank values of each column, in one pass."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]))

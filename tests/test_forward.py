@@ -155,6 +155,12 @@ def test_engine_lists_paths_exports(spark, tables, tmp_path):
     assert {r["is_number"] for r in spark.read.option("header", True).csv(str(tmp_path / "b")).collect()} == {"IS 77", "IS 4986"}
     with pytest.raises(ValueError, match="exportable"):
         e.export("secrets", str(tmp_path / "s"))
+    texts = spark.createDataFrame([(i, "water pipe supply" if i < 3 else "chairs") for i in range(8)], "doc_id long, text string")
+    assert [(r["item"], r["documents"], r["dead"]) for r in e.peers("pipe", texts).collect()][0] == ("IS 4984", 3, True)
+    named = docs.select(F.col("doc_id").alias("doc"), F.col("ministry").alias("buyer"), "category")
+    assert e.peer_report("pipe", texts, named).first()["repeating"] == 3
+    with pytest.raises(ValueError, match="characters"):
+        e.route("x" * 400_001)
     candidates, answers = e.answer("uPVC pipes for potable water supplies")
     assert answers.first()["doc"] == "IS 4985" and candidates.count() > 0
 
