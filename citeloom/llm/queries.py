@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
-from . import ann, decontaminate, html, langid, mixing, quality, repeats, sharding, simhash, toxicity
+from . import ann, decontaminate, html, interactions, langid, licenses, mixing, quality, repeats, search, sharding, simhash, toxicity
 from .labelled import fold
 
 
@@ -68,8 +68,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "shard_row")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interactions(interactions.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_simhash, op3_mixing, op4_quality, op5_repeats, op6_ann, op7_decontamination, op8_html, op9_langid, op10_sharding)
+    for f in (op1_toxicity, op2_simhash, op3_mixing, op4_quality, op5_repeats, op6_ann, op7_decontamination, op8_html, op9_langid, op10_sharding, op11_search, op12_filters, op13_licenses)
 }
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op11_search": search.SQL, "op12_filters": interactions.SQL}
