@@ -21,7 +21,7 @@ from ..session import Scratch, table
 from ..sources import catalogue as portal
 from ..sources import documents as files
 from ..sources import html_tables, logs, tables
-from ..streaming import incremental
+from ..streaming import incremental, sinks, state
 from . import synthetic as S
 from .catalogue import _BM25, _DENSE, _EDGES, _FOUND, _REG, _REL, _RRF, _SEEDS, _TITLE, _bm25, _dense, _kept_edges, _relevant, _seeds, _with, query
 
@@ -919,22 +919,50 @@ def stream_decisions(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("SELECT user_id, max(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
-def stream_upserts(spark, sf):
-    """The newest event of each user, upserted by a stream in micro-batches of one file."""
-    src, s = table(spark, sf, "events").select("event_id", "user_id").where("user_id IS NOT NULL"), Scratch(spark, "upserts")
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of each user's newest event: a stream over three files, stopped after the first and gone on with from its checkpoint."""
+    src, s = table(spark, sf, "events").select("event_id", "user_id"), Scratch(spark, "upserts")
+    out = sinks.BatchTable(spark, f"{s.root}/out")
     for i in range(3):
         src.where(F.pmod("event_id", F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{s.root}/in")
-    stream = incremental.read_stream(spark, f"{s.root}/in", src.schema, files=1)
-    sink, last = incremental.upsert_into(f"{s.root}/state", "user_id"), []
+        if i != 1:
+            stream = incremental.read_stream(spark, f"{s.root}/in", src.schema, files=1)
+            incremental.run_available(state.newest(stream, "user_id", ["event_id"]), f"{s.root}/checkpoint", out.each()).awaitTermination()
+    return out.read("event_id long, user_id long, n_rows long, change string")
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def stream_upserts(spark, sf):
+    """The newest event of each user, upserted in keyed state by a stream in micro-batches of one file."""
+    return state.current(_changes(spark, sf), "user_id").select("user_id", "event_id")
+
+
+@query("SELECT user_id, count(*) AS n_rows FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def stream_key_counts(spark, sf):
+    """Running counts of each user's events from the same state, over a restart."""
+    return state.current(_changes(spark, sf), "user_id").select("user_id", "n_rows")
+
+
+@query(
+    """SELECT batch, change, count(*) AS n FROM (SELECT user_id, batch, CASE WHEN before IS NULL THEN 'insert' WHEN newest > before THEN 'update' ELSE 'repeat' END AS change FROM (
+  SELECT user_id, batch, newest, max(newest) OVER (PARTITION BY user_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT user_id, CAST(event_id % 3 AS BIGINT) AS batch, max(event_id) AS newest FROM events WHERE user_id IS NOT NULL GROUP BY ALL))) GROUP BY batch, change"""
+)
+def stream_changes(spark, sf):
+    """What each micro-batch did to the state: keys inserted, updated, and met again without a newer row."""
+    return _changes(spark, sf).groupBy("batch", "change").agg(F.count(F.lit(1)).alias("n"))
 
-    def newest(batch: DataFrame, i: int) -> None:
-        held = batch.sparkSession.read.schema(batch.schema).parquet(f"{s.root}/state/v={i - 1}") if i else batch.limit(0)
-        sink(held.unionByName(batch).groupBy("user_id").agg(F.max("event_id").alias("event_id")).select(*batch.columns), i)
-        last.append(i)
 
-    incremental.run_available(stream, f"{s.root}/checkpoint", newest, mode="append").awaitTermination()
-    return spark.read.parquet(f"{s.root}/state/v={max(last)}").select("user_id", "event_id")
+@query("SELECT CAST(event_id % 3 AS BIGINT) AS batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(count(DISTINCT event_id) AS BIGINT) AS kinds FROM events GROUP BY 1")
+def stream_replays(spark, sf):
+    """Three batches of events in a table by batch; the second is replayed after an attempt with half of its rows."""
+    src, s = table(spark, sf, "events").select("event_id", "user_id"), Scratch(spark, "replays")
+    out, part = sinks.BatchTable(spark, f"{s.root}/out"), F.pmod("event_id", F.lit(3))
+    out.write(src.where(part == 0), 0)
+    out.write(src.where((part == 1) & (F.pmod("event_id", F.lit(2)) == 0)), 1)
+    out.write(src.where(part == 1), 1)
+    out.write(src.where(part == 2), 2)
+    return out.read(src.schema).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.countDistinct("event_id").alias("kinds"))
 
 
 @query("SELECT is_number, 'Status' AS field, status AS held, 'Withdrawn' AS portal FROM reg WHERE load_ord % 7 = 0 AND status <> 'Withdrawn'", _REG)
@@ -944,5 +972,6 @@ def stream_amendments(spark, sf):
     sent = reg.select(F.col("is_number").alias("portal_number"), F.when(k % 7 == 0, "Withdrawn").otherwise(F.col("status")).alias("status"), "year")
     sent.write.parquet(f"{s.root}/in")
     stream = incremental.read_stream(spark, f"{s.root}/in", sent.schema)
-    incremental.run_available(stream, f"{s.root}/checkpoint", incremental.detect_amendments(reg, f"{s.root}/diffs"), mode="append").awaitTermination()
-    return spark.read.schema("is_number string, field string, held string, portal string").json(f"{s.root}/diffs")
+    diffs = sinks.BatchTable(spark, f"{s.root}/diffs")
+    incremental.run_available(stream, f"{s.root}/checkpoint", incremental.detect_amendments(reg, diffs), mode="append").awaitTermination()
+    return diffs.read("is_number string, field string, held string, portal string").drop("batch")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import amendments
 from ..sources.logs import valid_decision
+from .sinks import BatchTable
 
 
 def read_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files: int = 16) -> DataFrame:
@@ -46,14 +47,22 @@ def upsert_into(path: str, key: str):
     return each
 
 
-def detect_amendments(register: DataFrame, diffs: str, apply=None):
-    """A foreachBatch sink for portal records: differences are always appended to a table; apply(diffs) runs only if given."""
+def detect_amendments(register: DataFrame, diffs: str | BatchTable, apply=None):
+    """A foreachBatch sink for portal records: differences are always reported; apply(diffs) runs only if given.
+
+    They go to a BatchTable, or to JSON partitions <diffs>/batch=<n>. In both a replayed batch replaces its own rows; a table's readers
+    see whole batches only, those of a folder may meet one that is being replaced.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        found = amendments(register, batch).withColumn("batch", F.lit(batch_id))
-        found.write.mode("append").json(diffs)
+        found = amendments(register, batch)
+        if isinstance(diffs, str):
+            found.write.mode("overwrite").json(f"{diffs}/batch={batch_id}")
+            found = found.sparkSession.read.schema(found.schema).json(f"{diffs}/batch={batch_id}")
+        else:
+            diffs.write(found, batch_id)
         if apply is not None:
-            apply(found)
+            apply(found.withColumn("batch", F.lit(batch_id)))
 
     return each
 
