@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Iterator
 
@@ -13,70 +14,167 @@ from pyspark.sql import functions as F
 
 from ..functions.text import voltage_band
 from ..session import Scratch
+from .postings import TERMS, Segment, counted, frequencies, segments, tallies
 
 #: Patterns of a term, and queries that are sent to the tasks at once.
 LATIN, INDIC, QUERIES = "[a-z0-9]+", "[ऀ-ॿ]+|[a-z0-9]+", 1024
+#: Postings of a segment, and documents of a block.
+POSTINGS, BLOCK = 2_000_000, 32
+#: The characters beyond ASCII whose lower case holds an ASCII letter.
+_TO_ASCII = ("İ".encode(), "\u212a".encode())
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSE, DEPTH, SHORTLIST = 60, 20, 10
 ACCEPT, MARGIN, CLEAR = 0.45, 0.10, 0.80
 PEER_DOCUMENTS, PEER_SHARE, PEER_LEAST = 30, 0.35, 3
 
 
+def terms_of(pattern: str) -> Callable[[bytes], list[str]]:
+    """The matches of a pattern in a text's lower-case form. For LATIN, ASCII letters and digits, plain bytes suffice: all else separates."""
+    find = re.compile(pattern).findall
+    if pattern != LATIN:
+        return lambda text: find(text.decode("utf-8", "replace").lower())
+    table = bytes(b if b < 128 and chr(b).isalnum() else 32 for b in range(256)).lower()
+
+    def words(text: bytes) -> list[str]:
+        if not text.isascii() and any(x in text for x in _TO_ASCII):
+            return find(text.decode("utf-8", "replace").lower())
+        return text.translate(table).decode("ascii").split()
+
+    return words
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = DEPTH, text: str = "text", doc_id: str = "doc_id", query: str = "text", query_id: str = "item_id", pattern: str = LATIN) -> DataFrame:
     """(query_id, doc, score, rank): the k best documents of each query that share a term with it, ties by doc; scores to 6 places.
 
-    Okapi weights with a floor: a term in more than half of the documents counts EPSILON of the mean weight. A repeated
+    Okapi weights with a floor: a term in more than half of the documents counts EPSILON of the mean weight of all terms. A repeated
     query term counts as often. Terms are the matches of `pattern` in the lower-cased text (LATIN or INDIC).
 
-    Document frequencies are one aggregation with partial counts. Then the documents are read once, in place: queries come
-    to every task in blocks of QUERIES, a batch of documents is scored against a block as a matrix product, and only the
-    batch's k best of each query are shuffled. So no term is a join key, however frequent, and no pair of all is made.
+    Texts are read once: the counts of the queries' terms are written as postings. Queries then come to the tasks in blocks of
+    QUERIES, with terms in rounds of TERMS, and every task searches its own postings in segments: documents stand in blocks
+    of BLOCK by length, each term has a bound for each of its blocks, and blocks are scored from the highest sum of bounds down, until
+    none can reach the k-th score (see `Postings.best`). Only a segment's k best of each query are shuffled, so no term is a join
+    key, however frequent. The result has k rows of a query at most; it is written, and the postings are dropped.
     """
-    spark = docs.sparkSession
-    kind = f"query_id {queries.schema[query_id].dataType.simpleString()}, doc {docs.schema[doc_id].dataType.simpleString()}, score double"
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(pattern), F.lit(0))
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(words(query)).alias("term")).where("q IS NOT NULL").groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
-    asked = Scratch(spark, "bm25").keep(asked, "asked")
-    tokens_of = docs.select(words(text).alias("t"))
-    total = tokens_of.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    n, avgdl = total["n"], total["avgdl"] or 1.0
-    df = tokens_of.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = Scratch(spark, "bm25").keep(df.select("term", raw.alias("raw")), "weights")
-    mean = df.agg(F.avg("raw")).first()[0]
-    weighed = asked.join(df, "term").select("q", "term", "qf", F.when(F.col("raw") < 0, EPSILON * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
-    blocks = max(1, -(-asked.select("q").distinct().count() // QUERIES))
-    out = None
-    for b in range(blocks):
-        block = weighed.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()  # the terms of QUERIES queries or so
-        names = block.column("q").combine_chunks().unique()
-        part = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).mapInArrow(_scored(block, names, float(avgdl), k, pattern), kind)
-        out = part if out is None else out.unionByName(part)
-    return top(out.withColumn("score", F.round("score", 6)), k).select("query_id", "doc", "score", "rank")
+    spark, words = docs.sparkSession, terms_of(pattern)
+    keep = Scratch(spark, "bm25")
+    kind_q, kind_d = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words(t.as_py() or b"") for t in batch.column(1)]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([x for f in found for x in f], pa.string())], ["q", "term"])
 
-def _scored(asked: pa.Table, names: pa.Array, avgdl: float, k: int, pattern: str):
-    """A function over batches (doc, text) that yields the k best documents of each query in every batch."""
-    terms = {t: i for i, t in enumerate(dict.fromkeys(asked.column("term").to_pylist()))}
-    place = {q: i for i, q in enumerate(names.to_pylist())}
-    weight, hit = np.zeros((len(terms), len(place))), np.zeros((len(terms), len(place)), np.float32)
-    for q, t, qf, idf in zip(*(asked.column(c).to_pylist() for c in ("q", "term", "qf", "idf"))):
-        weight[terms[t], place[q]], hit[terms[t], place[q]] = qf * idf, 1
-    find = re.compile(pattern).findall
+    asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("q"), F.col(query).cast("binary")).mapInArrow(split, f"q {kind_q}, term string")
+    asked = keep.keep(asked.groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf")), "asked")
+    rounds = 1 + asked.count() // TERMS
+    out = None
+    for r in range(rounds):
+        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r).toArrow().sort_by("q").combine_chunks()  # some TERMS rows
+        vocabulary = pc.unique(own.column("term")).sort().to_pylist()
+        steps = Scratch(spark, "bm25-postings")
+        counts = steps.keep(counted(docs, vocabulary, words, doc_id, text, tallied=True), "counts")
+        rows = counts.where("terms IS NOT NULL")
+        total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("avgdl")).first()
+        n, avgdl = total["n"], total["avgdl"] or 1.0
+        df = frequencies(rows, len(vocabulary))
+        with np.errstate(divide="ignore"):
+            raw = np.log(n - df + 0.5) - np.log(df + 0.5)
+        if (raw < 0).any():  # only then does the mean matter
+            each = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+            raw = np.where(raw < 0, EPSILON * tallies(counts).agg(F.avg(each)).first()[0], raw)
+        names = pc.unique(own.column("q"))
+        place = pc.index_in(own.column("term"), pa.array(vocabulary, pa.string())).to_numpy()
+        weight = own.column("qf").to_numpy() * raw[place]
+        starts = np.searchsorted(pc.index_in(own.column("q"), names).to_numpy(), np.arange(len(names) + 1))
+        # few postings are searched by several tasks, each for some of the queries
+        idle = spark.sparkContext.defaultParallelism // max(1, rows.rdd.getNumPartitions())
+        size = max(1, min(QUERIES, max(16, -(-len(names) // max(1, idle)))))
+        found = None
+        for at in range(0, max(1, len(names)), size):
+            asks = [list(zip(place[a:b].tolist(), weight[a:b].tolist())) for a, b in zip(starts[at : at + size], starts[at + 1 : at + size + 1])]
+            part = rows.where(F.size("terms") > 0).mapInArrow(_searched(names[at : at + size], asks, float(avgdl), k), f"query_id {kind_q}, doc {kind_d}, score double")
+            found = part if found is None else found.unionByName(part)
+        part = keep.keep(top(found.withColumn("score", F.round("score", 6)), k).select("query_id", "doc", "score", "rank"), "best")
+        steps.drop()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+class Postings:
+    """A segment's postings as BM25 shares of a score, in blocks of BLOCK documents by length, with each term's largest share in each."""
+
+    def __init__(self, segment: Segment, avgdl: float):
+        self.ids, self.size = segment.ids, len(segment.n)
+        tf, dl = segment.tf.astype(np.float64), segment.n[segment.doc]
+        self.doc, self.share = segment.doc, tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        block = segment.doc // BLOCK
+        new = np.flatnonzero((np.diff(segment.term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.start, self.block, self.length = new, block[new], np.diff(new, append=len(block))
+        self.most = np.maximum.reduceat(self.share, new) if len(new) else self.share
+        at = segment.starts  # a term's runs, one of each of its blocks
+        self.runs = {t: slice(*np.searchsorted(new, at[i : i + 2])) for t, i in segment.place.items()}
+        self.order = pc.rank(self.ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+    def best(self, asked: list[tuple[int, float]], k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows and scores, to 6 places, of the k best documents with `floor` or more, and how many documents were scored.
+
+        asked: (term, weight). A block's bound is the sum of its terms' largest shares by weight, negative weights left out. Blocks are
+        taken from the highest bound down, ever more at once; when the next one's bound is below the k-th score so far, all that
+        is left is too, and is not looked at.
+        """
+        mine = [(self.runs[t], w) for t, w in asked if t in self.runs]
+        if not mine:
+            return np.zeros(0, np.int64), np.zeros(0), 0
+        runs = np.concatenate([np.arange(s.start, s.stop) for s, _ in mine])
+        weight = np.repeat([w for _, w in mine], [s.stop - s.start for s, _ in mine])
+        bound = np.bincount(self.block[runs], np.maximum(0, weight * self.most[runs]))
+        held = np.unique(self.block[runs])
+        held = held[np.argsort(-bound[held], kind="stable")]
+        rows, scores, seen, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 0, max(1, 2 * k // BLOCK)
+        slot = np.full(len(bound), -1)
+        while at < len(held) and bound[held[at]] >= floor - 2e-6:
+            chosen = held[at : at + step]
+            chosen = chosen[bound[chosen] >= floor - 2e-6]
+            slot[:] = -1
+            slot[chosen] = np.arange(len(chosen))
+            pick = slot[self.block[runs]] >= 0
+            r, w = runs[pick], weight[pick]
+            many = self.length[r]
+            place = np.repeat(self.start[r] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            doc = self.doc[place]
+            cell = slot[doc // BLOCK] * BLOCK + doc % BLOCK
+            total = np.bincount(cell, np.repeat(w, many) * self.share[place])
+            hit = np.unique(cell)
+            seen += len(hit)
+            rows = np.concatenate((rows, chosen[hit // BLOCK] * BLOCK + hit % BLOCK))
+            scores = np.concatenate((scores, np.round(total[hit], 6)))
+            if len(rows) > k:
+                by = np.lexsort((self.order[rows], -scores))[:k]
+                rows, scores = rows[by], scores[by]
+            if len(rows) == k:
+                floor = max(floor, scores.min())
+            at, step = at + step, 4 * step
+        able = scores >= floor
+        return rows[able], scores[able], seen
+
+
+def _searched(names: pa.Array, asked: list[list[tuple[int, float]]], avgdl: float, k: int):
+    """A function over a task's rows of `counted` that yields its k best documents of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows if terms else 0, 512):
-                part = batch.slice(at, 512)
-                tf, dl = np.zeros((part.num_rows, len(terms))), np.zeros(part.num_rows)
-                for i, t in enumerate(part.column(1)):
-                    found = find((t.as_py() or "").lower())
-                    dl[i] = len(found)
-                    known = [x for x in map(terms.get, found) if x is not None]
-                    np.add.at(tf[i], known, 1)
-                own = tf > 0
-                tf = np.divide(tf * (K1 + 1), tf + K1 * (1 - B + B * dl[:, None] / avgdl), out=tf, where=own)
-                yield best_of(names, part.column(0), (tf @ weight).T, (own.astype(np.float32) @ hit).T > 0, k)
+        best: list[list[float]] = [[] for _ in asked]  # the k best scores of each query over the task's segments
+        for segment in segments(batches, POSTINGS, ("n", "doc")):
+            own = Postings(segment, avgdl)
+            whose, rows, scores = [], [], []
+            for j, terms in enumerate(asked):
+                r, s, _ = own.best(terms, k, best[j][-1] if len(best[j]) == k else -np.inf)
+                best[j] = heapq.nlargest(k, [*best[j], *s.tolist()])
+                whose.append(np.full(len(r), j))
+                rows.append(r)
+                scores.append(s)
+            if whose:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(whose))), own.ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(scores))], ["query_id", "doc", "score"])
 
     return run
 
