@@ -16,7 +16,7 @@ from ..session import Scratch
 from .batches import add_columns, columns
 
 # Tags by their part in a page.
-SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas video audio head select button textarea".split())
+SKIPPED = frozenset("script style noscript template svg annotation annotation-xml iframe object embed canvas video audio head select button textarea".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 UNSEEN = frozenset("script style noscript template".split())
 SIDE = frozenset("nav aside footer form dialog menu".split())
@@ -34,6 +34,12 @@ IMPLIED = {
     "option": (("option", ("select",)),),
 }
 _PARAGRAPH = (("p", ("table", "td", "th", "caption", "object")),)
+#: Tags that stand in a page's head; any other one, and text, ends a head that isn't closed.
+HEAD = frozenset("title base link meta script style noscript template head".split())
+#: Tags of a page's frame, and others that tell so of a form right under body: a form with one around it isn't a form of the page.
+FRAME, BODY_FRAME = frozenset("article main h1 header nav footer".split()), frozenset("p h2 h3 section table article main h1 header nav footer".split())
+#: Elements of running text. Class words that may speak of what they say, rather than of what they are, don't count on them.
+SPOKEN = {**dict.fromkeys("p h1 h2 h3 h4 h5 h6".split(), re.compile(r"^(?:banner|nav\w*|menu|side|sidebar|footer|foot|masthead|site-?header|page-?header|topbar|notice|share|sharing|social|related|comments?|respond|replies|reply|legal|skip)$", re.I)), "li": re.compile(r"^(?:side|page-?header|notice|legal|skip)$", re.I)}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 #: Words of a class or id that name something beside the article. They are evidence only: see `scores` and `main_text`.
 BESIDE = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|site-?header|page-?header|topbar|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|respond|replies|reply|disqus|widget|toolbar|pagination|pager|copyright|legal|skip)(?:$|[-_ ])", re.I)
@@ -136,7 +142,8 @@ class Page:
 
 def parse(html: str) -> Page:
     """The page's containers and the blocks of text outside side parts. Time and space are linear in its length, however
-    deep it nests. Unclosed and misnested tags are closed as browsers close them, in effect."""
+    deep it nests. Tags that aren't closed, an open head among them, end where HTML's rules on optional tags end them; a
+    closing tag closes all that is open inside its element. A form around the page itself, as some servers write, is no form."""
     page = Page([-1], [0], [""], [0], [])
     known: dict[tuple[int, str], int] = {}
     stack: list[tuple[str, bool, int, int, bool]] = []  # tag, leaves out its text; node, part and beside of what is outside
@@ -157,15 +164,25 @@ def parse(html: str) -> Page:
     def pop() -> None:
         nonlocal hidden, node, part, beside
         tag, hides, node, part, beside = stack.pop()
-        hidden -= hides
+        hidden -= bool(hides)
         places[tag].pop()
 
     def say(a: int, b: int) -> None:
         nonlocal linked
+        if a < b and hidden and stack and stack[-1][0] == "head" and not html[a:b].isspace():
+            pop()
         if a < b and not hidden:
             text.append(html[a:b])
             linked += len(html[a:b].strip()) if places.get("a") else 0
 
+    def only_form(tag: str, names: dict[str, str]) -> bool:
+        return tag == "form" and names.get("role", "").lower() not in ROLES and "hidden" not in names and not ("style" in names and _INVISIBLE.search(names["style"]))
+
+    def named_beside(tag: str, label: str) -> bool:
+        if tag not in SPOKEN:
+            return BESIDE.search(label) is not None
+        return any(not SPOKEN[tag].match(m.strip("-_ ")) for m in BESIDE.findall(label.replace(" ", "  ")))
+
     def last(tags: tuple[str, ...]) -> int:
         return max([places[t][-1] for t in tags if places.get(t)], default=-1)
 
@@ -204,6 +221,13 @@ def parse(html: str) -> Page:
             break
         if tag not in INLINE and tag not in UNSEEN:
             flush()
+        if not closes and tag not in HEAD and stack and stack[-1][0] == "head":
+            pop()
+        if not closes and places.get("form") and tag in BODY_FRAME:
+            place = places["form"][0]
+            if stack[place][1] == "form" and (tag in FRAME or place and stack[place - 1][0] == "body"):
+                stack[place] = (stack[place][0], 0, *stack[place][2:])
+                hidden -= 1
         if closes:
             if places.get(tag):
                 while stack[-1][0] != tag:
@@ -230,7 +254,8 @@ def parse(html: str) -> Page:
         hides = tag in SKIPPED or tag in SIDE or (tag == "header" and not inside) or names.get("role", "").lower() in ROLES
         hides = hides or ("hidden" in names and names["hidden"].lower() != "false") or ("style" in names and _INVISIBLE.search(names["style"]) is not None)
         places.setdefault(tag, []).append(len(stack))
-        stack.append((tag, hides, node, part, beside))
+        # "form" hides like True, but can be taken back
+        stack.append((tag, "form" if hides and only_form(tag, names) else hides, node, part, beside))
         hidden += hides
         if tag in CONTAINERS:
             step = _step(tag, names)
@@ -242,7 +267,7 @@ def parse(html: str) -> Page:
                 page.step.append(step)
                 page.depth.append(page.depth[node] + 1)
             node = child
-        if label != " " and tag not in ("html", "body", "article", "main") and BESIDE.search(label):
+        if label != " " and tag not in ("html", "body", "article", "main") and named_beside(tag, label):
             if tag in CONTAINERS:
                 part = node
             else:

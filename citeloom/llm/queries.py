@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, table
+from ..session import Scratch, table
 from . import ann, decontaminate, html, interactions, langid, licenses, mixing, quality, repeats, search, sharding, simhash, toxicity
 from .labelled import fold
 
@@ -64,7 +63,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the compacted store: (doc_id, n_bytes, shard, shard_row)."""
-    rows = sharding.shard(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", keep=1)  # a store of its own
+    rows = sharding.shard(table(spark, sf_dir, "documents"), Scratch(spark, "shards").root, keep=1)  # a store of its own
     return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "shard_row")
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Files of one tier that start a merge, size of the smallest tier, size a merged file aims at, merges in one job.
 FAN_IN, SMALLEST, TARGET, AT_ONCE = 4, 1 << 20, 64 << 20, 64
@@ -24,13 +28,25 @@ class Shard:
     size: int
 
 
+def united(a: StructType | None, b: StructType) -> StructType:
+    """The columns of a and then those of b that a lacks, all nullable. Columns of one name must have one type and be spelled alike."""
+    fields = {f.name.lower(): f for f in (a.fields if a else [])}
+    for f in b.fields:
+        held = fields.setdefault(f.name.lower(), f)
+        if held.name != f.name or held.dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"the store has {held.name} {held.dataType.simpleString()}, the rows have {f.name} {f.dataType.simpleString()}")
+    return StructType([StructField(f.name, f.dataType, True) for f in fields.values()])
+
+
 class ShardStore:
     """Immutable Parquet shards under a folder, and manifests v00000001.json, v00000002.json ... that list the live ones.
 
     A version is committed by renaming a complete temporary file to the next number, which fails if that number exists;
     the loser reads the newer version and tries again. Readers see whole versions only. A writer marks its folder as
-    pending before it writes and drops the mark after its commit, so `vacuum` leaves the files of one at work alone; those
-    of a job that died go once its mark is ABANDONED seconds old. The folder must be one that all executors share, on a
+    pending before it writes, renews the mark while it does and drops it after its commit, so `vacuum` leaves the files of one at work
+    alone; those of a job that died go once its mark wasn't renewed for ABANDONED seconds. A writer whose mark is gone (it was cut
+    off for so long) can't commit. Manifests hold the union of the columns of all that was appended; rows from before a column
+    came have nulls there, and rows whose columns clash with the store's are refused. The folder must be one that all executors share, on a
     file system whose rename is atomic; stores known for another are refused.
     """
 
@@ -51,27 +67,43 @@ class ShardStore:
         return max([int(n[1:-5]) for n in names if n.startswith("v")], default=0)
 
     def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
+        return [Shard(**s) for s in self._manifest(self.version() if version is None else version)["shards"]]
+
+    def schema(self, version: int | None = None) -> StructType | None:
+        """The union of the columns of all appended rows; None before the first."""
+        manifest = self._manifest(self.version() if version is None else version)
+        if "schema" in manifest:
+            return StructType.fromJson(manifest["schema"]) if manifest["schema"] else None
+        paths = [s["path"] for s in manifest["shards"]]  # a manifest from before schemas were kept
+        return self.spark.read.option("mergeSchema", True).parquet(*paths).schema if paths else None
+
+    def _manifest(self, version: int) -> dict:
         if not version:
-            return []
+            return {"shards": [], "schema": None}
         stream = self._fs.open(self._path(f"{self.root}/manifests/v{version:08d}.json"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
+        return json.loads(text)
 
-    def commit(self, added: list[Shard], removed: list[Shard] = ()) -> int:
-        """The number of a new version: the newest with `removed` replaced by `added`; fails if one of them is gone."""
+    def commit(self, added: list[Shard], removed: list[Shard] = (), schema: StructType | None = None) -> int:
+        """The number of a new version: the newest with `removed` replaced by `added`, its columns with those of schema. Fails if one of
+        the removed is gone, if vacuum has taken the added for abandoned, or if the columns clash."""
         while True:
             version = self.version()
-            live = self.shards(version)
+            live, columns = self.shards(version), self.schema(version)
+            if schema is not None:
+                columns = united(columns, schema)
+            for folder in {s.path.rsplit("/", 2)[-2] for s in added}:
+                if not self._fs.exists(self._path(f"{self.root}/pending/{folder}")):
+                    raise RuntimeError(f"the files of {folder} were taken for abandoned")
             if missing := set(removed) - set(live):
                 raise RuntimeError(f"another commit has removed {len(missing)} of the merged shards")
             live = [s for s in live if s not in set(removed)] + list(added)
             draft = self._path(f"{self.root}/manifests/draft-{uuid.uuid4().hex}")
             out = self._fs.create(draft)
-            out.write(bytearray(json.dumps({"version": version + 1, "shards": [asdict(s) for s in live]}).encode()))
+            out.write(bytearray(json.dumps({"version": version + 1, "schema": columns and columns.jsonValue(), "shards": [asdict(s) for s in live]}).encode()))
             out.close()
             final = self._path(f"{self.root}/manifests/v{version + 1:08d}.json")
             if not self._fs.exists(final) and self._fs.rename(draft, final):
@@ -91,12 +123,33 @@ class ShardStore:
     def _marked(self, df: DataFrame, rows: int | None = None) -> list[Shard]:
         """The same in a folder that is marked as pending before anything is written; the commit drops the mark."""
         name = uuid.uuid4().hex
-        self._fs.create(self._path(f"{self.root}/pending/{name}")).close()
-        return self._written(df, rows, name)
+        with self._renewed(name):
+            return self._written(df, rows, name)
+
+    @contextmanager
+    def _renewed(self, name: str) -> Iterator[None]:
+        """A pending mark whose time is renewed as long as the block runs; it stays afterwards."""
+        mark, done = self._path(f"{self.root}/pending/{name}"), threading.Event()
+        self._fs.create(mark).close()
+
+        def renew() -> None:
+            while not done.wait(max(0.05, ABANDONED / 10)):
+                if self._fs.exists(mark):  # never made anew: without it the files may be gone
+                    self._fs.setTimes(mark, int(self._jvm.java.lang.System.currentTimeMillis()), -1)
+
+        thread = threading.Thread(target=renew, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
 
     def append(self, docs: DataFrame) -> int:
-        """Write an arrival as small shards, one for each of its partitions, without a shuffle, and commit them."""
-        return self.commit(self._marked(docs))
+        """Write an arrival as small shards, one for each of its partitions, without a shuffle, and commit them. Rows whose columns clash with
+        the store's are refused before anything is written."""
+        united(self.schema(), docs.schema)
+        return self.commit(self._marked(docs), schema=docs.schema)
 
     def tier(self, size: int) -> int:
         """Shards of a tier differ in size by less than the fan-in."""
@@ -144,7 +197,7 @@ class ShardStore:
         """
         self.split()
         while runs := self.plan():
-            schema = self.spark.read.parquet(runs[0][0].path).schema
+            schema = self.schema()
             for k in range(0, len(runs), AT_ONCE):
                 part = runs[k : k + AT_ONCE]
                 merged = None
@@ -155,12 +208,13 @@ class ShardStore:
         return self.version()
 
     def read(self, version: int | None = None, schema=None) -> DataFrame | None:
-        """The rows of a version with shard (file name) and shard_row (place in the file); None if it has no shards."""
+        """The rows of a version, with the columns of all that was appended unless told otherwise, shard (file name) and shard_row (place in the
+        file); None if it has no shards."""
+        version = self.version() if version is None else version
         live = self.shards(version)
         if not live:
             return None
-        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        return reader.parquet(*[s.path for s in live]).select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
+        return self.spark.read.schema(schema if schema is not None else self.schema(version)).parquet(*[s.path for s in live]).select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete files that none of the newest `keep` versions lists and that no writer owns. Older versions can't be read
@@ -170,7 +224,12 @@ class ShardStore:
         so its files are in the manifest that is read.
         """
         now = int(self._jvm.java.lang.System.currentTimeMillis())
-        at_work = {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/pending")) if now - s.getModificationTime() < 1000 * ABANDONED}
+        at_work = set()
+        for s in self._fs.listStatus(self._path(f"{self.root}/pending")):
+            if now - s.getModificationTime() < 1000 * ABANDONED:
+                at_work.add(s.getPath().getName())
+            else:
+                self._fs.delete(s.getPath(), False)  # before its files, so that its writer can't commit them
         files = [f.getPath() for folder in self._fs.listStatus(self._path(f"{self.root}/shards")) if folder.getPath().getName() not in at_work for f in self._fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
         newest = self.version()
         live = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.shards(v)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import Scratch
-from .batches import as_bytes, bounds, columns, runs
+from .batches import as_bytes, bounds, columns, quoted, runs
 
 BITS, SEGMENTS = 64, 5
 #: A bucket of more fingerprints than this is split by more agreeing bits, until LEAF bits are left open.
@@ -406,7 +406,7 @@ def keep_one(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str =
     """docs with one row of each group of similar texts (see similar_groups): the one with the smallest id. Columns stay.
 
     Null texts count as empty, and wordless texts are one group. Rows that repeat an id count as one document, of which
-    one row stays. Rows without an id stay only if no row of their group has one. An empty table stays empty.
+    the one with the smallest text stays (null first; of equal texts the one whose other columns have the smallest hash). Rows without an id stay only if no row of their group has one. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     own = "_near"
@@ -421,4 +421,7 @@ def keep_one(docs: DataFrame, width: int = 5, text: str = "text", doc_id: str =
     once = kept.where((F.col(n) == 1) | F.col(key).isNull()).select(*mine)
     if not first.where((F.col(n) > 1) & F.col(key).isNotNull()).head(1):
         return once
-    return once.unionByName(kept.where((F.col(n) > 1) & F.col(key).isNotNull()).select(*mine).dropDuplicates([doc_id]))
+    hashed = [quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    least = F.struct(F.col(quoted(text)), F.xxhash64(*hashed))
+    more = kept.where((F.col(n) > 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*mine), least).alias(low))
+    return once.unionByName(more.select(*[F.col(low)[c].alias(c) for c in docs.columns]))

@@ -6,14 +6,12 @@ stage's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import decontaminate, mixing, sharding, simhash, toxicity
 from citeloom.llm.labelled import fold
-from citeloom.session import Scratch, shared_dir, table
+from citeloom.session import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the shard store's new version, with their shard and place in it."""
-    return sharding.shard(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", keep=1).drop("text")
+    return sharding.shard(docs, Scratch(spark, "shards").root, keep=1).drop("text")
 
 
 STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix_sources), ("sharding", write_shards)]

@@ -97,3 +97,40 @@ def test_clashing_columns_and_very_long_pages(spark):
     df = df.withColumns({"text": F.lit(1), "path": F.lit(2), "step": F.lit(3), "host": F.lit(4), "a.b": F.lit(5)})
     rows = html.extract(df.select("page_id", "url", "html", "text", "path", "step", "host", "`a.b`")).collect()
     assert sorted(r["n_chars"] for r in rows) == [0, 239_999, 239_999] and all(r["a.b"] == 5 and r["host"] == 4 for r in rows)
+
+
+def text_of(page):
+    return html.main_text(html.parse(page), None)
+
+
+def test_optional_tags_of_the_head():
+    said = "The whole story is told here, with a comma. And once more."
+    for page in (
+        f"<html><head><title>x</title><body><article><p>{said}</p></article>",
+        f"<title>x</title><article><p>{said}</article>",
+        f"<html><head><title>x</title><meta charset=u><link rel=s><style>p {{}}</style><script>a</script><article><p>{said}",
+        f"<head><title>x</title>{said}",
+        f"<html><head></head><body><p>{said}</p></body></html>",
+    ):
+        assert text_of(page) == said
+
+
+def test_a_form_around_the_page_is_no_form():
+    said = "The whole story is told here, with a comma. And once more."
+    wrapped = '<body><form action="x"><input type=hidden><div id=c>{}</div></form></body>'
+    assert text_of(wrapped.format(f"<h1>Title</h1><p>{said}</p>")) == "Title " + said
+    assert text_of(wrapped.format(f"<nav>Menu</nav><article>{said}<form><label>Find</label></form></article><footer>F</footer>")) == said
+    assert text_of(f"<body><div><p>{said}</p><form><p>Your mail, please. Now.</p><label>Mail</label></form></div>") == said
+    assert text_of(f"<body><article><p>{said}</p></article><form role=search><p>Find it, quickly.</p></form>") == said
+    assert text_of('<body><form hidden><p>Not seen, at all.</p></form><form><label>Name</label></form>') == ""
+
+
+def test_class_words_of_running_text():
+    kept = '<article><h1 class="page-header">Big title</h1><p class="comment">Officials had no comment</p><ul><li class="side">One side</li></ul><p class="legal notice">The law</p></article>'
+    assert text_of(kept) == "Big title Officials had no comment One side The law"
+    gone = '<article><p>The story, told.</p><p class="advert">Buy</p><h2 class="newsletter-signup">Join</h2><p class="comment ads">Buy</p><li class="comment">Me too</li><div class="comment">Reader</div><ul class="related"><li>More</li></ul></article>'
+    assert text_of(gone) == "The story, told."
+
+
+def test_formulas_are_text():
+    assert text_of("<article>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</article>").replace(" ", "") == "Letx=2be."

@@ -76,3 +76,11 @@ def test_stages_equal_brute_force(spark, sf, tmp_path):
     stored = stage["sharding"](spark, mixed, sf)
     assert Counter(r["doc_id"] for r in stored.collect()) == Counter(r["doc_id"] for r in mixed.collect())
     assert stored.select("shard", "shard_row").distinct().count() == mixed.count()
+
+
+def test_of_rows_that_share_an_id_the_smallest_text_stays(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in ("late", "early", "other")]
+    rows = [(1, texts[0], 1), (1, texts[1], 2), (1, texts[1], 2), (2, texts[2], 3), (2, None, 4)]
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string, lang int")
+        assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, texts[1], 2), (2, None, 4)]

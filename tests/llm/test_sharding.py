@@ -1,7 +1,9 @@
 import random
 import threading
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.llm import sharding
 
@@ -88,3 +90,74 @@ def test_stores_without_atomic_rename_are_refused(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "UNSAFE", frozenset(["file"]))
     with pytest.raises(ValueError, match="atomic"):
         sharding.ShardStore(spark, f"file://{tmp_path}/store")
+
+
+def test_compaction_keeps_the_columns_of_all_arrivals(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=60_000, fan_in=3, smallest=1000)
+    store.append(rows(spark, 0, 10).coalesce(1))
+    for i in range(1, 5):
+        store.append(rows(spark, 10 * i, 10).withColumn("extra", F.col("doc_id") + 1).coalesce(1))
+    want = sorted((i, None if i < 10 else i + 1) for i in range(50))
+    held = lambda: sorted((r["doc_id"], r["extra"]) for r in store.read().collect())
+    assert held() == want
+    store.compact()
+    assert held() == want and len(store.shards()) < 5
+    assert "extra" not in store.read(1).columns
+    before = store.version()
+    for clash in (F.lit("x").alias("extra"), F.lit(1).alias("EXTRA")):
+        with pytest.raises(ValueError):
+            store.append(rows(spark, 90, 1).select("*", clash))
+    assert store.version() == before and held() == want
+
+
+def test_a_slow_writer_keeps_its_files_and_a_lost_one_cannot_commit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "ABANDONED", 1)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    store.append(rows(spark, 0, 5).coalesce(1))
+
+    def slow(batches):
+        time.sleep(4)
+        yield from batches
+
+    late = rows(spark, 5, 5).coalesce(1)
+    worker = threading.Thread(target=lambda: store.append(late.mapInArrow(slow, late.schema)))
+    worker.start()
+    while worker.is_alive():
+        store.vacuum()
+        time.sleep(0.3)
+    worker.join()
+    assert store.read().count() == 10
+    lost = store._marked(rows(spark, 50, 5).coalesce(1))
+    time.sleep(1.5)
+    assert store.vacuum() == 1
+    with pytest.raises(RuntimeError):
+        store.commit(lost)
+    assert store.read().count() == 10
+
+
+def test_plan_equals_a_walk_through_the_tiers(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=1000, fan_in=3, smallest=10)
+    rng = random.Random(1)
+    for _ in range(40):
+        live = [sharding.Shard(f"p{i}", rng.choice([1, 9, 10, 11, 29, 31, 80, 95, 270, 300, 499, 500, 900, 1500])) for i in range(rng.randrange(0, 40))]
+        monkeypatch.setattr(store, "shards", lambda version=None: live)
+        tiers = {}
+        for s in live:
+            if s.size < 500:
+                t, top = 0, 10
+                while s.size > top if t == 0 else s.size >= top * 3:
+                    t, top = t + 1, top if t == 0 else top * 3
+                tiers.setdefault(t, []).append(s)
+        want = []
+        for t in sorted(tiers):
+            if len(tiers[t]) < 3:
+                continue
+            left = list(tiers[t])
+            while left:
+                run = [left.pop(0)]
+                while left and sum(s.size for s in run) + left[0].size <= 1000:
+                    run.append(left.pop(0))
+                if len(run) > 1:
+                    want.append(run)
+        assert store.plan() == want
+        assert all(sum(s.size for s in r) <= 1000 for r in want)
