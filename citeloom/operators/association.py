@@ -23,13 +23,22 @@ def cocitation_edges(baskets: DataFrame, min_co: int = 2, min_confidence: float
     total = sets.agg(F.countDistinct("b").alias("n"))
     freq = sets.groupBy("i").agg(F.count(F.lit(1)).alias("f"))
     live = sets.join(freq.where(F.col("f") >= min_co).select("i"), "i", "left_semi")
-    # a basket is dealt to parts of PART items, and every two parts are paired in a task of their own
+    pairs = _paired(live).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_co")).where(F.col("n_co") >= min_co)
+    return _edges(pairs, freq, total, min_confidence, min_src)
+
+
+def _paired(sets: DataFrame) -> DataFrame:
+    """(u, v) of every two items u < v of a basket, from distinct (b, i). A basket is dealt to parts of PART items, and every two parts
+    are paired in a task of their own."""
     parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("b")) / PART).cast("int")
-    live = live.withColumn("k", parts).withColumn("p", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
-    x = live.select("b", F.col("i").alias("xi"), "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
-    y = live.select("b", F.col("i").alias("yi"), F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
-    pairs = x.join(y, ["b", "p", "q"]).where(F.col("xi") < F.col("yi"))
-    pairs = pairs.groupBy(F.col("xi").alias("u"), F.col("yi").alias("v")).agg(F.count(F.lit(1)).alias("n_co")).where(F.col("n_co") >= min_co)
+    live = sets.withColumn("k", parts).withColumn("p", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
+    x = live.select("b", F.col("i").alias("u"), "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
+    y = live.select("b", F.col("i").alias("v"), F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
+    return x.join(y, ["b", "p", "q"]).where(F.col("u") < F.col("v")).select("u", "v")
+
+
+def _edges(pairs: DataFrame, freq: DataFrame, total: DataFrame, min_confidence: float, min_src: int) -> DataFrame:
+    """Directed edges from counts: pairs (u, v, n_co), freq (i, f), total (n)."""
     turned = F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))
     e = pairs.select(turned.alias("e"), "n_co").select("e.src", "e.dst", "n_co")
     e = e.join(freq.select(F.col("i").alias("src"), F.col("f").alias("n_src")), "src").join(freq.select(F.col("i").alias("dst"), F.col("f").alias("n_dst")), "dst").crossJoin(F.broadcast(total))  # one row
@@ -39,6 +48,45 @@ def cocitation_edges(baskets: DataFrame, min_co: int = 2, min_confidence: float
     return e.select("src", "dst", "n_src", "n_dst", "n_co", F.round("confidence", 6).alias("confidence"), F.round(lift, 6).alias("lift"))
 
 
+#: Changed counts up to which they are sent to all tasks.
+TOUCHED = 500_000
+
+
+def basket_counts(baskets: DataFrame, basket: str = "basket", item: str = "item") -> DataFrame:
+    """(u, v, n): in how many baskets both items occur, u < v; an item alone has v null, and the row without items counts the baskets.
+    What `cocitation_edges` is computed from, as a table that `changed_counts` keeps up to date."""
+    sets = baskets.select(F.col(basket).alias("b"), F.col(item).alias("i")).where("i IS NOT NULL AND b IS NOT NULL").distinct()
+    none = F.lit(None).cast(sets.schema["i"].dataType)
+    rows = _paired(sets).unionByName(sets.select(F.col("i").alias("u"), none.alias("v"))).unionByName(sets.select("b").distinct().select(none.alias("u"), none.alias("v")))
+    return rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def changed_counts(counts: DataFrame, added: DataFrame, removed: DataFrame, basket: str = "basket", item: str = "item") -> DataFrame:
+    """counts (see `basket_counts`) after whole baskets were added and others removed; a basket that changes is both.
+
+    The change is the added baskets' counts less the removed ones'. Counts that it doesn't touch stay where they are: with up to TOUCHED
+    changed ones these are sent to the tasks, and only the touched counts are shuffled; with more, counts and change are joined by
+    a shuffle. Counts that come to nothing go.
+    """
+    minus = basket_counts(removed, basket, item).withColumn("n", -F.col("n"))
+    delta = basket_counts(added, basket, item).unionByName(minus).groupBy("u", "v").agg(F.sum("n").alias("n")).where("n <> 0")
+    delta = Scratch(counts.sparkSession, "delta").keep(delta, "delta")
+    keys = delta.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    if delta.count() <= TOUCHED:
+        keys = F.broadcast(keys)
+    same = F.col("u").eqNullSafe(F.col("_u")) & F.col("v").eqNullSafe(F.col("_v"))
+    touched = counts.join(keys, same, "left_semi").unionByName(delta).groupBy("u", "v").agg(F.sum("n").alias("n")).where("n > 0")
+    return counts.join(keys, same, "left_anti").unionByName(touched)
+
+
+def counted_edges(counts: DataFrame, min_co: int = 2, min_confidence: float = 0.20, min_src: int = 2) -> DataFrame:
+    """The edges of `cocitation_edges` from counts."""
+    pairs = counts.where((F.col("v").isNotNull()) & (F.col("n") >= min_co)).select("u", "v", F.col("n").alias("n_co"))
+    freq = counts.where("u IS NOT NULL AND v IS NULL").select(F.col("u").alias("i"), F.col("n").alias("f"))
+    total = counts.where("u IS NULL").select("n")  # one row
+    return _edges(pairs, freq, total, min_confidence, min_src)
+
+
 def undirected_best(edges: DataFrame) -> DataFrame:
     """One row of each pair: the direction of higher confidence, on ties from the smaller item."""
     w = Window.partitionBy(F.least("src", "dst"), F.greatest("src", "dst")).orderBy(F.desc("confidence"), "src")

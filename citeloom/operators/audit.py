@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +66,66 @@ def missing_connected(cited: DataFrame, edges: DataFrame, dead: DataFrame, confi
     return c.select("doc_id", F.col("dst").alias("item"), F.col("src").alias("source"), "confidence", "n_co")
 
 
+#: Candidates of a source that the rule in order looks at.
+FETCHED = 12
+
+
+def missing_in_order(cited: DataFrame, edges: DataFrame, dead: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, per_source: int = PER_SOURCE, total: int = TOTAL, fetched: int = FETCHED) -> DataFrame:
+    """(doc_id, item, source, confidence, n_co, place): items usually cited with a document's citations but absent from it, by the rule
+    that goes through the citations in their order.
+
+    Each source looks at its `fetched` strongest edges, from the most confident, and takes up to per_source items. What the document cites
+    or is dead isn't taken, nor what an earlier source has taken with at least this confidence; with less, the item passes to this source.
+    The best `total` items of a document stay, by confidence and count, then by when they were first taken. So a source's choice depends
+    on the sources before it, which no window over the rows expresses: `missing_connected` is the form without an order.
+
+    cited: doc_id, item, place (of repeated items the first place counts); edges: src, dst, n_co, confidence; dead: item. Candidates
+    come to a task sorted by document and order and are folded as they come; what is held is the items that one document has taken.
+    """
+    rank = Window.partitionBy("src").orderBy(F.desc("confidence"), F.desc("n_co"), "dst")
+    strong = edges.where((F.col("confidence") >= confidence) & (F.col("n_co") >= support)).select("src", "dst", "n_co", "confidence")
+    strong = strong.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= fetched)
+    strong = strong.join(dead.select(F.col("item").alias("dst")).distinct(), "dst", "left_anti")
+    own = cited.where(F.col("doc_id").isNotNull()).groupBy("doc_id", F.col("item").alias("src")).agg(F.min("place").alias("_at"))
+    c = own.join(strong, "src").join(own.select("doc_id", F.col("src").alias("dst")), ["doc_id", "dst"], "left_anti")
+    c = c.select("doc_id", "src", "dst", "confidence", "n_co", "_at", "_n").repartition("doc_id").sortWithinPartitions("doc_id", "_at", "src", "_n")
+    kind = {f.name: f.dataType.simpleString() for f in c.schema.fields}
+    schema = f"doc_id {kind['doc_id']}, item {kind['dst']}, source {kind['src']}, confidence double, n_co bigint, place int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, source, kept, held, types = None, None, 0, {}, None
+        out: list[tuple] = []
+
+        def end() -> None:
+            ranked = sorted(held.items(), key=lambda x: (-x[1][0], -x[1][1]))[:total]  # dicts keep the order of first taking
+            out.extend((doc, item, s, f, n, i + 1) for i, (item, (f, n, s)) in enumerate(ranked))
+            held.clear()
+
+        def given() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "item", "source", "confidence", "n_co", "place"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            names = {n: batch.column(n).type for n in batch.schema.names}
+            types = [names["doc_id"], names["dst"], names["src"], pa.float64(), pa.int64(), pa.int32()]
+            for d, s, item, f, n in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "src", "dst", "confidence", "n_co"))):
+                if d != doc:
+                    end()
+                    doc, source = d, None
+                if s != source:
+                    source, kept = s, 0
+                if kept < per_source and (item not in held or held[item][0] < f):
+                    held[item] = (f, n, s)
+                    kept += 1
+            yield given()
+        if types:
+            end()
+            yield given()
+
+    return c.mapInArrow(run, schema)
+
+
 def findings(citations: DataFrame, register: DataFrame, rules: DataFrame, marks: DataFrame) -> DataFrame:
     """(doc_id, kind, severity, citation, detail): a dead citation, a mandatory rule without a mark demanded, an unregistered number.
 

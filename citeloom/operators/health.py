@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.designation import is_base
+from ..session import Scratch
 
 
 def preferred_status(register: DataFrame) -> DataFrame:
@@ -60,3 +61,34 @@ def certification_gap(f: DataFrame, mark: str = "demands_mark") -> DataFrame:
     yes, no = F.count_if(F.col("m") == "Yes"), F.count_if(F.col("m") == "No")
     cited = F.count(F.lit(1))
     return d.agg(cited.alias("cited"), (cited - yes - no).alias("unknown"), yes.alias("demanded"), no.alias("gap"), F.round(F.try_divide(100.0 * no, yes + no), 6).alias("gap_pct"))
+
+
+def profile(f: DataFrame, keys: tuple[str, ...], buyer: str) -> DataFrame:
+    """(kind, key, documents, documents_dead, top_dead, top_dead_documents): the whole health report from one reading of the fact.
+
+    Kinds are all (key is null), each of keys and buyer (documents and dead-citing documents), and base (documents that cite
+    the base, and the same if it is dead, else 0). top_dead is the dead base that most documents of a buyer cite, ties by name.
+
+    One grouping by sets counts (document), (key, document) for each key, (base) and (buyer, base) at once: the fact is read and
+    expanded in one stage with partial counts, and the small result is written. All figures are counted from that. A row of the fact is a
+    document and a base, so rows of a set with base are documents.
+    """
+    by = [*keys, buyer]
+    sets = [["doc_id"], *[[k, "doc_id"] for k in by], ["base"], [buyer, "base"]]
+    names = [*by, "doc_id", "base"]
+    rows = f.select(*names, "dead")
+    bit = {c: 1 << (len(names) - 1 - i) for i, c in enumerate(names)}
+    place = {tuple(x): sum(b for c, b in bit.items() if c not in x) for x in sets}  # grouping_id: a bit for each column that is left out
+    grouped = rows.groupingSets([[F.col(c) for c in x] for x in sets], *names)
+    one = grouped.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), F.max("dead").alias("dead"))
+    one = Scratch(f.sparkSession, "health").keep(one, "sets")
+    kind = F.coalesce(F.when(F.col("_set") == place["doc_id",], "all"), *[F.when(F.col("_set") == place[k, "doc_id"], k) for k in by])
+    key = F.coalesce(*[F.when(F.col("_set") == place[k, "doc_id"], F.col(k).cast("string")) for k in by])
+    docs = one.select(kind.alias("kind"), key.alias("key"), "dead").where("kind IS NOT NULL")
+    docs = docs.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("documents"), F.count_if("dead").alias("documents_dead"))
+    pairs = one.where((F.col("_set") == place[buyer, "base"]) & F.col("dead"))
+    first = pairs.groupBy(F.col(buyer).cast("string").alias("key")).agg(F.min(F.struct((-F.col("n")).alias("n"), "base")).alias("t"))
+    first = first.select(F.lit(buyer).alias("kind"), "key", F.col("t.base").alias("top_dead"), (-F.col("t.n")).alias("top_dead_documents"))
+    docs = docs.join(first, (docs.kind == first.kind) & docs.key.eqNullSafe(first.key), "left").select(docs.kind, docs.key, "documents", "documents_dead", "top_dead", "top_dead_documents")
+    bases = one.where(F.col("_set") == place["base",]).select(F.lit("base").alias("kind"), F.col("base").alias("key"), F.col("n").alias("documents"), F.when(F.col("dead"), F.col("n")).otherwise(0).alias("documents_dead"), F.lit(None).cast("string").alias("top_dead"), F.lit(None).cast("long").alias("top_dead_documents"))
+    return docs.unionByName(bases)

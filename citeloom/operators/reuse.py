@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .components import connected_components
+from .components import connected_components, forest_sizes, maximum_forest
 
 WORDS, LEAST, PERMUTATIONS, BANDS = 5, 40, 128, 32
 #: Documents of a band's bucket that are paired directly; more go through the prefix filter.
@@ -142,13 +142,9 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...] = (0.8, 0.65, 0.5)) -> DataFrame:
-    """(threshold, clusters, documents) from one edge set computed at the least threshold."""
-    out = None
-    for t in thresholds:
-        c = clusters(pairs.where(F.col("jaccard") >= t)).agg(F.countDistinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("documents"))
-        c = c.select(F.lit(float(t)).alias("threshold"), "clusters", "documents")
-        out = c if out is None else out.unionByName(c)
-    return out
+    """(threshold, clusters, documents) from one edge set computed at the least threshold, by one spanning forest for any number of thresholds."""
+    forest = maximum_forest(pairs.select("a", "b", F.col("jaccard").alias("weight")))
+    return forest_sizes(forest, thresholds).select("threshold", F.col("components").alias("clusters"), F.col("nodes").alias("documents"))
 
 
 def template_findings(placed: DataFrame, dead: DataFrame, least: int = 2) -> DataFrame:

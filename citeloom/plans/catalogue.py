@@ -214,6 +214,21 @@ def health_buyers_top_dead(spark, sf):
     return health.buyers(_fact(spark, sf), "ministry")
 
 
+_KIND = "SELECT '{0}' AS kind, CAST({0} AS VARCHAR) AS key, count(*) AS documents, count(*) FILTER (WHERE dead) AS documents_dead FROM (SELECT {0}, doc_id, bool_or(dead) AS dead FROM fact GROUP BY {0}, doc_id) GROUP BY {0}"
+
+
+@query(
+    f"""SELECT kind, key, documents, documents_dead, top_dead, top_dead_documents FROM (
+  SELECT 'all' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS documents, count(*) FILTER (WHERE dead) AS documents_dead FROM (SELECT doc_id, bool_or(dead) AS dead FROM fact GROUP BY doc_id)
+  UNION ALL {_KIND.format("year")} UNION ALL {_KIND.format("department")} UNION ALL {_KIND.format("ministry")}
+  UNION ALL SELECT 'base', base, count(*), count(*) FILTER (WHERE dead) FROM fact GROUP BY base) k
+LEFT JOIN (SELECT 'ministry' AS kind, ministry AS key, base AS top_dead, n AS top_dead_documents FROM (SELECT ministry, base, count(*) AS n, row_number() OVER (PARTITION BY ministry ORDER BY count(*) DESC, base) AS r FROM fact WHERE dead GROUP BY ministry, base) WHERE r = 1) t USING (kind, key)""",
+    _REG,
+)
+def health_profile(spark, sf):
+    return health.profile(_fact(spark, sf), ("year", "department"), "ministry")
+
+
 @query("SELECT base, count(DISTINCT doc_id) AS documents FROM fact WHERE dead GROUP BY base", _REG)
 def health_dead_rank(spark, sf):
     return health.ranked(_fact(spark, sf), dead_only=True)
@@ -472,6 +487,31 @@ def missing_connected(spark, sf):
     return audit.missing_connected(li, _edges(spark, sf), dead, confidence=0.06, support=2)
 
 
+@query(
+    """SELECT doc_id, item, source, confidence, n_co, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, n_co DESC, first) AS INTEGER) AS place FROM (
+  SELECT doc_id, x.item AS item, arg_max(x.source, x.confidence) AS source, max(x.confidence) AS confidence, arg_max(x.n_co, x.confidence) AS n_co, min(x.turn) AS first FROM (
+    SELECT doc_id, unnest(taken) AS x FROM (SELECT doc_id, arg_max(taken, n) AS taken FROM fold GROUP BY doc_id)) GROUP BY doc_id, x.item)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, n_co DESC, first) <= 8""",
+    "WITH RECURSIVE " + S.EDGES + """,
+own AS (SELECT l_orderkey AS doc_id, l_partkey AS src, min(l_linenumber) AS line FROM lineitem GROUP BY ALL),
+strong AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, n_co DESC, dst) AS r FROM edges WHERE confidence >= 0.06 AND n_co >= 2),
+cand AS (SELECT o.doc_id, e.src, e.dst, e.confidence, e.n_co, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.line, o.src, e.r) AS n FROM own o JOIN strong e ON e.src = o.src
+  WHERE e.r <= 12 AND e.dst % 10 > 1 AND NOT EXISTS (SELECT 1 FROM own c WHERE c.doc_id = o.doc_id AND c.src = e.dst)),
+fold AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS src, CAST(0 AS BIGINT) AS kept, CAST([] AS STRUCT(item BIGINT, source BIGINT, confidence DOUBLE, n_co BIGINT, turn BIGINT)[]) AS taken FROM cand
+  UNION ALL
+  SELECT doc_id, n, src, so_far + CASE WHEN takes THEN 1 ELSE 0 END, CASE WHEN takes THEN list_append(taken, {'item': dst, 'source': src, 'confidence': confidence, 'n_co': n_co, 'turn': n}) ELSE taken END FROM (
+    SELECT *, so_far < 3 AND coalesce(list_max(list_transform(list_filter(taken, lambda t: t.item = dst), lambda t: t.confidence)) < confidence, true) AS takes FROM (
+      SELECT c.doc_id, CAST(c.n AS BIGINT) AS n, CAST(c.src AS BIGINT) AS src, CAST(c.dst AS BIGINT) AS dst, c.confidence, c.n_co, f.taken, CASE WHEN c.src IS NOT DISTINCT FROM f.src THEN f.kept ELSE 0 END AS so_far
+      FROM fold f JOIN cand c ON c.doc_id = f.doc_id AND c.n = f.n + 1)))
+""",
+)
+def missing_in_order(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("place"))
+    dead = table(spark, sf, "part").where("p_partkey % 10 <= 1").select(F.col("p_partkey").alias("item"))
+    return audit.missing_in_order(li, _edges(spark, sf), dead, confidence=0.06, support=2)
+
+
 _FOUND = """found AS (
   SELECT DISTINCT c.doc_id, 'dispute_risk' AS kind, 'high' AS severity, c.citation, g.status || '; replaced by ' || coalesce(g.replaced_by, 'UNKNOWN') AS detail FROM cit c JOIN res r USING (citation) JOIN reg g ON g.is_number = r.hit WHERE g.status <> 'Current'
   UNION ALL SELECT DISTINCT c.doc_id, 'not_in_register', 'medium', c.citation, 'no entry for number ' || s.k2 FROM cit c JOIN res r USING (citation) JOIN spelled s USING (citation) WHERE hit IS NULL
