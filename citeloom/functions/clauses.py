@@ -21,7 +21,7 @@ BESIDE = 4
 #: The sentences of a clause, in order: what it states, and its wording over the facts of `_facts`. A sentence whose
 #: condition fails, or one of whose facts is null, is left out.
 SENTENCES = (
-    ("conformity", None, "The %s supplied under this contract shall conform to %s (%s).", ("goods", "edition", "title")),
+    ("conformity", None, "All %s delivered must meet %s (%s).", ("goods", "edition", "title")),
     ("companions", "beside", "Documents for similar goods often name %s as well; whether each applies is to be decided for this purchase.", ("beside",)),
     ("certification", "certified", "Certification is compulsory under %s, so goods without a valid Standard Mark will be refused.", ("scheme",)),
     ("caution", "unsafe", "The register lists %s as %s: confirm its standing before this text is published.", ("number", "status")),

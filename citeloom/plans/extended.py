@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from ..functions import clauses
 from ..functions import designation as D
 from ..functions import text as X
-from ..operators import association as A
-from ..operators import audit, corpus, evaluate, forward, health, merge, paging, presentation, ranking, reuse
+from ..operators import association as A, layout
+from ..operators import audit, corpus, evaluate, forward, health, layout, merge, paging, presentation, ranking, reuse
 from ..session import Scratch, table
 from ..sources import catalogue as portal
 from ..sources import documents as files
@@ -84,7 +84,7 @@ def forward_candidates(spark, sf):
 @query(
     """SELECT a.query_id, CASE WHEN reason = 'clear_match' THEN 'recommend' ELSE 'abstain' END AS decision, reason, a.doc, a.score, a.gap,
   CASE WHEN reason = 'clear_match' THEN u.is_number END AS rule, CASE WHEN reason = 'clear_match' THEN u.mandatory END AS mandatory, CASE WHEN reason = 'clear_match' THEN coalesce(n.near, '') END AS related,
-  CASE WHEN reason = 'clear_match' THEN concat_ws(' ', 'The ' || CASE WHEN regexp_matches(family, '^.[A-Z]') THEN family ELSE lower(left(family, 1)) || substr(family, 2) END || ' supplied under this contract shall conform to ' || a.doc || ' : ' || year || ' (' || title || ').',
+  CASE WHEN reason = 'clear_match' THEN concat_ws(' ', 'All ' || CASE WHEN regexp_matches(family, '^.[A-Z]') THEN family ELSE lower(left(family, 1)) || substr(family, 2) END || ' delivered must meet ' || a.doc || ' : ' || year || ' (' || title || ').',
     'Documents for similar goods often name ' || n.four || ' as well; whether each applies is to be decided for this purchase.',
     CASE WHEN u.mandatory = 'Yes' THEN 'Certification is compulsory under the scheme on file, so goods without a valid Standard Mark will be refused.' END,
     CASE WHEN status <> 'Current' THEN 'The register lists ' || a.doc || ' as ' || status || ': confirm its standing before this text is published.' END) END AS clause
@@ -225,6 +225,12 @@ def rebuild_change(spark, sf):
     return A.edge_change(e, e.where("n_co >= 3"))
 
 
+@query()
+def graph_layout(spark, sf):
+    """Places of the items on a drawing's canvas, from a fixed number of averaging rounds over all edges."""
+    return layout.layout(_kept_edges(spark, sf))
+
+
 @query("SELECT * FROM edges", _EDGES.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey % 3 = 0 OR l_orderkey % 7 <> 1)"))
 def incremental_edges(spark, sf):
     """Edges after a third of the orders came and some of the others went, from counts that only the change touched."""
@@ -631,7 +637,7 @@ def clipped_queries(spark, sf):
 
 
 @query(
-    """SELECT p_partkey AS id, concat_ws(' ', 'The ' || CASE p_partkey % 4 WHEN 0 THEN 'LED lamps' WHEN 1 THEN 'material' ELSE 'pumps' END || ' supplied under this contract shall conform to IS ' || p_partkey || CASE WHEN p_partkey % 3 > 0 THEN ' : ' || (1990 + p_partkey % 20) ELSE '' END || ' (' || p_name || ').',
+    """SELECT p_partkey AS id, concat_ws(' ', 'All ' || CASE p_partkey % 4 WHEN 0 THEN 'LED lamps' WHEN 1 THEN 'material' ELSE 'pumps' END || ' delivered must meet IS ' || p_partkey || CASE WHEN p_partkey % 3 > 0 THEN ' : ' || (1990 + p_partkey % 20) ELSE '' END || ' (' || p_name || ').',
   CASE WHEN p_partkey % 2 = 0 THEN 'Documents for similar goods often name IS 1, IS 2, IS 3, IS 4 as well; whether each applies is to be decided for this purchase.' END,
   CASE WHEN p_partkey % 5 = 0 THEN 'Certification is compulsory under Scheme I, so goods without a valid Standard Mark will be refused.' END,
   CASE WHEN p_partkey % 7 = 0 THEN 'The register lists IS ' || p_partkey || ' as Withdrawn: confirm its standing before this text is published.' END) AS clause, CAST(NULL AS VARCHAR) AS problem FROM part"""

@@ -47,3 +47,10 @@ def test_names_keep_numbers_only_behind_their_owners(spark):
     got = {r["identifier"]: (r["name"], r["named"]) for r in presentation.readable_names(docs, words, {}, ["LED"]).collect()}
     assert got == {"Volume_3 of 12 pumps.pdf": ("Volume 3 Pumps", True), "the_and.pdf": ("Untitled tender", False), None: ("Untitled cables tender", False)}
     assert presentation.known_words(docs.select(F.lit("Big Pumps 12").alias("t")), ["t"]).count() == 2
+
+
+def test_words_of_names(spark):
+    names = ["technicalSpecification_v2.DOCX", "0f3b9a7c-1111-2222-3333-0123456789ab_pump.pdf", "LED lamp.set", "PUMPset", "a1b2c3 bed 2019-07-01", "", None]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    got = {r["i"]: r["w"] for r in df.select("i", presentation.name_words(F.col("n")).alias("w")).collect()}
+    assert got == {0: ["technical", "Specification", "v", "2"], 1: ["1111", "2222", "3333", "pump"], 2: ["LED", "lamp", "set"], 3: ["PUMPset"], 4: ["bed", "2019", "07", "01"], 5: [], 6: []}
