@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.designation import citation_digits
-from .lookup import certification, check_dead, resolve
+from ..session import Scratch
+from .lookup import certification, resolve
 
 CONFIDENCE, SUPPORT, PER_SOURCE, TOTAL = 0.55, 8, 3, 8
+DEAD = ("Withdrawn", "Superseded")
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -42,7 +44,13 @@ def did_you_mean(unresolved: DataFrame, cited: DataFrame, register: DataFrame, e
     unresolved: doc_id, number; cited: doc_id, number (resolved ones); register: number; edges: a, b, n_co on numbers.
     """
     near = near_numbers(unresolved, register.select(F.col("number").alias("candidate")))
-    both = edges.select("a", "b", "n_co").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n_co")).groupBy("a", "b").agg(F.max("n_co").alias("n_co"))
+    both = edges.select("a", "b", "n_co").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n_co"))
+    return _likeliest(unresolved, near, cited, both)
+
+
+def _likeliest(unresolved: DataFrame, near: DataFrame, cited: DataFrame, both: DataFrame) -> DataFrame:
+    """The candidate of each document's number that its other citations have most edges with. both: edges a, b, n_co in either direction."""
+    both = both.groupBy("a", "b").agg(F.max("n_co").alias("n_co"))
     c = unresolved.join(near, "number").join(cited.select("doc_id", F.col("number").alias("other")).distinct(), "doc_id")
     c = c.join(both, (F.col("candidate") == F.col("a")) & (F.col("other") == F.col("b"))).groupBy("doc_id", "number", "candidate").agg(F.sum("n_co").alias("strength"))
     w = Window.partitionBy("doc_id", "number").orderBy(F.desc("strength"), "candidate")
@@ -126,41 +134,68 @@ def missing_in_order(cited: DataFrame, edges: DataFrame, dead: DataFrame, confid
     return c.mapInArrow(run, schema)
 
 
+#: What an audit needs of a resolved citation's register entry.
+CARRIED = ["status", "replaced_by", "is_digits"]
+
+
+def _resolved(citations: DataFrame, register: DataFrame) -> DataFrame:
+    """(citation, doc_id, hit, matched_by, status, replaced_by, is_digits) of each document's distinct citations."""
+    return resolve(citations.select("doc_id", "citation").distinct(), register, CARRIED)
+
+
+def _finding(df: DataFrame, kind: str, severity: str, detail: Column, citation: str = "citation") -> DataFrame:
+    return df.select("doc_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col(citation).alias("citation"), detail.alias("detail"))
+
+
+def _findings(r: DataFrame, rules: DataFrame, marks: DataFrame) -> DataFrame:
+    replaced = F.coalesce("replaced_by", F.lit("UNKNOWN"))
+    dead = _finding(r.where(F.col("status").isin(*DEAD)), "dispute_risk", "high", F.concat(F.col("status"), F.lit("; replaced by "), replaced))
+    unknown = _finding(r.where("hit IS NULL"), "not_in_register", "medium", F.concat(F.lit("no entry for number "), citation_digits(F.col("citation"))))
+    ruled = certification(r.where("hit IS NOT NULL").select("doc_id", "citation"), rules).where("mandatory = 'Yes'")
+    unmarked = ruled.join(marks.where("demands_mark = 'Yes'").select("doc_id").distinct(), "doc_id", "left_anti")
+    return dead.unionByName(unknown).unionByName(_finding(unmarked, "statutory_omission", "high", F.concat(F.lit("mandatory under "), F.col("rule"))))
+
+
+def _connected(r: DataFrame, register: DataFrame, edges: DataFrame, **limits) -> DataFrame:
+    held = r.where("hit IS NOT NULL").select("doc_id", F.col("hit").alias("item"))
+    dead = register.where(F.col("status") != "Current").select(F.col("is_number").alias("item"))
+    m = missing_connected(held, edges, dead, **limits)
+    detail = F.concat(F.lit("cited with "), F.col("source"), F.lit(" in "), F.col("n_co").cast("string"), F.lit(" documents"))
+    return _finding(m, "missing_connected", "low", detail, "item")
+
+
+def _meant(r: DataFrame, register: DataFrame, edges: DataFrame) -> DataFrame:
+    gone = r.where("hit IS NULL").select("doc_id", "citation", citation_digits(F.col("citation")).alias("number")).where("number <> ''")
+    numbers = register.select(F.col("is_number").alias("n"), F.col("is_digits").alias("d")).where("d <> ''")
+    near = near_numbers(gone, numbers.select(F.col("d").alias("candidate")))
+    # only edges from a candidate to something else matter, and few numbers are candidates
+    chosen = numbers.join(near.select(F.col("candidate").alias("d")).distinct(), "d", "left_semi")
+    e = edges.join(chosen.select(F.col("n").alias("src"), F.col("d").alias("a")), "src").join(numbers.select(F.col("n").alias("dst"), F.col("d").alias("b")), "dst")
+    back = edges.join(chosen.select(F.col("n").alias("dst"), F.col("d").alias("a")), "dst").join(numbers.select(F.col("n").alias("src"), F.col("d").alias("b")), "src")
+    both = e.select("a", "b", "n_co").unionByName(back.select("a", "b", "n_co"))
+    best = _likeliest(gone.select("doc_id", "number").distinct(), near, r.where("hit IS NOT NULL").select("doc_id", F.col("is_digits").alias("number")), both)
+    first = numbers.groupBy(F.col("d").alias("candidate")).agg(F.min("n").alias("did_you_mean"))
+    return gone.join(best.select("doc_id", "number", "candidate"), ["doc_id", "number"]).join(first, "candidate").select("doc_id", "citation", "did_you_mean")
+
+
 def findings(citations: DataFrame, register: DataFrame, rules: DataFrame, marks: DataFrame) -> DataFrame:
     """(doc_id, kind, severity, citation, detail): a dead citation, a mandatory rule without a mark demanded, an unregistered number.
 
     citations: doc_id, citation; marks: doc_id, demands_mark. One row of each document, kind and citation.
     """
-    c = citations.select("doc_id", "citation").distinct()
-    r = check_dead(c, register)
-    row = lambda df, kind, severity, detail: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "citation", detail.alias("detail"))
-    dead = row(r.where("dead"), "dispute_risk", "high", F.concat(F.col("status"), F.lit("; replaced by "), F.col("replaced_by")))
-    unknown = row(r.where("hit IS NULL"), "not_in_register", "medium", F.concat(F.lit("no entry for number "), citation_digits(F.col("citation"))))
-    ruled = certification(r.where("hit IS NOT NULL").select("doc_id", "citation"), rules).where("mandatory = 'Yes'")
-    unmarked = ruled.join(marks.where("demands_mark = 'Yes'").select("doc_id").distinct(), "doc_id", "left_anti")
-    return dead.unionByName(unknown).unionByName(row(unmarked, "statutory_omission", "high", F.concat(F.lit("mandatory under "), F.col("rule"))))
+    return _findings(_resolved(citations, register), rules, marks)
 
 
 def connected_findings(citations: DataFrame, register: DataFrame, edges: DataFrame, **limits) -> DataFrame:
     """Findings of the standards usually cited with a document's own but absent from it. edges: src, dst, n_co, confidence on
     register numbers; citations: doc_id, citation."""
-    held = resolve(citations.select("doc_id", "citation").distinct(), register, []).where("hit IS NOT NULL").select("doc_id", F.col("hit").alias("item"))
-    dead = register.where(F.col("status") != "Current").select(F.col("is_number").alias("item"))
-    m = missing_connected(held, edges, dead, **limits)
-    detail = F.concat(F.lit("cited with "), F.col("source"), F.lit(" in "), F.col("n_co").cast("string"), F.lit(" documents"))
-    return m.select("doc_id", F.lit("missing_connected").alias("kind"), F.lit("low").alias("severity"), F.col("item").alias("citation"), detail.alias("detail"))
+    return _connected(_resolved(citations, register), register, edges, **limits)
 
 
 def meant(citations: DataFrame, register: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, citation, did_you_mean): for each unregistered citation the register entry one edit away that the document's
     other citations are most cited with, where there is one. edges as in connected_findings."""
-    r = resolve(citations.select("doc_id", "citation").distinct(), register, ["is_digits"])
-    gone = r.where("hit IS NULL").select("doc_id", "citation", citation_digits(F.col("citation")).alias("number")).where("number <> ''")
-    numbers = register.select(F.col("is_number").alias("n"), F.col("is_digits").alias("d")).where("d <> ''")
-    e = edges.join(numbers.select(F.col("n").alias("src"), F.col("d").alias("a")), "src").join(numbers.select(F.col("n").alias("dst"), F.col("d").alias("b")), "dst")
-    near = did_you_mean(gone.select("doc_id", "number").distinct(), r.where("hit IS NOT NULL").select("doc_id", F.col("is_digits").alias("number")), register.select(F.col("is_digits").alias("number")).where("number <> ''"), e)
-    first = numbers.groupBy(F.col("d").alias("candidate")).agg(F.min("n").alias("did_you_mean"))
-    return gone.join(near.select("doc_id", "number", "candidate"), ["doc_id", "number"]).join(first, "candidate").select("doc_id", "citation", "did_you_mean")
+    return _meant(_resolved(citations, register), register, edges)
 
 
 def audit(docs: DataFrame, citations: DataFrame, register: DataFrame, rules: DataFrame, marks: DataFrame, edges: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
@@ -169,15 +204,18 @@ def audit(docs: DataFrame, citations: DataFrame, register: DataFrame, rules: Dat
     Findings (doc_id, kind, severity, citation, detail, action, text, place, did_you_mean) are of all four kinds: dead, without
     the mark, usually cited alongside but missing, and not registered, the last with the entry that may be meant. Verdicts
     (doc_id, cited, resolved, dispute_risk, statutory_omission, missing_connected, not_in_register, high, medium, low,
-    verdict) have a row of every document.
+    verdict) have a row of every document. Citations are resolved once and written; all kinds read that table, and both results read
+    the written findings.
     """
-    c = citations.select("doc_id", "citation").distinct()
-    found = findings(c, register, rules, marks).unionByName(connected_findings(c, register, edges, **limits))
-    found = found.join(meant(c, register, edges).withColumn("kind", F.lit("not_in_register")), ["doc_id", "citation", "kind"], "left")
-    r = resolve(c, register, []).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cited"), F.count("hit").alias("resolved"))
+    keep = Scratch(docs.sparkSession, "audit")
+    r = keep.keep(_resolved(citations, register), "resolved")
+    found = _findings(r, rules, marks).unionByName(_connected(r, register, edges, **limits))
+    found = found.join(_meant(r, register, edges).withColumn("kind", F.lit("not_in_register")), ["doc_id", "citation", "kind"], "left")
+    found = keep.keep(found, "found")
+    n = r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cited"), F.count("hit").alias("resolved"))
     kinds = ("dispute_risk", "statutory_omission", "missing_connected", "not_in_register")
     by_kind = found.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    v = verdicts(docs, found).join(r, "doc_id", "left").join(by_kind, "doc_id", "left").fillna(0, ["cited", "resolved", *kinds])
+    v = verdicts(docs, found).join(n, "doc_id", "left").join(by_kind, "doc_id", "left").fillna(0, ["cited", "resolved", *kinds])
     return suggestions(found), v.select("doc_id", "cited", "resolved", *kinds, "high", "medium", "low", "verdict")
 
 
