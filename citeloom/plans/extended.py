@@ -19,6 +19,7 @@ from ..operators import association as A, layout
 from ..operators import audit, corpus, evaluate, forward, health, layout, merge, paging, presentation, ranking, reuse
 from ..session import Scratch, table
 from ..sources import catalogue as portal
+from ..sources import paged
 from ..sources import documents as files
 from ..sources import html_tables, logs, tables
 from ..streaming import incremental, sinks, state
@@ -858,6 +859,41 @@ def catalogue_pages(spark, sf):
     return portal.read_catalogue(spark, local, "id long, name string", "rows").select("id", "name")
 
 
+_PAGED = "(SELECT lower(left(p_name, 1)) AS query, CAST((p_partkey // 50) % 4 AS INTEGER) AS page, p_partkey AS id, p_name AS name FROM part)"
+
+
+def _paged(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Part names as pages of results, each query an initial; and the address of pages under a folder."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    rows = p.select(F.lower(F.left("p_name", F.lit(1))).alias("query"), F.floor(k / 50).cast("int").alias("page"), k.alias("id"), F.col("p_name").alias("name")).withColumn("page", F.pmod("page", F.lit(4)))
+    return rows, Scratch(spark, "paged").root
+
+
+def _put(rows: DataFrame, root: str) -> str:
+    rows.repartition("query", "page").write.mode("append").partitionBy("query", "page").json(root)
+    return f"{root}/query={{query}}/page={{page}}"
+
+
+@query(f"SELECT query, page, id, name FROM {_PAGED} WHERE query IN ('a', 'b', 'c', 'l', 'm', 's') AND page BETWEEN 1 AND 2")
+def pushed_pages(spark, sf):
+    """Two numbered pages of six queries, of which only these pages are read, through the paged source."""
+    rows, root = _paged(spark, sf)
+    found = paged.read_pages(spark, _put(rows, root), [chr(c) for c in range(97, 123)], "id long, name string")
+    return found.where(F.col("query").isin("a", "b", "c", "l", "m", "s") & F.col("page").between(1, 2)).select("query", "page", "id", "name")
+
+
+@query(f"SELECT CASE WHEN page < 2 THEN 0 ELSE 1 END AS run, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM {_PAGED} GROUP BY 1")
+def streamed_pages(spark, sf):
+    """Pages that a stream reads in two runs: those that are there first, and those that came meanwhile."""
+    rows, root = _paged(spark, sf)
+    out = sinks.BatchTable(spark, f"{root}-out")
+    for early in (True, False):
+        address = _put(rows.where((F.col("page") < 2) == early), f"{root}/pages")
+        stream = paged.stream_pages(spark, address, [chr(c) for c in range(97, 123)], "id long, name string")
+        incremental.run_available(stream.withColumn("run", F.lit(0 if early else 1)), f"{root}/checkpoint", out.each(), mode="append").awaitTermination()
+    return out.read("query string, page int, id long, name string, run int").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click' ORDER BY event_id DESC LIMIT 1")
 def latest_stage(spark, sf):
     e = table(spark, sf, "events")
