@@ -16,12 +16,12 @@ from ..functions import clauses
 from ..functions import designation as D
 from ..functions import text as X
 from ..operators import association as A, layout
-from ..operators import audit, corpus, evaluate, forward, health, layout, merge, paging, presentation, ranking, reuse
+from ..operators import audit, corpus, evaluate, forward, health, layout, marking, merge, paging, presentation, ranking, reuse, substring
 from ..session import Scratch, table
 from ..sources import catalogue as portal
 from ..sources import paged
 from ..sources import documents as files
-from ..sources import html_tables, logs, tables
+from ..sources import html_tables, logs, pdf_links, tables
 from ..streaming import incremental, sinks, state
 from . import synthetic as S
 from .catalogue import _BM25, _DENSE, _EDGES, _FOUND, _REG, _REL, _RRF, _SEEDS, _TITLE, _bm25, _dense, _kept_edges, _relevant, _seeds, _with, query
@@ -859,6 +859,48 @@ def catalogue_pages(spark, sf):
     return portal.read_catalogue(spark, local, "id long, name string", "rows").select("id", "name")
 
 
+_NEEDLES = "(SELECT DISTINCT lower(substr(p_name, 1 + p_partkey % 7, 1 + p_partkey % 6)) AS needle FROM part WHERE p_partkey <= 40)"
+
+
+@query(f"SELECT needle, p_partkey AS key FROM {_NEEDLES} n JOIN part ON contains(lower(p_name), needle) OR contains(lower(p_type), needle) WHERE needle <> ''")
+def substring_search(spark, sf):
+    """Parts whose name or type holds a needle: forty stated ones of one to six characters, found through an index of all parts."""
+    p, root = table(spark, sf, "part"), Scratch(spark, "substrings").root
+    substring.build(p, "p_partkey", ["p_name", "p_type"], root)
+    k = F.col("p_partkey")
+    asked = p.where(k <= 40).select(F.lower(F.substr("p_name", (1 + k % 7).cast("int"), (1 + k % 6).cast("int"))).alias("needle")).distinct()
+    return substring.find(spark, root, p, "p_partkey", ["p_name", "p_type"], asked.where("needle <> ''"))
+
+
+@query(
+    """SELECT doc_id, string_agg(m, ' and ' ORDER BY pos, citation) AS marked, count(*) FILTER (WHERE m LIKE '[%') AS found FROM (
+  SELECT doc_id, pos, citation, CASE WHEN citation IN (SELECT is_number FROM reg) THEN '[' || citation || ']' WHEN held <> '' THEN '[' || held || ']' || substr(citation, length(held) + 1) ELSE citation END AS m FROM (
+    SELECT *, CASE WHEN base IN (SELECT is_base FROM reg) THEN base WHEN left(base, length(base) - 1) IN (SELECT is_base FROM reg) THEN left(base, length(base) - 1) ELSE '' END AS held
+    FROM (SELECT doc_id, pos, citation, regexp_extract(citation, '^IS [0-9]+') AS base FROM cit))) GROUP BY doc_id""",
+    _REG,
+)
+def marked_documents(spark, sf):
+    """Each document's citations as a text, with every number and base of the whole register marked in one pass."""
+    row = F.array_sort(F.collect_list(F.struct("pos", "citation")))  # a document's own citations
+    texts = S.citations(spark, sf).groupBy("doc_id").agg(F.array_join(F.transform(row, lambda x: x["citation"]), " and ").alias("text"))
+    r = S.register(spark, sf)
+    known = r.select(F.col("is_number").alias("designation")).unionByName(r.select(F.col("is_base").alias("designation")))
+    return marking.marked(texts, known).select("doc_id", "marked", "found")
+
+
+@query(
+    """SELECT 'c' || c_custkey AS path, CAST(i AS INTEGER) AS place, CASE i WHEN 1 THEN 'https://portal.gov.in/' || c_mktsegment || '/(' || c_custkey || ')' ELSE 'https://files.example.org/' || replace(c_name, ' ', '_') END AS link
+FROM customer, (VALUES (1), (2)) v(i) WHERE i = 1 OR c_custkey % 3 > 0"""
+)
+def pdf_annotations(spark, sf):
+    """Links of a PDF of each customer, whose annotations stand in packed object streams."""
+    c = table(spark, sf, "customer")
+    urls = F.array(F.concat(F.lit("https://portal.gov.in/"), "c_mktsegment", F.lit("/("), F.col("c_custkey").cast("string"), F.lit(")")), F.concat(F.lit("https://files.example.org/"), F.replace("c_name", F.lit(" "), F.lit("_"))))
+    urls = F.when(F.col("c_custkey") % 3 > 0, urls).otherwise(F.slice(urls, 1, 1))
+    made = S.pdfs(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), urls.alias("urls")))
+    return pdf_links.links(made).select("path", F.posexplode("links").alias("place", "link")).withColumn("place", F.col("place") + 1)
+
+
 _PAGED = "(SELECT lower(left(p_name, 1)) AS query, CAST((p_partkey // 50) % 4 AS INTEGER) AS page, p_partkey AS id, p_name AS name FROM part)"
 
 

@@ -6,6 +6,9 @@ are citations spelled in three ways.
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,32 @@ def mandatory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(spark, sf_dir).where("mandatory = 'Yes'").select(F.upper("is_base").alias("base")).distinct()
 
 
+def pdfs(rows: DataFrame) -> DataFrame:
+    """(path, content) of rows (path, urls): PDF files whose link annotations are objects of one packed stream."""
+
+    def file(urls: list[str]) -> bytes:
+        bodies = [b"<< /Type /Annot /Subtype /Link /A << /S /URI /URI (" + u.replace("(", "\\(").encode() + b") >> >>" for u in urls]
+        bodies = [b.replace(b")) >>", b"\\)) >>") for b in bodies]
+        starts = [sum(len(b) + 1 for b in bodies[:i]) for i in range(len(bodies))]
+        head = " ".join(f"{i + 1} {at}" for i, at in enumerate(starts)).encode() + b"\n"
+        stream = zlib.compress(head + b"\n".join(bodies))
+        out = b"%PDF-1.5\n"
+        one = len(out)
+        out += b"90 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (len(bodies), len(head), len(stream)) + stream + b"\nendstream\nendobj\n"
+        entries = b"".join(b"\x02\x00\x5a" + bytes([i]) for i in range(len(bodies))) + b"\x01" + one.to_bytes(2, "big") + b"\x00"
+        packed = zlib.compress(entries)
+        at = len(out)
+        out += b"91 0 obj\n<< /Type /XRef /Size 92 /W [1 2 1] /Index [1 %d 90 1] /Filter /FlateDecode /Length %d >>\nstream\n" % (len(bodies), len(packed)) + packed + b"\nendstream\nendobj\n"
+        return out + b"startxref\n%d\n%%%%EOF\n" % at
+
+    def run(batches):
+        for batch in batches:
+            made = [file(u) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    return rows.select("path", "urls").mapInArrow(run, "path string, content binary")
+
+
 #: The same tables for DuckDB: reg, cit, docs, rules.
 SQL = r"""WITH reg AS (
   SELECT p_partkey AS load_ord, 'IS ' || (1000 + p_partkey // 2) || ' (Part ' || (1 + p_partkey % 2) || ')' AS is_number,
