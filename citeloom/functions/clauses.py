@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .text import demands_mark, leaked_designations
 
 # Wording that a phrased clause must not have, and spans that a translation must not touch.
@@ -106,3 +111,38 @@ def restored(text: Column, spans: Column) -> Column:
 def from_cache(texts: DataFrame, cache: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
     """texts with translation from a cache (text, language, translation); null is what still has to be translated."""
     return texts.join(cache.select(text, language, "translation"), [text, language], "left")
+
+
+#: Texts that a translator gets at once.
+TOGETHER = 400
+
+
+def translated(texts: DataFrame, cache: DataFrame, translate: Callable[[list[str], str], list[str]], text: str = "text", language: str = "language") -> tuple[DataFrame, DataFrame]:
+    """texts with translation, and the rows (text, language, translation) that were not in the cache, to be appended to it.
+
+    Each missing text goes once to translate(texts, language), up to TOGETHER of one language at a time, in the tasks, with its
+    designations and quantities masked; they are put back afterwards. A call that fails leaves its texts without translation and out of
+    the cache, so a later run asks again. Of repeated cache rows the least counts; null texts stay untranslated.
+    """
+    held = cache.groupBy(text, language).agg(F.min("translation").alias("translation"))
+    open_ = from_cache(texts.select(text, language).where(F.col(text).isNotNull() & F.col(language).isNotNull()).distinct(), held, text, language).where("translation IS NULL")
+    asked = open_.select(F.col(text).alias("t"), F.col(language).alias("l"), masked(F.col(text)).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for name in table.column("l").unique().to_pylist():
+                own = table.filter(pa.compute.equal(table.column("l"), name))
+                for at in range(0, own.num_rows, TOGETHER):
+                    part = own.slice(at, TOGETHER)
+                    try:
+                        said = list(translate(part.column("m").to_pylist(), name))
+                    except Exception:  # asked again by a later run
+                        continue
+                    if len(said) == part.num_rows:
+                        yield from part.append_column("s", pa.array(said, pa.string())).to_batches()
+
+    fresh = asked.mapInArrow(run, "t string, l string, m string, s string").where("s IS NOT NULL")
+    fresh = fresh.select(F.col("t").alias(text), F.col("l").alias(language), restored(F.col("s"), protected_spans(F.col("t"))).alias("translation"))
+    fresh = Scratch(texts.sparkSession, "translations").keep(fresh, "fresh")
+    return from_cache(texts, held.unionByName(fresh), text, language), fresh

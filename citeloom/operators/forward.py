@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clauses
+from ..functions.designation import extract_citations
 from ..functions.text import clip_query, expand_query, material_verdict, role_verdict, script_of, stated_voltage, voltage_verdict
 from ..session import Scratch
 from . import association, corpus, lookup, ranking
@@ -97,3 +98,9 @@ def allied(answers: DataFrame, edges: DataFrame, register: DataFrame) -> DataFra
     near = association.related_of(answers.where("decision = 'recommend'").select(F.col("doc").alias("citation")).distinct(), edges, RELATED)
     named = near.join(association.titles(near.select(F.col("dst").alias("citation")), register).withColumnRenamed("citation", "dst"), "dst", "left")
     return corpus.role_groups(named.select(F.col("citation").alias("src"), "dst", "confidence", "title"))
+
+
+def routed(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts with route: audit if the text cites anything, else draft. Null and empty texts are drafted."""
+    cites = F.size(extract_citations(F.coalesce(F.col(text), F.lit("")))) > 0
+    return texts.withColumn("route", F.when(cites, "audit").otherwise("draft"))

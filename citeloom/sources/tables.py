@@ -37,6 +37,11 @@ def as_register(df: DataFrame) -> DataFrame:
     return df.withColumns({"year": year, "review_due": F.to_date(F.try_to_timestamp("review_due")), "is_base": is_base(F.col("is_number")), "is_digits": register_digits(F.col("is_number"))})
 
 
+def projected(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The listed columns that df has, in the list's order; optional ones that it lacks are left out."""
+    return df.select(*[c for c in columns if c in df.columns])
+
+
 def usable(documents: DataFrame) -> DataFrame:
     """The population of every statistic."""
     return documents.where("usability = 'Usable'")

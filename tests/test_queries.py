@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from citeloom.plans import catalogue, extended  # noqa: F401
+from citeloom.plans import catalogue, extended, requests  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
