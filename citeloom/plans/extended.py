@@ -69,11 +69,17 @@ ans AS (SELECT query_id, doc, score, gap, title, family, year, status, CASE WHEN
   WHEN NOT stated AND nb = is_base AND abs(gap) < 0.1 AND load_ord % 3 = 0 AND nk % 3 = 0 AND size <> ns THEN 'voltage_unspecified' ELSE 'clear_match' END AS reason FROM gap0 WHERE place = 1)"""
 
 
-def _forward(spark, sf):
+def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The register with its entries' long titles, and the product descriptions asked for."""
     part = table(spark, sf, "part")
     reg = S.register(spark, sf).drop("title").join(part.select(F.col("p_partkey").alias("load_ord"), F.expr(_TITLE).alias("title")), "load_ord")
     text = F.concat("p_name", F.lit(" of mild steel"), F.when(F.col("p_partkey") % 40 == 0, "").otherwise(" for 11 kV"))
     asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+    return reg, asked
+
+
+def _forward(spark, sf):
+    reg, asked = _asked(spark, sf)
     return forward.recommend(asked, reg, _numbered_edges(spark, sf), S.rules(spark, sf))
 
 

@@ -11,6 +11,7 @@ from ..operators import audit, forward, merge, presentation, ranking
 from ..session import Scratch, table
 from ..sources import tables
 from ..streaming import incremental, sinks
+from . import extended as X
 from . import synthetic as S
 from .catalogue import _BM25, _DENSE, _FOUND, _REG, _RRF, _bm25, _dense, _edges, _with, query
 
@@ -112,6 +113,42 @@ def strategy_graph(spark, sf):
     return ranking.run_strategy("graph_expand", {"bm25": _bm25(spark, sf), "dense": _dense(spark, sf)}, _edges(spark, sf))
 
 
+_LEXICAL = "rtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM rscore) WHERE rank <= 10)"
+_LEXICAL_SCORE = "round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(4.0::DOUBLE * (score / 14.0::DOUBLE - 1.0::DOUBLE)))), 6) AS score"
+#: The forward query's SQL with its shortlist fused from two rankings of the register's entries, by words and by vectors.
+_FUSED = X._FORWARD.replace(
+    _LEXICAL,
+    """rl AS (SELECT query_id, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM rscore) WHERE rank <= 20),
+rd AS (SELECT query_id, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM (
+  SELECT q.query_id, r.is_number AS doc, round(list_sum(list_transform(list_zip(v.embedding, w.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score
+  FROM ask q JOIN embeddings w ON w.vec_id = q.query_id, reg r JOIN embeddings v ON v.vec_id = r.load_ord)) WHERE rank <= 20),
+rboth AS (SELECT * FROM rl UNION ALL SELECT * FROM rd),
+rn AS (SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM rl) THEN 1 ELSE 0 END + CASE WHEN query_id IN (SELECT query_id FROM rd) THEN 1 ELSE 0 END AS n FROM ask),
+rfused AS (SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM rboth GROUP BY query_id, doc),
+rtop AS (SELECT query_id, doc, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(12.0::DOUBLE * (least(rrf * 61.0::DOUBLE / n, 1.0::DOUBLE) - 0.55::DOUBLE)))), 6) AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc) AS rank FROM rfused) JOIN rn USING (query_id) WHERE rank <= 10)""",
+).replace(_LEXICAL_SCORE, "score")
+
+
+def _forward_fused(spark, sf):
+    reg, asked = X._asked(spark, sf)
+    v = table(spark, sf, "embeddings")
+    entries = reg.join(v, F.col("load_ord") == F.col("vec_id")).select(F.col("is_number").alias("doc"), "embedding")
+    queries = asked.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("query"))
+    return forward.recommend(asked, reg, X._numbered_edges(spark, sf), S.rules(spark, sf), (entries, queries))
+
+
+@query("SELECT query_id, place, doc, title, status, score, voltage, material, role FROM placed WHERE place <= 5", _REG.rstrip() + "," + _FUSED + "\n")
+def forward_fused(spark, sf):
+    """Candidates for product descriptions, from the register's words and its vectors together; entries and queries without a vector have the words only."""
+    return _forward_fused(spark, sf)[0]
+
+
+@query("SELECT query_id, CASE WHEN reason = 'clear_match' THEN 'recommend' ELSE 'abstain' END AS decision, reason, doc, score, gap FROM ans", _REG.rstrip() + "," + _FUSED + "\n")
+def forward_fused_answers(spark, sf):
+    return _forward_fused(spark, sf)[1].select("query_id", "decision", "reason", "doc", "score", "gap")
+
+
 # ---------------------------------------------------------------- pages, translations, applied amendments
 
 _TEXT = "CASE kind WHEN 'dispute_risk' THEN 'Replace ' || citation || ' (' || detail || ').' WHEN 'statutory_omission' THEN 'Require the standard mark for ' || citation || ', ' || detail || '.' ELSE 'Check ' || citation || ': ' || detail || '.' END"
