@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import voltage_band
-from ..session import Scratch
+from ..session import Scratch, spread
 from .postings import TERMS, Segment, counted, frequencies, segments, tallies
 
 #: Patterns of a term, and queries that are sent to the tasks at once.
@@ -73,7 +73,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = DEPTH, text: str = "text"
         own = asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r).toArrow().sort_by("q").combine_chunks()  # some TERMS rows
         vocabulary = pc.unique(own.column("term")).sort().to_pylist()
         steps = Scratch(spark, "bm25-postings")
-        counts = steps.keep(counted(docs, vocabulary, words, doc_id, text, tallied=True), "counts")
+        counts = steps.keep(counted(spread(docs.select(doc_id, text), doc_id, text), vocabulary, words, doc_id, text, tallied=True), "counts")
         rows = counts.where("terms IS NOT NULL")
         total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("avgdl")).first()
         n, avgdl = total["n"], total["avgdl"] or 1.0

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, spread
 from .components import connected_components, forest_sizes, maximum_forest
 
 WORDS, LEAST, PERMUTATIONS, BANDS = 5, 40, 128, 32
@@ -50,7 +50,7 @@ def shingled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
             yield whole.filter(pa.array(size >= least))
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc {kind}, hashes array<bigint>, n bigint")
+    return spread(docs.select(doc_id, text), doc_id, text).mapInArrow(run, f"doc {kind}, hashes array<bigint>, n bigint")
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:

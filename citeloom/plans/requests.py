@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import clauses
+from ..functions import text as T
 from ..operators import audit, forward, merge, presentation, ranking
 from ..session import Scratch, table
 from ..sources import tables
@@ -193,3 +194,33 @@ def stream_applied(spark, sf):
     each(sent, 0)
     return spark.read.parquet(f"{s.root}/register").select("is_number", "status", "provenance")
 
+
+
+# ---------------------------------------------------------------- text functions over the tables' own words
+
+
+@query(
+    """SELECT doc_id, CASE WHEN text IS NULL OR length(text) <= 300 THEN text WHEN back > 0 AND 301 - back > 180 THEN left(text, CAST(301 - back AS BIGINT)) ELSE left(text, 300) END AS clipped
+FROM (SELECT doc_id, text, strpos(reverse(left(text, 300)), '.') AS back FROM documents)"""
+)
+def clipped_texts(spark, sf):
+    """Every document's text cut as a long query is: behind its last sentence, if that is far enough."""
+    return table(spark, sf, "documents").select("doc_id", T.clip_query(F.col("text"), 300).alias("clipped"))
+
+
+@query("SELECT p_partkey AS id, p_size || ' mm|IS ' || (100 + p_partkey) || CASE WHEN p_partkey % 2 = 0 THEN '|' || p_size || '.5 kV' ELSE '' END AS spans FROM part")
+def protected_quantities(spark, sf):
+    """Quantities and designations between the words of every part's name, which a translation must not touch."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.concat("p_name", F.lit(" of "), size, F.lit(" mm to IS "), (k + 100).cast("string"), F.lit(", "), "p_type", F.when(k % 2 == 0, F.concat(F.lit(" at "), size, F.lit(".5 kV"))).otherwise(""))
+    return table(spark, sf, "part").select(k.alias("id"), F.array_join(clauses.protected_spans(text), "|").alias("spans"))
+
+
+@query(
+    r"""SELECT p_partkey AS id, p_size % 4 = 0 OR regexp_matches(p_name || ' ' || p_type, '(?i)\b(service|services|hiring|manpower|repair|transport|printing|training|survey|audit)\b') AS service FROM part"""
+)
+def service_categories(spark, sf):
+    """Whether a category names a service, over the words of all parts' names and types, with a service's word behind every fourth size."""
+    words = F.element_at(F.array(*map(F.lit, ("Repair", "housekeeping", "Annual Maintenance", "SURVEY"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") % 4 == 0, words))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.is_service(text).alias("service"))

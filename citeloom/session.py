@@ -70,6 +70,13 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to as many tasks as there are cores if it comes from fewer files, else df as it is. For work that is heavy by the row: a small
+    table in one file would be one task. A table of many files, which is any large one, isn't shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *by) if 0 < len(df._jdf.inputFiles()) < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

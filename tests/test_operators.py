@@ -168,3 +168,14 @@ def test_dot_handles_float_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     q = v.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     assert [(r["doc"], r["rank"]) for r in ranking.dense(v, q, 2).orderBy("rank").collect()] == [(2, 1), (3, 2)]
+
+
+def test_small_tables_are_dealt_and_large_ones_are_not(spark, tmp_path):
+    from citeloom.session import spread
+
+    df = spark.range(20)
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    df.repartition(spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "many"))
+    assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r["id"] for r in spread(one, "id").collect()) == list(range(20))
+    assert spread(many, "id") is many and spread(df, "id") is df
