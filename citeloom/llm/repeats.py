@@ -170,12 +170,38 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def _in_rows(made: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Equal segments that follow each other as one: anchor, segment, first and last window of the first one, last window of the last one,
+    how many. In a text of one letter, or of few bytes over and over, nearly all segments are such."""
+    anchor, segment, first, last = made
+    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1]))))
+    many = np.diff(new, append=len(anchor))
+    return anchor[new], segment[new], first[new], last[new], last[new + many - 1], many
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (doc_id, digest, start, end) with those of a batch that touch or overlap in one text made one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, none = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        digest, start, end = (batch.column(k).to_numpy() for k in (1, 2, 3))
+        by = np.lexsort((start, digest, ids, none))
+        ids, none, digest, start, end = (x[by] for x in (ids, none, digest, start, end))
+        text = np.cumsum(np.concatenate(([False], (ids[1:] != ids[:-1]) | (none[1:] != none[:-1]) | (digest[1:] != digest[:-1]))))
+        far = np.maximum.accumulate(end + (text << 40))  # the farthest end so far; no text has 2 ** 40 bytes
+        new = np.flatnonzero(np.concatenate(([True], start[1:] + (text[1:] << 40) > far[:-1])))
+        ends = (far - (text << 40))[np.append(new[1:], len(far)) - 1]
+        kept = batch.select([0, 1]).take(pa.array(by[new]))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(start[new]), pa.array(ends)], ["doc_id", "digest", "start", "end"])
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, digest, spans): for each text with repeated windows the byte ranges [start, end) to remove, unmerged.
+    """(doc_id, digest, spans): for each text with repeated windows the byte ranges [start, end) to remove; they may overlap.
 
     docs has doc_id, digest (of the text) and t (binary).
     1. Every window belongs to an anchor; windows in a row with one anchor form a segment. About one segment for each 70
-       bytes is shuffled, as two hashes and its place.
+       bytes is shuffled, as two hashes and its place; equal segments in a row are one with a count.
     2. Segments that occur twice are removed whole. They are counted with partial sums, so copies by the million cost a
        row for each task.
     3. Anchors with several different segments (edges of shared passages, edited copies) may share some windows. The
@@ -183,6 +209,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, scratch: Scratch | None =
        whole anchors, INDEX bytes of text at a time. Matching statistics of `length` and more mark windows.
     4. The windows of an anchor with more than HOT different segments are counted one by one by 128-bit hashes, which
        again uses partial sums, so a passage that a third of all documents share isn't gathered in one task.
+    5. Neighbouring spans of a text are made one in the tasks, before a text's spans are brought together.
     """
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
 
@@ -194,23 +221,23 @@ def repeated_spans(docs: DataFrame, length: int = 200, scratch: Scratch | None =
             for i, t in enumerate(batch.column(2)):
                 t = t.as_py() or b""
                 for a, b in _pieces(len(t), length):
-                    made = anchors(np.frombuffer(t, np.uint8)[a:b], length)
-                    out.append((np.full(len(made[0]), i), made[0].view(np.int64), made[1].view(np.int64), made[2] + a, made[3] + a))
+                    made = _in_rows(anchors(np.frombuffer(t, np.uint8)[a:b], length))
+                    out.append((np.full(len(made[0]), i), made[0].view(np.int64), made[1].view(np.int64), made[2] + a, made[3] + a, made[4] + a, made[5]))
                     size += len(made[0])
                 if size > 200_000 or (out and i == batch.num_rows - 1):
                     row, *rest = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(digests[row]), *map(pa.array, rest)], ["doc_id", "digest", "anchor", "segment", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(digests[row]), *map(pa.array, rest)], ["doc_id", "digest", "anchor", "segment", "a", "b", "last", "many"])
                     out, size = [], 0
             if out:
                 row, *rest = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(digests[row]), *map(pa.array, rest)], ["doc_id", "digest", "anchor", "segment", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(digests[row]), *map(pa.array, rest)], ["doc_id", "digest", "anchor", "segment", "a", "b", "last", "many"])
 
-    rows = scratch.keep(docs.select("doc_id", "digest", "t").where(F.length("t") >= length).mapInArrow(find, "doc_id long, digest long, anchor long, segment long, a long, b long"), "rows")
-    segments = rows.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "a", "b")).alias("at"))
+    rows = scratch.keep(docs.select("doc_id", "digest", "t").where(F.length("t") >= length).mapInArrow(find, "doc_id long, digest long, anchor long, segment long, a long, b long, last long, many long"), "rows")
+    segments = rows.groupBy("anchor", "segment").agg(F.sum("many").alias("n"), F.min(F.struct("doc_id", "digest", "a", "b")).alias("at"))
     segments = scratch.keep(segments, "segments")
     mixed = scratch.keep(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed")
     whole = rows.join(segments.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
-    found = whole.select("doc_id", "digest", F.col("a").alias("start"), (F.col("b") + length).alias("end"))
+    found = whole.select("doc_id", "digest", F.col("a").alias("start"), (F.col("last") + length).alias("end"))
 
     wanted = segments.join(mixed, "anchor").select("anchor", "n", "at.*", "kinds")
     wanted = wanted.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "n", "a", "b", "kinds")).alias("w"))
@@ -264,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, scratch: Scratch | None =
     hot = bytes_of.where(F.col("kinds") > HOT).mapInArrow(one_by_one, "doc_id long, digest long, n long, start long, h binary")
     seen = hot.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where("n > 1").select("h")
     counted = hot.join(seen, "h", "left_semi").select("doc_id", "digest", "start", (F.col("start") + length).alias("end"))
-    found = found.unionByName(marked).unionByName(counted)
+    found = found.unionByName(marked).unionByName(counted).mapInArrow(_merged, "doc_id long, digest long, start long, end long")
     # rows that repeat an id and text add the same spans again
     return found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 

@@ -10,7 +10,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from citeloom.llm import interactions, licenses, search
+from citeloom.llm import interactions, licenses, repeats, search
 from citeloom.llm import queries as Q
 from citeloom.llm.license_rules import CERTAINTY, KEYWORDS, LABELS, RULES
 from citeloom.operators import postings
@@ -251,3 +251,29 @@ def test_scan_of_a_table(spark, sf):
 def test_scan_stays_in_the_jvm(spark, sf):
     plan = Q.QUERIES["op13_licenses"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+# ---------------------------------------------------------------- 5: texts of few bytes
+
+
+def test_spans_of_low_entropy_texts_are_merged_in_the_tasks(spark):
+    texts = ["a" * 300_000, "ab" * 100_000 + "end", "-=- " * 50_000, "a" * 150 + "b" * 150, "x" * 199, "q" * 201]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a" * 250)], "doc_id long, text string").repartition(3)
+    source = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("t"))
+    spans = {r["doc_id"]: r["spans"] for r in repeats.repeated_spans(source).collect()}
+    assert all(len(s) < 200 for s in spans.values())  # and not one for each window
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(docs).collect()}
+    assert got == {0: (300_000, 1), 1: (200_000, 1), 2: (200_000, 1), 3: (0, 0), 4: (0, 0), 5: (201, 1), None: (250, 1)}
+
+
+def test_merged_spans_cover_the_same(spark):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 1 << 60, (1 << 60) + 1]), rng.choice([5, -5]), a, a + rng.randrange(1, 9)) for a in [rng.randrange(60) for _ in range(150)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "digest", "start", "end"])
+    (out,) = repeats._merged(iter([batch, batch.slice(0, 0)]))
+    cover = lambda spans: {(d, g, x) for d, g, a, b in spans for x in range(a, b)}
+    got = [tuple(r.values()) for r in out.to_pylist()]
+    assert cover(got) == cover(rows)
+    assert len(got) == sum((d, g, x - 1) not in cover(rows) for d, g, x in cover(rows))
