@@ -121,31 +121,44 @@ class Postings:
 
         asked: (term, weight). A block's bound is the sum of its terms' largest shares by weight, negative weights left out. Blocks are
         taken from the highest bound down, ever more at once; when the next one's bound is below the k-th score so far, all that
-        is left is too, and is not looked at.
+        is left is too, and is not looked at. In the blocks that are, a document is scored if it holds an essential term: the terms with the
+        least bounds whose sum is below the k-th score can't bring a document there by themselves.
         """
-        mine = [(self.runs[t], w) for t, w in asked if t in self.runs]
+        mine = [(self.runs[t], w, max(0.0, w * self.most[self.runs[t]].max())) for t, w in asked if t in self.runs]
         if not mine:
             return np.zeros(0, np.int64), np.zeros(0), 0
-        runs = np.concatenate([np.arange(s.start, s.stop) for s, _ in mine])
-        weight = np.repeat([w for _, w in mine], [s.stop - s.start for s, _ in mine])
+        mine.sort(key=lambda x: -x[2])
+        left = np.cumsum([x[2] for x in mine][::-1])[::-1]  # what the terms from i on can add
+        many = [s.stop - s.start for s, _, _ in mine]
+        runs = np.concatenate([np.arange(s.start, s.stop) for s, _, _ in mine])
+        weight, of = np.repeat([w for _, w, _ in mine], many), np.repeat(np.arange(len(mine)), many)
         bound = np.bincount(self.block[runs], np.maximum(0, weight * self.most[runs]))
         held = np.unique(self.block[runs])
         held = held[np.argsort(-bound[held], kind="stable")]
         rows, scores, seen, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 0, max(1, 2 * k // BLOCK)
         slot = np.full(len(bound), -1)
+
+        def cells(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each posting of some runs in the chosen blocks: the document's cell, and what it adds."""
+            r, w, n = runs[pick], weight[pick], self.length[runs[pick]]
+            place = np.repeat(self.start[r] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(r) else np.zeros(0, np.int64)
+            doc = self.doc[place]
+            return slot[doc // BLOCK] * BLOCK + doc % BLOCK, np.repeat(w, n) * self.share[place]
+
         while at < len(held) and bound[held[at]] >= floor - 2e-6:
             chosen = held[at : at + step]
             chosen = chosen[bound[chosen] >= floor - 2e-6]
             slot[:] = -1
             slot[chosen] = np.arange(len(chosen))
-            pick = slot[self.block[runs]] >= 0
-            r, w = runs[pick], weight[pick]
-            many = self.length[r]
-            place = np.repeat(self.start[r] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            doc = self.doc[place]
-            cell = slot[doc // BLOCK] * BLOCK + doc % BLOCK
-            total = np.bincount(cell, np.repeat(w, many) * self.share[place])
-            hit = np.unique(cell)
+            here, essential = slot[self.block[runs]] >= 0, left[of] >= floor - 2e-6
+            cell, adds = cells(here & essential)
+            total = np.bincount(cell, adds, len(chosen) * BLOCK)
+            able = np.zeros(len(total), bool)
+            able[cell] = True
+            cell, adds = cells(here & ~essential)
+            cell, adds = cell[able[cell]], adds[able[cell]]
+            total += np.bincount(cell, adds, len(total))
+            hit = np.flatnonzero(able)
             seen += len(hit)
             rows = np.concatenate((rows, chosen[hit // BLOCK] * BLOCK + hit % BLOCK))
             scores = np.concatenate((scores, np.round(total[hit], 6)))
