@@ -665,6 +665,6 @@ def test_a_lost_race_for_a_version_retries(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_run_on_the_driver_tables(spark, sf, name):
     df = Q.QUERIES[name](spark, sf)
-    table = {"op6_ann": None, "op7_decontamination": None, "op8_html": "pages"}.get(name, "documents")
+    table = {"op6_ann": None, "op7_decontamination": None, "op8_html": "pages", "op11_search": None, "op12_filters": None}.get(name, "documents")
     n = df.count()
     assert n > 0 and (table is None or n == spark.read.parquet(f"{sf}/{table}.parquet").count())
