@@ -301,21 +301,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     wanted = wanted.unionByName(mine.where(other).select((-F.col("length")).alias("part"), F.array(F.lit(0)).alias("lists"), "id", "v"))
 
     sizes = scratch.keep(held.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
-    groups = max(1, -(-asked.count() // ASKED))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = held.join(sizes, "part").select("part", "list", "ids", "v", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"))
-    held = held.withColumn("of", every(F.lit(groups)))
     keys = ("part", "block", "of")
 
     def searched(some: DataFrame) -> DataFrame:
-        """(query_id, vec_id, score, rank) of queries (part, lists, id, v)."""
-        some = some.join(sizes, "part").select("part", "lists", "id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("of"), every(F.col("blocks")).alias("block"))
-        found = some.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
+        """(query_id, vec_id, score, rank) of queries (part, lists, id, v). A part's vectors go to as many tasks as its own queries
+        need, ASKED to each; parts that no query reads aren't moved."""
+        asked_of = some.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("groups"))
+        split = scratch.keep(sizes.join(asked_of, "part"), "split")
+        some = some.join(split, "part").select("part", "lists", "id", "v", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("of"), every(F.col("blocks")).alias("block"))
+        read = held.join(split.select("part", "groups"), "part").select("part", "list", "ids", "v", "block", every(F.col("groups")).alias("of"))
+        found = some.groupBy(*keys).cogroup(read.groupBy(*keys)).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = result.keep(searched(wanted), "found")
+    found = result.keep(searched(scratch.keep(wanted, "wanted")), "found")
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = scratch.keep(mine.where(usual).join(full, F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short")
     if exact or not short.head(1):

@@ -88,3 +88,32 @@ def test_a_query_whose_lists_are_too_small_reads_all(spark, monkeypatch):
     df = frame(spark, np.concatenate((x, np.eye(6)[:1] * 9 + 0.001)))
     got = answers(ann.nearest(df, df, k=40))
     assert len(got) == 301 and all(len(v) == 40 for v in got.values())
+
+
+def test_vectors_go_where_their_part_has_queries(spark, monkeypatch):
+    """Many queries of one part don't multiply the vectors of others."""
+    rng = np.random.default_rng(2)
+    near, far = rng.normal(size=(300, 3)) + [9, 0, 0], rng.normal(size=(300, 5)) - 9
+    rows = [(i, v.tolist()) for i, v in enumerate([*near, *far])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "ASKED", 10)
+    seen = []
+    keep = ann.Scratch.keep
+
+    def watched(self, df, name="t"):
+        out = keep(self, df, name)
+        if name == "split":
+            seen.append({r["part"]: r["groups"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(ann.Scratch, "keep", watched)
+    got = ann.nearest(vectors, vectors.where("vec_id < 100 OR vec_id = 599"), k=3, exact=True)
+    assert got.groupBy("query_id").count().where("count = 3").count() == 101
+    groups = seen[0]
+    assert groups.pop(-5, 1) == 1 and all(1 <= g <= 10 for g in groups.values())
+    unit = near / np.linalg.norm(near, axis=1)[:, None]
+    cos = unit[:100] @ unit.T
+    np.fill_diagonal(cos, -2)
+    for q in range(0, 100, 9):
+        want = sorted(range(300), key=lambda i: (-cos[q, i], i))[:3]
+        assert [r["vec_id"] for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == want
