@@ -17,6 +17,8 @@ from .components import connected_components, forest_sizes, maximum_forest
 WORDS, LEAST, PERMUTATIONS, BANDS = 5, 40, 128, 32
 #: Documents of a band's bucket that are paired directly; more go through the prefix filter.
 BUCKET = 200
+#: Documents that share a shingle in their prefixes and are paired in one task.
+PART = 1000
 #: The seed of the MinHash family.
 SEED = 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +60,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
     Prefix filter: with shingles in ascending order of frequency, two sets of sizes n and m at Jaccard t share one among
     their first n - ceil(t n) + 1. Only these prefixes are joined, so frequent shingles hardly meet; candidates are then
-    verified on whole sets. Equal sets are one class: copies join once, and are expanded after verification.
+    verified on whole sets. A shingle in many prefixes is split. Equal sets are one class: copies join once, and are expanded after verification.
     """
     scratch = Scratch(sets.sparkSession, "jaccard")
     sets = scratch.keep(sets.withColumn("key", F.xxhash64(F.array_sort("hashes"))), "sets")
@@ -70,8 +72,13 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     # shingles of one document only come first in the order and need no partner
     live = rows.join(freq, "h").withColumn("p", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("doc")))
     prefix = scratch.keep(live.where(F.col("p") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("doc", "n", "h"), "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.doc") < F.col("y.doc")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9)
+    # a shingle that opens many prefixes is dealt to parts of PART documents, and every two parts meet in a task of their own
+    parts = prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("k"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    dealt = scratch.keep(prefix.join(parts, "h").select("doc", "n", "h", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int").alias("p"), F.sequence(F.lit(0), F.col("k") - 1).alias("all")), "dealt")
+    x = dealt.select("doc", "n", "h", "p", F.explode("all").alias("q")).alias("x")
+    y = dealt.select("doc", "n", "h", F.col("p").alias("q"), F.explode("all").alias("p")).alias("y")
+    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    near = near & (F.col("x.doc") < F.col("y.doc")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9)
     cand = x.join(y, near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     return _verified(cand, own, threshold).transform(lambda p: _expanded(p, sets, reps))
 

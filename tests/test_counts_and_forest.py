@@ -155,3 +155,20 @@ def test_profile_reads_the_fact_once(spark):
         n = sum(r[1] == b for r in rows)
         want["base", b] = (n, n if b in dead else 0, None, None)
     assert got == want
+
+
+def test_pairs_of_a_shingle_in_many_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(reuse, "PART", 4)
+    rng = random.Random(3)
+    base = list(range(50))
+    sets = {d: sorted({*rng.sample(base, 46), *(1000 + rng.randrange(30) for _ in range(2))}) for d in range(40)} | {100 + d: [rng.randrange(10_000) for _ in range(45)] for d in range(10)}
+    sets = {d: sorted(set(s)) for d, s in sets.items()} | {200: sorted(set(sets[0]))}
+    frame = spark.createDataFrame([(d, s, len(s)) for d, s in sets.items()], "doc long, hashes array<bigint>, n bigint")
+    for threshold in (0.8, 0.9):
+        want = {}
+        for a, b in combinations(sorted(sets), 2):
+            j = len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+            if j >= threshold and 200 not in (a, b):
+                want[a, b] = j
+        got = {(r["a"], r["b"]): r["jaccard"] for r in reuse.jaccard_pairs(frame, threshold).collect()}
+        assert got.pop((0, 200)) == 1.0 and got == want
