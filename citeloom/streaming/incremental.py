@@ -35,7 +35,8 @@ def run_periodic(df: DataFrame, checkpoint: str, each, every: str = "6 hours", m
 def upsert_into(path: str, key: str):
     """A foreachBatch sink that keeps the newest row of each key in versions <path>/v=<batch>; a replay rewrites its version.
     A batch holds a key once. Batch 0 starts the state; a later batch fails if the version before it is gone, as going on
-    without it would lose rows."""
+    without it would lose rows. Versions that no replay can need are deleted. Every batch writes the whole state, so this is for small
+    ones; `state.newest` keeps large ones in place."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         new = batch
@@ -43,6 +44,9 @@ def upsert_into(path: str, key: str):
             old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}")
             new = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
         new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if batch_id > 1:
+            old_path = batch.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch_id - 2}")
+            old_path.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(old_path, True)
 
     return each
 

@@ -24,3 +24,11 @@ def test_running_decisions(spark):
 def test_tumbling_batch(spark):
     e = spark.createDataFrame([("2024-01-01 01:00:00", "a", 1.0), ("2024-01-01 23:00:00", "a", 2.0), ("2024-01-02 00:00:00", "a", 4.0)], "t string, event_type string, value double").withColumn("ts", F.col("t").cast("timestamp"))
     assert sorted((r["n"], r["total"]) for r in S.tumbling(e).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_upsert_drops_versions_that_no_replay_needs(spark, tmp_path):
+    each = S.upsert_into(str(tmp_path), "k")
+    for i in (0, 1, 2, 2, 3):
+        each(spark.createDataFrame([("a", i), (f"b{i}", i)], "k string, v int").coalesce(1), i)
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["v=2", "v=3"]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/v=3").collect())) == [("a", 3), ("b0", 0), ("b1", 1), ("b2", 2), ("b3", 3)]
