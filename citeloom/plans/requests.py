@@ -96,7 +96,7 @@ def hindi_ranking(spark, sf):
     words = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("p_size") % 4 + 1).cast("int"))
     title = F.concat(words, F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)))
     reg = S.register(spark, sf).join(p.select(F.col("p_partkey").alias("load_ord"), title.alias("title_hi")), "load_ord")
-    asked = forward.prepared(p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), title.alias("text")))
+    asked = Scratch(spark, "hindi").keep(forward.prepared(p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), title.alias("text"))), "asked")
     return forward.rankings_of(asked, reg)["hindi"]
 
 
