@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import quoted
@@ -119,3 +119,25 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     labels = F.array_sort(F.array_union("_base", F.transform("found", lambda x: x["label"])))
     joined = lambda a: F.array_join(a, ",")
     return rows.select(doc_id, "n_words", "n_base", "first_word", "last_word", joined(F.array_sort("_base")).alias("base_labels"), joined(labels).alias("labels"), score.alias("score"), "found")
+
+
+def detections(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, label, level, rule, start, end): the detections behind `scan`'s labels, a row each: words start to end (exclusive) of
+    the text, and the rule's number in RULES. Repeated rows give their detections each; texts without any give no rows.
+
+    Suppression is the same as in `_kept`, here as running maxima over a text's detections in order, so a text with very many is
+    sorted and spilled as rows are.
+    """
+    rules = _constant([{"level": r.level, "rule": i, "label": LABELS.index(r.label), "keyword": r.keyword, "pattern": r.pattern} for i, r in enumerate(RULES)], "array<struct<level int, rule int, label int, keyword string, pattern string>>")
+    own, words = F.col(quoted(text)), F.col("_words")
+    rows = docs.where(F.regexp_like(own, F.lit(any_keyword(_BEFORE)))).select(F.col(quoted(doc_id)).alias(doc_id), F.monotonically_increasing_id().alias("_row"), normalised(own).alias("_words"))
+    present = F.filter(_constant(KEYWORDS, "array<string>"), lambda k: F.contains(words, F.concat(F.lit(" "), k)))
+    rows = rows.select(doc_id, "_row", "_words", present.alias("_present"))
+    tried = F.filter(rules, lambda r: F.array_contains(F.col("_present"), r["keyword"]) & F.regexp_like(words, _pattern(r)))
+    each = rows.select(doc_id, "_row", F.explode(_detections(words, tried)).alias("d"))
+    before = Window.partitionBy("_row").orderBy("d.start", "d.back", "d.level", "d.rule").rowsBetween(Window.unboundedPreceding, -1)
+    far = F.array(*[F.max(F.when(F.col("d.level") <= level, -F.col("d.back"))).over(before) for level in sorted(CERTAINTY)])
+    each = each.withColumn("_far", F.element_at(far, F.col("d.level")))
+    names = _constant(LABELS, "array<string>")
+    each = each.where(F.col("_far").isNull() | (F.col("_far") < -F.col("d.back")))
+    return each.select(doc_id, F.element_at(names, F.col("d.label") + 1).alias("label"), "d.level", "d.rule", "d.start", (-F.col("d.back")).alias("end"))

@@ -183,6 +183,7 @@ def plain_scan(text):
     starts = [i for i, _ in places]
     score = max([CERTAINTY[d[2]] for d in stay] + [CERTAINTY[3] if base else 0.0])
     labels = sorted({*base, *(d[4] for d in stay)})
+    plain_scan.stay = sorted((d[4], d[2], d[3], d[0], d[1]) for d in stay)
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), score, sorted(Counter(d[4] for d in stay).items())
 
 
@@ -239,6 +240,20 @@ def test_scan_equals_plain_rules(spark):
         assert got == plain_scan(text), text
 
 
+def test_detections_are_those_behind_the_labels(spark):
+    rng = random.Random(7)
+    given = [None, "", "cc by " * 400]
+    for _ in range(60):
+        given.append(rng.choice([" ", ". "]).join(examples(rng.choice(RULES), rng) if rng.random() < 0.7 else rng.choice(WORDS) for _ in range(rng.randrange(1, 9))))
+    docs = spark.createDataFrame([*enumerate(given), (3, given[3])], "doc_id long, text string").repartition(4)
+    got = {}
+    for r in licenses.detections(docs).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    for i, text in enumerate(given):
+        plain_scan(text)
+        assert sorted(got.get(i, [])) == sorted(plain_scan.stay * (2 if i == 3 else 1)), text
+
+
 def test_scan_of_a_table(spark, sf):
     texts = dict(table(spark, sf, "documents").select("doc_id", "text").collect())
     rows = Q.QUERIES["op13_licenses"](spark, sf).collect()
