@@ -51,3 +51,13 @@ def test_thousands_of_designations_in_one_pass(spark):
         assert got[i] == ((None, 0) if t is None else (pattern.sub(lambda m: f"[{m[0]}]", t), len(pattern.findall(t))))
     none = marking.marked(docs, spark.createDataFrame([], "designation string"))
     assert {r["marked"] for r in none.collect()} == {t for _, t in texts}
+
+
+def test_more_designations_than_one_automaton_takes(spark, monkeypatch):
+    monkeypatch.setattr(marking, "PATTERNS", 2)
+    numbers = ["IS 12", "IS 123", "IS 123 (Part 1)", "ab", "abc", "bc 9"]
+    texts = [(1, "IS 123 (Part 1) and IS 124, IS 1234"), (2, "abc 9 ab IS 12"), (3, "é🙂abc IS 123 (Part 2)"), (4, None), (5, "")]
+    docs = spark.createDataFrame([*texts, *texts], "id long, text string").repartition(3)
+    got = sorted((r["id"], r["marked"], r["found"]) for r in marking.marked(docs, spark.createDataFrame([(n,) for n in numbers], "designation string")).collect() if r["id"] != 4)
+    want = [(1, "[IS 123 (Part 1)] and [IS 12]4, [IS 123]4", 3), (2, "[abc] 9 [ab] [IS 12]", 3), (3, "é🙂[abc] [IS 123] (Part 2)", 2), (5, "", 0)]
+    assert got == sorted(want * 2)
