@@ -25,5 +25,5 @@ def carry_down(rows: DataFrame, by: str, order: str, columns: list[str]) -> Data
 def prose_standards(text: Column, keyword: str) -> Column:
     """Distinct designations in the sentences that hold a keyword, in order."""
     sentences = F.filter(F.split(text, r"(?<=[.;])\s+"), lambda s: s.rlike(f"(?i){keyword}"))
-    found = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"(?<![A-Za-z])(IS\s*:?\s*\d{2,6})"), F.lit(1))))
+    found = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"(?<![A-Za-z])(IS\s*:?\s*\d{2,})"), F.lit(1))))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"^IS\s*:?\s*", "IS ")))
