@@ -72,9 +72,9 @@ def leaderboard(registry: DataFrame, measured: DataFrame) -> DataFrame:
 
 
 def same_standard(a: Column, b: Column) -> Column:
-    """Whether two designations name one standard: equal bases, or equal bare numbers."""
-    digits = citation_digits(a)
-    return (F.upper(is_base(a)) == F.upper(is_base(b))) | ((digits != "") & (digits == citation_digits(b)))
+    """Whether two designations name one standard: equal bases, or equal bare numbers, of however many digits."""
+    digits = citation_digits(a, None)
+    return (F.upper(is_base(a)) == F.upper(is_base(b))) | ((digits != "") & (digits == citation_digits(b, None)))
 
 
 def rank_1_by(outcomes: DataFrame, key: str, least: int = 8) -> DataFrame:
