@@ -80,3 +80,21 @@ def test_bm25_in_rounds_and_blocks(spark, monkeypatch):
         monkeypatch.setattr(ranking, name, value)
     assert sorted(map(tuple, ranking.bm25(docs, queries, 5).collect())) == want
     assert ranking.bm25(docs.where("doc_id < 0"), queries, 5).collect() == [] == ranking.bm25(docs, queries.where("item_id = 25"), 5).collect()
+
+
+def test_queries_of_the_same_terms_are_one_search(spark, monkeypatch):
+    searches = []
+    searched = ranking._searched
+    monkeypatch.setattr(ranking, "_searched", lambda names, *rest: searches.append(len(names)) or searched(names, *rest))
+    docs = spark.createDataFrame([(i, f"pump {'steel ' * (i % 3)}pipe {i % 7}") for i in range(60)], "doc_id long, text string")
+    forms = ["steel pump 3", "3, Pump (steel)", "steel pump 3 steel", "pipe"]
+    queries = spark.createDataFrame([(i, forms[i % 4]) for i in range(400)] + [(400, "none"), (401, ""), (402, None)], "item_id long, text string")
+    got = ranking.bm25(docs, queries, 4).collect()
+    assert sum(searches) == 4  # three of the forms, and one that no document answers
+    of = {}
+    for r in got:
+        of.setdefault(r["query_id"], []).append((r["rank"], r["doc"], r["score"]))
+    assert set(of) == set(range(400)) and all(len(x) == 4 for x in of.values())
+    for f in range(4):
+        alone = sorted((r["rank"], r["doc"], r["score"]) for r in ranking.bm25(docs, queries.where(f"item_id = {f}"), 4).collect())
+        assert all(sorted(of[i]) == alone for i in range(f, 400, 4))
