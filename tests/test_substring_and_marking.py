@@ -61,3 +61,16 @@ def test_more_designations_than_one_automaton_takes(spark, monkeypatch):
     got = sorted((r["id"], r["marked"], r["found"]) for r in marking.marked(docs, spark.createDataFrame([(n,) for n in numbers], "designation string")).collect() if r["id"] != 4)
     want = [(1, "[IS 123 (Part 1)] and [IS 12]4, [IS 123]4", 3), (2, "[abc] 9 [ab] [IS 12]", 3), (3, "é🙂[abc] [IS 123] (Part 2)", 2), (5, "", 0)]
     assert got == sorted(want * 2)
+
+
+def test_sequences_are_made_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(substring, "ROWS", 10)
+    frame = spark.createDataFrame([(i, "a") for i in range(95)] + [(None, "b")], "id long, t string").coalesce(1)
+    own = substring.dealt(frame, "id", ["t"])
+    assert own.rdd.getNumPartitions() == 10 and own.count() == 95
+
+
+def test_pdf_files_of_a_small_table_are_dealt_to_all_cores(spark, sf):
+    from citeloom.plans import catalogue, extended  # noqa: F401
+
+    assert catalogue.QUERIES["pdf_annotations"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
