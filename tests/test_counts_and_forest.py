@@ -172,3 +172,15 @@ def test_pairs_of_a_shingle_in_many_prefixes(spark, monkeypatch):
                 want[a, b] = j
         got = {(r["a"], r["b"]): r["jaccard"] for r in reuse.jaccard_pairs(frame, threshold).collect()}
         assert got.pop((0, 200)) == 1.0 and got == want
+
+
+def test_baskets_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(association, "ROWS", 10)
+    rng = random.Random(5)
+    rows = [(b, rng.randrange(12)) for b in range(120) for _ in range(4)] + [(None, 1), (1, None)]
+    df = spark.createDataFrame(rows, "basket int, item int")
+    pairs = association._paired(*association._sets(df, "basket", "item"))
+    dealt = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    want = Counter(p for b in range(120) for p in combinations(sorted({i for x, i in rows if x == b and i is not None}), 2))
+    assert Counter((r["u"], r["v"]) for r in pairs.collect()) == want
+    assert len(dealt) > 24 and max(dealt) < sum(want.values()) / 8
