@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.designation import is_base
-from ..session import Scratch
+from ..session import Scratch, dealt_to
+
+#: Rows of the fact that a task groups by all sets at first, each of which makes a row of every set.
+ROWS = 250_000
 
 
 def preferred_status(register: DataFrame) -> DataFrame:
@@ -69,19 +72,21 @@ def profile(f: DataFrame, keys: tuple[str, ...], buyer: str) -> DataFrame:
     Kinds are all (key is null), each of keys and buyer (documents and dead-citing documents), and base (documents that cite
     the base, and the same if it is dead, else 0). top_dead is the dead base that most documents of a buyer cite, ties by name.
 
-    One grouping by sets counts (document), (key, document) for each key, (base) and (buyer, base) at once: the fact is read and
-    expanded in one stage with partial counts, and the small result is written. All figures are counted from that. A row of the fact is a
+    One grouping by sets counts (document), (key, document) for each key, (base) and (buyer, base) at once: the fact is written, dealt by
+    document to tasks of about ROWS rows and expanded there with partial counts, and the result is written. All figures are counted from that. A row of the fact is a
     document and a base, so rows of a set with base are documents.
     """
     by = [*keys, buyer]
     sets = [["doc_id"], *[[k, "doc_id"] for k in by], ["base"], [buyer, "base"]]
     names = [*by, "doc_id", "base"]
-    rows = f.select(*names, "dead")
+    scratch = Scratch(f.sparkSession, "health")
+    rows = scratch.keep(f.select(*names, "dead"), "rows")
+    rows = rows.repartition(dealt_to(rows, ROWS), "doc_id")
     bit = {c: 1 << (len(names) - 1 - i) for i, c in enumerate(names)}
     place = {tuple(x): sum(b for c, b in bit.items() if c not in x) for x in sets}  # grouping_id: a bit for each column that is left out
     grouped = rows.groupingSets([[F.col(c) for c in x] for x in sets], *names)
     one = grouped.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), F.max("dead").alias("dead"))
-    one = Scratch(f.sparkSession, "health").keep(one, "sets")
+    one = scratch.keep(one, "sets")
     kind = F.coalesce(F.when(F.col("_set") == place["doc_id",], "all"), *[F.when(F.col("_set") == place[k, "doc_id"], k) for k in by])
     key = F.coalesce(*[F.when(F.col("_set") == place[k, "doc_id"], F.col(k).cast("string")) for k in by])
     docs = one.select(kind.alias("kind"), key.alias("key"), "dead").where("kind IS NOT NULL")

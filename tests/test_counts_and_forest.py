@@ -184,3 +184,14 @@ def test_baskets_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
     want = Counter(p for b in range(120) for p in combinations(sorted({i for x, i in rows if x == b and i is not None}), 2))
     assert Counter((r["u"], r["v"]) for r in pairs.collect()) == want
     assert len(dealt) > 24 and max(dealt) < sum(want.values()) / 8
+
+
+def test_the_fact_is_dealt_before_it_is_expanded(spark, monkeypatch):
+    monkeypatch.setattr(health, "ROWS", 5)
+    dealt, whole = [], health.dealt_to
+    monkeypatch.setattr(health, "dealt_to", lambda df, each: dealt.append((df.count(), whole(df, each))) or dealt[-1][1])
+    rows = [(d, f"IS {b}", b % 3 == 0, 2000 + d % 2, f"m{d % 3}") for d in range(30) for b in range(d % 4 + 1)]
+    f = spark.createDataFrame(rows, "doc_id int, base string, dead boolean, year int, ministry string")
+    got = {(r["kind"], r["key"]): (r["documents"], r["documents_dead"]) for r in health.profile(f, ("year",), "ministry").collect()}
+    assert dealt == [(len(rows), -(-len(rows) // 5))]
+    assert got["all", None] == (30, 30) and got["year", "2000"] == (15, 15) and got["ministry", "m1"] == (10, 10) and got["base", "IS 2"] == (len([r for r in rows if r[1] == "IS 2"]), 0)
