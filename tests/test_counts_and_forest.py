@@ -195,3 +195,19 @@ def test_the_fact_is_dealt_before_it_is_expanded(spark, monkeypatch):
     got = {(r["kind"], r["key"]): (r["documents"], r["documents_dead"]) for r in health.profile(f, ("year",), "ministry").collect()}
     assert dealt == [(len(rows), -(-len(rows) // 5))]
     assert got["all", None] == (30, 30) and got["year", "2000"] == (15, 15) and got["ministry", "m1"] == (10, 10) and got["base", "IS 2"] == (len([r for r in rows if r[1] == "IS 2"]), 0)
+
+
+def test_counts_are_summed_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(association, "PAIRS", 20, raising=False)
+    monkeypatch.setattr(association, "TOUCHED", 0)
+    rng = random.Random(6)
+    frame = lambda sets: spark.createDataFrame([(b, i) for b, s in sets.items() for i in s], "basket int, item int")
+    old, new = ({b: rng.sample(range(30), 4) for b in range(at, at + 60)} for at in (0, 100))
+    counts = association.changed_counts(association.basket_counts(frame(old)), frame(new), frame({b: old[b] for b in range(20)}))
+    dealt = [r["count"] for r in counts.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(dealt) < sum(dealt) / 8  # the session has 4 shuffle partitions
+    left = [s for b, s in {**old, **new}.items() if b >= 20]
+    want = Counter({(None, None): len(left)})
+    for s in left:
+        want.update([*((i, None) for i in s), *combinations(sorted(s), 2)])
+    assert {(r["u"], r["v"]): r["n"] for r in counts.collect()} == want
