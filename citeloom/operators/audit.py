@@ -49,10 +49,15 @@ def did_you_mean(unresolved: DataFrame, cited: DataFrame, register: DataFrame, e
 
 
 def _likeliest(unresolved: DataFrame, near: DataFrame, cited: DataFrame, both: DataFrame) -> DataFrame:
-    """The candidate of each document's number that its other citations have most edges with. both: edges a, b, n_co in either direction."""
+    """The candidate of each document's number that its other citations have most edges with. both: edges a, b, n_co in either direction.
+
+    A number has over a hundred near ones and few of them have an edge, so candidates meet their edges once for each number, not in every
+    document that cites it.
+    """
     both = both.groupBy("a", "b").agg(F.max("n_co").alias("n_co"))
-    c = unresolved.join(near, "number").join(cited.select("doc_id", F.col("number").alias("other")).distinct(), "doc_id")
-    c = c.join(both, (F.col("candidate") == F.col("a")) & (F.col("other") == F.col("b"))).groupBy("doc_id", "number", "candidate").agg(F.sum("n_co").alias("strength"))
+    linked = near.join(both, F.col("candidate") == F.col("a")).select("number", "candidate", F.col("b").alias("other"), "n_co")
+    c = unresolved.join(cited.select("doc_id", F.col("number").alias("other")).distinct(), "doc_id")
+    c = c.join(linked, ["number", "other"]).groupBy("doc_id", "number", "candidate").agg(F.sum("n_co").alias("strength"))
     w = Window.partitionBy("doc_id", "number").orderBy(F.desc("strength"), "candidate")
     return c.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -138,20 +143,25 @@ def missing_in_order(cited: DataFrame, edges: DataFrame, dead: DataFrame, confid
 CARRIED = ["status", "replaced_by", "is_digits"]
 
 
-def _resolved(citations: DataFrame, register: DataFrame) -> DataFrame:
-    """(citation, doc_id, hit, matched_by, status, replaced_by, is_digits) of each document's distinct citations."""
-    return resolve(citations.select("doc_id", "citation").distinct(), register, CARRIED)
+def _resolved(citations: DataFrame, register: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(citation, doc_id, hit, matched_by, status, replaced_by, is_digits) of each document's distinct citations; with rules also rule and
+    mandatory. Spellings meet register and rules once, before they go to the documents."""
+    cited = citations.select("doc_id", "citation").distinct()
+    if rules is None:
+        return resolve(cited, register, CARRIED)
+    known = resolve(citations.select("citation").where("citation IS NOT NULL").distinct(), register, CARRIED)
+    return cited.join(certification(known, rules), "citation", "left")
 
 
 def _finding(df: DataFrame, kind: str, severity: str, detail: Column, citation: str = "citation") -> DataFrame:
     return df.select("doc_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col(citation).alias("citation"), detail.alias("detail"))
 
 
-def _findings(r: DataFrame, rules: DataFrame, marks: DataFrame) -> DataFrame:
+def _findings(r: DataFrame, marks: DataFrame) -> DataFrame:
     replaced = F.coalesce("replaced_by", F.lit("UNKNOWN"))
     dead = _finding(r.where(F.col("status").isin(*DEAD)), "dispute_risk", "high", F.concat(F.col("status"), F.lit("; replaced by "), replaced))
     unknown = _finding(r.where("hit IS NULL"), "not_in_register", "medium", F.concat(F.lit("no entry for number "), citation_digits(F.col("citation"))))
-    ruled = certification(r.where("hit IS NOT NULL").select("doc_id", "citation"), rules).where("mandatory = 'Yes'")
+    ruled = r.where("hit IS NOT NULL AND mandatory = 'Yes'")
     unmarked = ruled.join(marks.where("demands_mark = 'Yes'").select("doc_id").distinct(), "doc_id", "left_anti")
     return dead.unionByName(unknown).unionByName(_finding(unmarked, "statutory_omission", "high", F.concat(F.lit("mandatory under "), F.col("rule"))))
 
@@ -183,7 +193,7 @@ def findings(citations: DataFrame, register: DataFrame, rules: DataFrame, marks:
 
     citations: doc_id, citation; marks: doc_id, demands_mark. One row of each document, kind and citation.
     """
-    return _findings(_resolved(citations, register), rules, marks)
+    return _findings(_resolved(citations, register, rules), marks)
 
 
 def connected_findings(citations: DataFrame, register: DataFrame, edges: DataFrame, **limits) -> DataFrame:
@@ -208,8 +218,8 @@ def audit(docs: DataFrame, citations: DataFrame, register: DataFrame, rules: Dat
     the written findings.
     """
     keep = Scratch(docs.sparkSession, "audit")
-    r = keep.keep(_resolved(citations, register), "resolved")
-    found = _findings(r, rules, marks).unionByName(_connected(r, register, edges, **limits))
+    r = keep.keep(_resolved(citations, register, rules), "resolved")
+    found = _findings(r, marks).unionByName(_connected(r, register, edges, **limits))
     found = found.join(_meant(r, register, edges).withColumn("kind", F.lit("not_in_register")), ["doc_id", "citation", "kind"], "left")
     found = keep.keep(found, "found")
     n = r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cited"), F.count("hit").alias("resolved"))

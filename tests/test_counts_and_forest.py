@@ -211,3 +211,18 @@ def test_counts_are_summed_in_tasks_of_bounded_rows(spark, monkeypatch):
     for s in left:
         want.update([*((i, None) for i in s), *combinations(sorted(s), 2)])
     assert {(r["u"], r["v"]): r["n"] for r in counts.collect()} == want
+
+
+def test_candidates_without_an_edge_are_not_made_for_every_document(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    known = [str(n) for n in range(501, 510)] + [f"5{n}0" for n in range(1, 10)] + [f"{n}00" for n in (1, 2, 3, 4, 6, 7, 8, 9)] + ["77"]
+    found = audit.did_you_mean(frame([(d, "500") for d in range(200)], "doc_id int, number string"), frame([(d, "77") for d in range(200)], "doc_id int, number string"), frame([(n,) for n in known], "number string"), frame([("503", "77", 4), ("77", "900", 3)], "a string, b string, n_co long"))
+    assert {tuple(r) for r in found.collect()} == {(d, "500", "503", 4) for d in range(200)}
+    made, rest = [], [found._jdf.queryExecution().executedPlan()]
+    while rest:
+        p = rest.pop()
+        if "Join" in p.nodeName():
+            made.append(p.metrics().get("numOutputRows").get().value())
+        inner = p.executedPlan() if "AdaptiveSparkPlan" in p.nodeName() else p.plan() if "QueryStage" in p.nodeName() else None
+        rest += [inner] if inner is not None else [p.children().apply(i) for i in range(p.children().size())]
+    assert max(made) <= 400  # 26 candidates in 200 documents are 5,200
